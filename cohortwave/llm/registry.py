@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import media, mixing, quality_model, quality_rules, secrets, sentencepiece, sharding
+from . import line_dedup, media, mixing, near_duplicates, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding
 
 
 def queries() -> dict:
     return {
         "op1_interleaved_media": media.op1_interleaved_media,
+        "op2_jaccard_join": near_duplicates.op2_jaccard_join,
+        "op3_feistel_pseudonyms": pseudonyms.op3_feistel_pseudonyms,
         "op4_format_automata": secrets.op4_format_automata,
         "op5_cube_mix": mixing.op5_cube_mix,
         "op6_zstd_quality": quality_model.op6_zstd_quality,
         "op7_sentencepiece": sentencepiece.op7_sentencepiece,
         "op8_crf_lines": quality_rules.op8_crf_lines,
         "op9_shard_tree": sharding.op9_shard_tree,
+        "op10_template_tree": line_dedup.op10_template_tree,
     }
 
 
