@@ -27,7 +27,7 @@ PATTERNS = {
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9])\+?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,8}){2,4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,4}|\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![A-Za-z0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -136,7 +136,7 @@ def kind_of(v: Column) -> Column:
         "ssn": ssn,
         "ip": reduce(lambda a, b: a & b, [o <= 255 for o in _octets(v)]),
         "card": luhn_sum(d, 1) % 10 == 0,
-        "phone": F.length(d).between(8, 15) & ~whole("ssn") & (v.startswith("+") | v.contains("(") | F.length(d).between(9, 11)),
+        "phone": F.length(d).between(8, 15) & ~whole("ssn") & (v.startswith("+") | (F.length(d) == 10)),
     }
     return reduce(lambda out, k: out.when(whole(k) & checks[k], F.lit(k)), KINDS[1:], F.when(whole("email"), F.lit("email")))
 
