@@ -3,7 +3,7 @@
 Documents with one shingle set are one entity. Two entities can reach the threshold only if the prefixes of their
 shingles, in an order that all share, meet. The order is: a fixed part of the hash space first (so that only that part
 needs counting), within it the shingles that fewest entities have, then the hash. Prefix entries meet in an equi join
-on the shingle. Entries of a shingle first meet its leader, the entity with the fewest shingles of its own; only
+on the shingle. Entries of a shingle first meet its leader, the entity whose shingles are the most common; only
 entities that the links so far leave in different components then meet each other, so a group of many near copies gives
 as many pairs as members and yet no link between components is lost. Every pair is verified once, on whole sets.
 """
@@ -11,6 +11,7 @@ as many pairs as members and yet no link between components is lost. Every pair
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, mix, read, slices, text_buffer, window_hashes, word_hashes, word_spans
 
-CELLS = 16
+#: Cells of the hash space whose parities an entity's signature holds, 64 to a long.
+CELLS = 512
 SPACE_BITS = 20
 
 
@@ -63,13 +65,13 @@ def signatures(docs: DataFrame, n: int, percent: int, counted: int) -> DataFrame
                 counted_ones = s[(s >> np.uint64(64 - SPACE_BITS)) < counted]
                 low.append(len(counted_ones))
                 heads.append((counted_ones if len(counted_ones) >= prefix_size(len(s), percent) else s).view(np.int64))
-                cells.append(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS))
+                cells.append(np.packbits((np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.int64))
             sizes = np.array([len(h) for h in heads])
             head = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * CELLS, pa.int32()), pa.array(np.concatenate(cells).astype(np.int32)))
+            cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (CELLS // 64), pa.int32()), pa.array(np.concatenate(cells)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), head, cell], ["doc_id", "e", "n_shingles", "n_low", "head", "cells"])
 
-    return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, e long, n_shingles long, n_low long, head array<long>, cells array<int>")
+    return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, e long, n_shingles long, n_low long, head array<long>, cells array<long>")
 
 
 def prefixes(signed: DataFrame, percent: int, counted: int) -> DataFrame:
@@ -86,16 +88,22 @@ def prefixes(signed: DataFrame, percent: int, counted: int) -> DataFrame:
     placed = F.transform("x", lambda v, i: F.struct(v["h"].alias("h"), (i.cast("long") + F.col("own_low") + F.when(v["later"], F.col("own_high")).otherwise(0)).alias("at")))
     most = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
     mine = mine.withColumn("placed", F.filter(placed, lambda v: v["at"] < most)).where(F.size("placed") > 0)
-    return mine.select("e", "n", F.floor(1000 * F.col("own_low") / F.greatest("n_low", F.lit(1))).alias("rough"), "cells", F.explode("placed").alias("v")).select("e", "n", "rough", "cells", "v.h", "v.at")
+    # a group's base has all that its copies share: the mean log frequency of its shingles is the highest
+    rough = -F.floor(1000 * F.aggregate("x", F.lit(0.0), lambda t, v: t + F.ln(v["f"].cast("double"))) / (F.col("own_low") + F.col("own_high") + F.size("x")))
+    return mine.select("e", "n", rough.alias("rough"), "cells", F.explode("placed").alias("v")).select("e", "n", "rough", "cells", "v.h", "v.at")
 
 
 def may_link(percent: int):
-    """Length, positional and suffix filter of a pair of prefix entries l and r of one shingle."""
+    """Length, positional and suffix filter of a pair of prefix entries l and r of one shingle.
+
+    The suffix filter bounds the Hamming distance of the sets from below, by the cells that hold an odd number of one
+    set's shingles and an even number of the other's: each of them holds a shingle that is in one set only.
+    """
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
     length = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
     position = F.least("l.at", "r.at") + F.least(n - F.col("l.at"), m - F.col("r.at")) >= need
-    apart = F.aggregate(F.zip_with("l.cells", "r.cells", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("l.cells")[k].bitwiseXOR(F.col("r.cells")[k])) for k in range(CELLS // 64)])
     return length & position & (apart <= n + m - 2 * need)
 
 
