@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import cohort_queries, evaluation_queries, series_queries, spectral_queries
+
 FLAGSHIP = "sp06_band_stats"
+PARTS = (cohort_queries, spectral_queries, series_queries, evaluation_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
