@@ -27,7 +27,7 @@ PATTERNS = {
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,4}|\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|\+1[0-9]{10}|\+[2-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3})(?![A-Za-z0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
