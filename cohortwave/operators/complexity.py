@@ -40,14 +40,14 @@ def perm_entropy(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
 def katz_fd(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     x = df.withColumns({"d": F.abs(F.col("x") - F.lag("x").over(_w(by))), "first": F.first("x").over(_w(by))})
     g = x.groupBy(*by).agg(F.sum("d").alias("path"), F.avg("d").alias("step"), F.max(F.abs(F.col("x") - F.col("first"))).alias("far"))
-    n = F.log10(F.col("path") / F.col("step"))
-    return g.select(*by, (n / (n + F.log10(F.col("far") / F.col("path")))).alias("katz_fd"))
+    n = F.log10(F.try_divide("path", "step"))
+    return g.select(*by, F.try_divide(n, n + F.log10(F.try_divide("far", "path"))).alias("katz_fd"))
 
 
 def petrosian_fd(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     x = df.withColumn("d", F.col("x") - F.lag("x").over(_w(by))).withColumn("turn", (F.col("d") * F.lag("d").over(_w(by)) < 0).cast("int"))
     g = x.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum("turn").alias("t"))
-    return g.select(*by, (F.log10("n") / (F.log10("n") + F.log10(F.col("n") / (F.col("n") + 0.4 * F.col("t"))))).alias("petrosian_fd"))
+    return g.select(*by, F.try_divide(F.log10("n"), F.log10("n") + F.log10(F.col("n") / (F.col("n") + 0.4 * F.col("t")))).alias("petrosian_fd"))
 
 
 def higuchi_fd(df: DataFrame, kmax: int = 5, by: list[str] = SERIES) -> DataFrame:
@@ -58,7 +58,7 @@ def higuchi_fd(df: DataFrame, kmax: int = 5, by: list[str] = SERIES) -> DataFram
     m = F.col("t_idx") % F.col("k")
     per = x.groupBy(*by, "k", m.alias("m")).agg(F.sum("d").alias("s"), F.first("n").alias("n"))
     blocks = F.floor((F.col("n") - F.col("m") - 1) / F.col("k"))
-    mean = per.withColumn("len", F.col("s") * (F.col("n") - 1) / (blocks * F.col("k")) / F.col("k")).groupBy(*by, "k").agg(F.avg("len").alias("len"))
+    mean = per.withColumn("len", F.try_divide(F.col("s") * (F.col("n") - 1), blocks * F.col("k") * F.col("k"))).groupBy(*by, "k").agg(F.avg("len").alias("len"))
     return mean.groupBy(*by).agg(F.regr_slope(F.ln("len"), F.ln(F.lit(1.0) / F.col("k"))).alias("higuchi_fd"))
 
 
@@ -73,8 +73,8 @@ def svd_entropy(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     q = (F.col("xx") + F.col("bb") + F.col("cc")) / 3
     off = F.col("xb") ** 2 + F.col("xc") ** 2 + F.col("bc") ** 2
     g = g.withColumn("q", q).withColumn("p", F.sqrt(((F.col("xx") - q) ** 2 + (F.col("bb") - q) ** 2 + (F.col("cc") - q) ** 2 + 2 * off) / 6))
-    d = [(F.col(v) - F.col("q")) / F.col("p") for v in ("xx", "bb", "cc")]
-    e = [F.col(v) / F.col("p") for v in ("xb", "xc", "bc")]
+    d = [F.try_divide(F.col(v) - F.col("q"), F.col("p")) for v in ("xx", "bb", "cc")]
+    e = [F.try_divide(v, "p") for v in ("xb", "xc", "bc")]
     det = d[0] * (d[1] * d[2] - e[2] ** 2) - e[0] * (e[0] * d[2] - e[2] * e[1]) + e[1] * (e[0] * e[2] - d[1] * e[1])
     g = g.withColumn("phi", F.acos(F.greatest(F.least(det / 2, F.lit(1.0)), F.lit(-1.0))) / 3)
     eig = [F.sqrt(F.greatest(F.col("q") + 2 * F.col("p") * F.cos(F.col("phi") + k * 2 * math.pi / 3), F.lit(1e-300))) for k in range(3)]

@@ -35,11 +35,11 @@ def thresholds(preds: DataFrame) -> DataFrame:
 def roc_auc(preds: DataFrame) -> DataFrame:
     """Area under the ROC curve; ties count half."""
     t = thresholds(preds)
-    return t.groupBy("model").agg((F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.first("n1") * F.first("n0"))).alias("auc"))
+    return t.groupBy("model").agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.first("n1") * F.first("n0")).alias("auc"))
 
 
 def roc_curve(preds: DataFrame) -> DataFrame:
-    return thresholds(preds).select("model", "p", (F.col("tp") / F.col("n1")).alias("tpr"), (F.col("fp") / F.col("n0")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return thresholds(preds).select("model", "p", F.try_divide("tp", "n1").alias("tpr"), F.try_divide("fp", "n0").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def auc_pr(preds: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def rank_rmse(preds: DataFrame) -> DataFrame:
 
 def regression_scores(preds: DataFrame) -> DataFrame:
     e = F.col("p") - F.col("y")
-    g = preds.groupBy("model").agg(F.abs(F.corr("p", "y")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), (1 - F.sum(e * e) / (F.count("*") * F.var_pop("y"))).alias("r2"))
+    g = preds.groupBy("model").agg(F.abs(F.corr("p", "y")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop("y"))).alias("r2"))
     return g
 
 
@@ -78,7 +78,7 @@ def mann_whitney(preds: DataFrame) -> DataFrame:
     x = preds.withColumn("r", average_rank(["model"], "p"))
     g = x.groupBy("model").agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"), F.sum("y").cast("double").alias("n1"), F.sum(1 - F.col("y")).cast("double").alias("n0"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
-    return g.select("model", u.alias("u"), ((u - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))
+    return g.select("model", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n0") / 2, F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))
 
 
 def mcnemar_counts(preds: DataFrame, best: str) -> DataFrame:

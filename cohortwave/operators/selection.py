@@ -49,7 +49,7 @@ def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
     g = features.join(target, "subject").groupBy("key", "y").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     t = g.groupBy("key").agg(F.sum("n").alias("N"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     between = F.col("sq") - F.col("N") * F.col("gm") * F.col("gm")
-    return t.select("key", F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k"))).alias("score"))
+    return t.select("key", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide("within", F.col("N") - F.col("k"))).alias("score"))
 
 
 def score_multi(features: DataFrame, targets: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def gaussian_kl(features: DataFrame, target: DataFrame) -> DataFrame:
         return f(F.when(F.col("y") == y, F.col("value")))
 
     g = features.join(target, "subject").groupBy("key").agg(*[stat(f, y).alias(f"{n}{y}") for y in (0, 1) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    return g.select("key", (F.ln(F.col("s0") / F.col("s1")) + (F.col("s1") ** 2 + (F.col("m1") - F.col("m0")) ** 2) / (2 * F.col("s0") ** 2) - 0.5).alias("kl"))
+    return g.select("key", (F.ln(F.try_divide("s0", "s1")) + F.try_divide(F.col("s1") ** 2 + (F.col("m1") - F.col("m0")) ** 2, 2 * F.col("s0") ** 2) - 0.5).alias("kl"))
 
 
 def regional_features(features: DataFrame, regions: dict[str, list[str]]) -> DataFrame:

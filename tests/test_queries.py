@@ -1,4 +1,4 @@
-"""Every query of the catalogue against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the catalogue against its SQL in DuckDB, on small tables."""
 
 import os
 
@@ -9,7 +9,7 @@ import pytest
 
 from cohortwave.plans import catalogue
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
