@@ -27,7 +27,8 @@ from .common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 500_000
+#: Units that a worker remembers, and twice as many pairs of pieces; beyond that it forgets and starts anew.
+MEMO = 800_000
 
 
 class Pieces:
@@ -42,120 +43,150 @@ class Pieces:
         self.ids = {self.names[i]: i for i in plain}
         self.score = {self.names[i]: sp.get_score(i) for i in plain}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.of_byte = {i: bytes([b]) for b, i in enumerate(self.byte)}
+        self.text_of = [n.replace(SPACE, " ").encode("utf-8") for n in self.names]
+        for b, i in enumerate(self.byte):
+            self.text_of[i] = bytes([b])
+        self.code = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
+        self.byte_code = [np.int32(i).tobytes() for i in self.byte]
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.ids), default=1)
         self.sorted = sorted(self.ids)
-        self.keys = np.array(self.sorted, dtype=f"U{self.longest}")
+        # characters of pieces as two-byte ranks, in the order of their code points; 0 is what no piece holds
+        self.alphabet = np.array(sorted({ord(c) for p in self.ids for c in p}), np.uint32)
+        self.keys = self.packed("".join(p.ljust(self.longest, "\x00") for p in self.sorted)).reshape(-1, self.longest).view(f"S{2 * self.longest}").ravel()
+        # a piece's range ends before the first suffix that is above all its continuations
+        high = self.keys.view(np.uint8).reshape(len(self.sorted), -1).copy()
+        for row, p in zip(high, self.sorted):
+            row[2 * len(p) :] = 255
+        self.above = high.view(f"S{2 * self.longest}").ravel()
+        self.sizes = np.array([len(p) for p in self.sorted])
+        self.whole = [self.merge(p) == [p] for p in self.sorted]
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memo: dict[str, list[int]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.memo: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+
+    def packed(self, text: str) -> np.ndarray:
+        """Two-byte ranks of the characters, most significant byte first."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).astype(">u2")
 
     def merge(self, text: str) -> list[str]:
         """Merging by rank, for a piece or two: the neighbours that make the best piece, leftmost first, until none do."""
-        parts = list(text)
+        parts, get = list(text), self.score.get
         while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.score.get(parts[k] + parts[k + 1], -np.inf), -k))
-            if parts[best] + parts[best + 1] not in self.score:
+            best, top = -1, -np.inf
+            for k, pair in enumerate(map(str.__add__, parts, parts[1:])):
+                score = get(pair)
+                if score is not None and score > top:
+                    best, top = k, score
+            if best < 0:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        if (a, b) not in self.fits:
-            if len(self.fits) > 4 * MEMO:
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether merging pieces a and b (numbers in the sorted vocabulary) leaves them apart."""
+        key = a << 32 | b
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) > 2 * MEMO:
                 self.fits.clear()
-            self.fits[a, b] = self.merge(a + b) == [a, b]
-        return self.fits[a, b]
-
-    def reachable(self, p: str) -> bool:
-        if p not in self.whole:
-            self.whole[p] = self.merge(p) == [p]
-        return self.whole[p]
+            one, two = self.sorted[a], self.sorted[b]
+            known = self.fits[key] = self.merge(one + two) == [one, two]
+        return known
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Start and piece number of every occurrence of every piece in text, sorted by start, then length."""
         n, width = len(text), self.longest
-        padded = np.concatenate([np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.zeros(width, np.uint32)])
+        padded = self.packed(text + "\x00" * width)
         windows = np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
-        suffixes = np.ascontiguousarray(windows).view(f"U{width}").ravel()
-        order = np.argsort(suffixes, kind="stable")
+        suffixes = np.ascontiguousarray(windows).view(f"S{2 * width}").ravel()
+        order = np.argsort(suffixes)
         ranked = suffixes[order]
         low = np.searchsorted(ranked, self.keys, "left")
-        # a piece's range ends before the first suffix that is above all its continuations
-        above = np.array([p + "\U0010ffff" * (width - len(p)) for p in self.sorted], dtype=f"U{width}")
-        high = np.searchsorted(ranked, above, "right")
+        high = np.searchsorted(ranked, self.above, "right")
         many = high - low
         piece = np.repeat(np.arange(len(many)), many)
         at = order[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-        sizes = np.char.str_len(self.keys)[piece]
-        by = np.lexsort((sizes, at))
+        by = np.lexsort((self.sizes[piece], at))
         return at[by], piece[by]
 
     def learn(self, units: list[str]) -> None:
-        """Encode units that are new; each ends in a separator that no piece holds."""
+        """Encode units that are new; each ends in a separator that no piece holds.
+
+        A position is reached by one edge at most: the last piece of the text before it. Edges that end where one has
+        ended already are passed over.
+        """
         text = "\x00".join(units) + "\x00"
-        reached: list[str | None] = [None] * (len(text) + 1)
-        came = [-1] * (len(text) + 1)
-        free = bytearray(len(text) + 1)  # positions that any edge may start from: unit starts, and after characters without a piece
+        closed, free = -1, -2
+        last = [closed] * (len(text) + 1)  # the piece that ends there; free where any piece may begin
+        came = [0] * (len(text) + 1)
         at = 0
         for u in units:
-            free[at] = 1
+            last[at] = free
             at += len(u) + 1
         starts, pieces = self.edges(text)
-        names, k, total = self.sorted, 0, len(starts)
-        starts, pieces = starts.tolist(), pieces.tolist()
-        single = self.ids
+        first = np.searchsorted(starts, np.arange(len(text) + 1)).tolist()
+        pieces, sizes, whole, single, fits = pieces.tolist(), self.sizes.tolist(), self.whole, self.ids, self.fits
         for i, c in enumerate(text):
-            open_ = free[i] or reached[i] is not None
-            last = None if free[i] else reached[i]
-            while k < total and starts[k] == i:
-                if open_:
-                    p = names[pieces[k]]
-                    if (last is None or self.compatible(last, p)) and self.reachable(p):
-                        reached[i + len(p)], came[i + len(p)] = p, i
-                k += 1
+            before = last[i]
+            if before != closed:
+                for p in pieces[first[i] : first[i + 1]]:
+                    end = i + sizes[p]
+                    if last[end] == closed and whole[p]:
+                        ok = True if before == free else fits.get(before << 32 | p)
+                        if ok or ok is None and self.compatible(before, p):
+                            last[end], came[end] = p, i
             if c != "\x00" and c not in single:
-                free[i + 1] = 1
-                reached[i + 1], came[i + 1] = None, i
+                last[i + 1], came[i + 1] = free, i
+        codes = [self.code[p] for p in self.sorted]
         at = 0
         for u in units:
-            out: list[list[int]] = []
+            out: list[bytes] = []
             j = at + len(u)
             while j > at:
                 i = came[j]
-                if reached[j] is not None:
-                    out.append([self.ids[reached[j]]])
+                if last[j] >= 0:
+                    out.append(codes[last[j]])
                 else:
-                    out.append([self.byte[b] for b in text[i:j].encode("utf-8", "surrogatepass")])
+                    out.append(b"".join([self.byte_code[b] for b in text[i:j].encode("utf-8", "surrogatepass")]))
                 j = i
-            self.memo[u] = list(chain.from_iterable(reversed(out)))
+            out.reverse()
+            self.memo[u] = b"".join(out)
             at += len(u) + 1
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Piece ids of each text; an empty text has none."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Piece ids of each text as 32-bit integers in a row; an empty text has none."""
         if self.crossing:
             raise ValueError("the model has pieces with a space inside or at the end: units can't be coded apart")
         split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = dict.fromkeys(u for units in split for u in units if u not in self.memo)
+        new = {u for units in split for u in units}.difference(self.memo)
         # a unit with the separator in it is coded around it
         odd = [u for u in new if "\x00" in u]
-        plain = [u for u in new if "\x00" not in u] + [x for u in odd for x in u.split("\x00") if x and x not in self.memo]
+        plain = {u for u in new if "\x00" not in u} | {x for u in odd for x in u.split("\x00") if x and x not in self.memo}
         if plain:
-            self.learn(list(dict.fromkeys(plain)))
+            self.learn(sorted(plain))
         for u in odd:
-            self.memo[u] = list(chain.from_iterable(([self.byte[0]] if k else []) + (self.memo[x] if x else []) for k, x in enumerate(u.split("\x00"))))
+            self.memo[u] = self.byte_code[0].join(self.memo[x] if x else b"" for x in u.split("\x00"))
         get = self.memo.__getitem__
-        return [list(chain.from_iterable(map(get, units))) for units in split]
+        return [b"".join(map(get, units)) for units in split]
+
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")[1:]
+
+
+_CODERS: dict[str, Pieces] = {}
+
 
-    def decode(self, ids: list[int]) -> str:
-        parts, names, of_byte = [], self.names, self.of_byte
-        for i in ids:
-            parts.append(of_byte[i] if i in of_byte else names[i].encode("utf-8"))
-        return b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+def coder_of(model: bytes) -> Pieces:
+    """One encoder for each model in a Python worker, so that later tasks know the units of earlier ones."""
+    name = hashlib.sha256(model).hexdigest()
+    if name not in _CODERS:
+        _CODERS[name] = Pieces(model)
+    return _CODERS[name]
 
 
 def model_bytes(path: str = MODEL) -> bytes:
@@ -174,18 +205,19 @@ def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id"
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        coder = Pieces(model)
+        coder = coder_of(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = coder.encode(texts)
+                sizes = np.array([len(x) // 4 for x in ids])
                 back = [coder.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:-1],
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))),
                         pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]),
                         pa.array([b == t for b, t in zip(back, texts)], pa.bool_()),
                     ],
