@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's text falls into units that no merge crosses (spaces with the letters after them). The units that the worker
-has not met yet are concatenated; their suffixes, cut at the longest piece, are sorted; every piece is binary-searched
+has not met yet are concatenated; their suffixes, cut at the longest piece, are sorted by doubling ranks; every piece is binary-searched
 in them, which gives the range of its occurrences; the occurrences are edges from a position to a later one, sorted
 by position and relaxed from left to right.
 
@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, slices
 
 #: Path of the public model; a parameter everywhere below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +28,9 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units that a worker remembers, and twice as many pairs of pieces; beyond that it forgets and starts anew.
 MEMO = 800_000
+#: Units of more characters are relaxed one by one, and text that a worker takes up at once, in bytes.
+LONG, TAKE = 64, 4 << 20
+CLOSED, FREE = -1, -2
 
 
 class Pieces:
@@ -50,7 +52,8 @@ class Pieces:
         self.byte_code = [np.int32(i).tobytes() for i in self.byte]
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.ids), default=1)
-        self.sorted = sorted(self.ids)
+        # what merging can't end in never occurs
+        self.sorted = [p for p in sorted(self.ids) if self.merge(p) == [p]]
         # characters of pieces as two-byte ranks, in the order of their code points; 0 is what no piece holds
         self.alphabet = np.array(sorted({ord(c) for p in self.ids for c in p}), np.uint32)
         self.keys = self.packed("".join(p.ljust(self.longest, "\x00") for p in self.sorted)).reshape(-1, self.longest).view(f"S{2 * self.longest}").ravel()
@@ -60,10 +63,12 @@ class Pieces:
             row[2 * len(p) :] = 255
         self.above = high.view(f"S{2 * self.longest}").ravel()
         self.sizes = np.array([len(p) for p in self.sorted])
-        self.whole = [self.merge(p) == [p] for p in self.sorted]
+        self.codes = [self.code[p] for p in self.sorted]
+        self.id_of = np.array([self.ids[p] for p in self.sorted], np.int32)
+        self.single = np.array(sorted({0} | {ord(p) for p in self.ids if len(p) == 1}), np.uint32)
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.memo: dict[str, bytes] = {}
-        self.fits: dict[int, bool] = {}
+        self.met, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def packed(self, text: str) -> np.ndarray:
         """Two-byte ranks of the characters, most significant byte first."""
@@ -85,76 +90,124 @@ class Pieces:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging pieces a and b (numbers in the sorted vocabulary) leaves them apart."""
-        key = a << 32 | b
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2 * MEMO:
-                self.fits.clear()
-            one, two = self.sorted[a], self.sorted[b]
-            known = self.fits[key] = self.merge(one + two) == [one, two]
-        return known
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging pieces a[k] and b[k] (numbers in the sorted vocabulary) leaves them apart. Known pairs are kept sorted."""
+        pairs, which = np.unique(a << 32 | b, return_inverse=True)
+        if len(self.met) > 2 * MEMO:
+            self.met, self.fits = self.met[:0], self.fits[:0]
+        new = np.setdiff1d(pairs, self.met, assume_unique=True)
+        if len(new):
+            said = [self.merge(one + two) == [one, two] for one, two in ((self.sorted[x >> 32], self.sorted[x & 0xFFFFFFFF]) for x in new.tolist())]
+            at = np.searchsorted(self.met, new)
+            self.met, self.fits = np.insert(self.met, at, new), np.insert(self.fits, at, said)
+        return self.fits[np.searchsorted(self.met, pairs)][which]
+
+    def suffixes(self, packed: np.ndarray, n: int) -> np.ndarray:
+        """The first n positions in the order of the text from there on, cut at the longest piece or later: ranks of four characters, then of twice as many."""
+        p = np.append(packed, np.zeros(4, packed.dtype)).astype(np.uint64)
+        key = p[:n] << 48 | p[1 : n + 1] << 32 | p[2 : n + 2] << 16 | p[3 : n + 3]
+        span = 4
+        while True:
+            order = np.argsort(key)
+            if span >= self.longest:
+                return order
+            row = key[order]
+            rank = np.zeros(n + span, np.uint64)
+            rank[order] = np.cumsum(np.append(True, row[1:] != row[:-1]))
+            key = rank[:n] << 32 | rank[span : n + span]
+            span *= 2
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and piece number of every occurrence of every piece in text, sorted by start, then length."""
+        """Start and piece number of every occurrence of every piece in text, sorted by start, then piece; of those at one start, each begins the next."""
         n, width = len(text), self.longest
         padded = self.packed(text + "\x00" * width)
-        windows = np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
-        suffixes = np.ascontiguousarray(windows).view(f"S{2 * width}").ravel()
-        order = np.argsort(suffixes)
-        ranked = suffixes[order]
+        order = self.suffixes(padded, n)
+        ranked = np.lib.stride_tricks.sliding_window_view(padded, width)[order].view(f"S{2 * width}").ravel()
         low = np.searchsorted(ranked, self.keys, "left")
-        high = np.searchsorted(ranked, self.above, "right")
-        many = high - low
+        many = np.searchsorted(ranked, self.above, "right") - low
         piece = np.repeat(np.arange(len(many)), many)
         at = order[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-        by = np.lexsort((self.sizes[piece], at))
-        return at[by], piece[by]
+        both = np.sort(at << 24 | piece)
+        return both >> 24, both & 0xFFFFFF
+
+    def relax(self, pos: np.ndarray, first: np.ndarray, starts: np.ndarray, pieces: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
+        """Relax the edges that start at positions pos, of which none follows from another."""
+        low = first[pos]
+        many = first[pos + 1] - low
+        e = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+        before = np.repeat(last[pos], many)
+        end = starts[e] + self.sizes[pieces[e]]
+        some = last[end] == CLOSED
+        e, before, end = e[some], before[some], end[some]
+        ok = before == FREE
+        ok[~ok] = self.compatible(before[~ok], pieces[e[~ok]])
+        last[end[ok]], came[end[ok]] = pieces[e[ok]], starts[e[ok]]
+
+    def walk(self, a: int, b: int, first: np.ndarray, pieces: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
+        """Relax the edges of one long unit, position by position."""
+        known: dict[tuple[int, int], bool] = {}
+        mine, reached = last[a : b + 1].tolist(), came[a : b + 1].tolist()
+        bounds = first[a : b + 1].tolist()
+        some, sizes = pieces[bounds[0] : bounds[-1]].tolist(), self.sizes.tolist()
+        for i in range(b - a):
+            before = mine[i]
+            for p in some[bounds[i] - bounds[0] : bounds[i + 1] - bounds[0]]:
+                end = i + sizes[p]
+                if mine[end] == CLOSED:
+                    ok = before == FREE or known.get((before, p))
+                    if ok is None:
+                        one, two = self.sorted[before], self.sorted[p]
+                        ok = known[before, p] = self.merge(one + two) == [one, two]
+                    if ok:
+                        mine[end], reached[end] = p, a + i
+        last[a : b + 1], came[a : b + 1] = mine, reached
 
     def learn(self, units: list[str]) -> None:
         """Encode units that are new; each ends in a separator that no piece holds.
 
         A position is reached by one edge at most: the last piece of the text before it. Edges that end where one has
-        ended already are passed over.
+        ended already are passed over. Position k of all units is relaxed at once; units of more than LONG characters
+        are walked one by one.
         """
         text = "\x00".join(units) + "\x00"
-        closed, free = -1, -2
-        last = [closed] * (len(text) + 1)  # the piece that ends there; free where any piece may begin
-        came = [0] * (len(text) + 1)
-        at = 0
-        for u in units:
-            last[at] = free
-            at += len(u) + 1
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        last = np.full(len(text) + 1, CLOSED, np.int64)  # the piece that ends there; FREE where any piece may begin
+        came = np.zeros(len(text) + 1, np.int64)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        bare = np.flatnonzero(self.single[np.minimum(np.searchsorted(self.single, chars), len(self.single) - 1)] != chars)
+        last[begin], last[bare + 1], came[bare + 1] = FREE, FREE, bare
         starts, pieces = self.edges(text)
-        first = np.searchsorted(starts, np.arange(len(text) + 1)).tolist()
-        pieces, sizes, whole, single, fits = pieces.tolist(), self.sizes.tolist(), self.whole, self.ids, self.fits
-        for i, c in enumerate(text):
-            before = last[i]
-            if before != closed:
-                for p in pieces[first[i] : first[i + 1]]:
-                    end = i + sizes[p]
-                    if last[end] == closed and whole[p]:
-                        ok = True if before == free else fits.get(before << 32 | p)
-                        if ok or ok is None and self.compatible(before, p):
-                            last[end], came[end] = p, i
-            if c != "\x00" and c not in single:
-                last[i + 1], came[i + 1] = free, i
-        codes = [self.code[p] for p in self.sorted]
-        at = 0
-        for u in units:
+        first = np.searchsorted(starts, np.arange(len(text) + 1))
+        short = np.flatnonzero(sizes <= LONG)
+        for k in range(int(sizes[short].max(initial=0))):
+            short = short[sizes[short] > k]
+            self.relax(begin[short] + k, first, starts, pieces, last, came)
+        for u in np.flatnonzero(sizes > LONG).tolist():
+            self.walk(int(begin[u]), int(begin[u] + sizes[u]), first, pieces, last, came)
+        # back from the end of each unit; those with a character that has no piece one by one
+        whole = np.searchsorted(bare, begin) == np.searchsorted(bare, begin + sizes)
+        easy = np.flatnonzero(whole & (sizes <= LONG))
+        unit, at, found = easy, begin[easy] + sizes[easy], []
+        while len(unit):
+            found.append((unit, last[at]))
+            at = came[at]
+            more = at > begin[unit]
+            unit, at = unit[more], at[more]
+        if found:
+            owner = np.concatenate([u for u, _ in reversed(found)])
+            by = np.argsort(owner, kind="stable")
+            ids = self.id_of[np.concatenate([p for _, p in reversed(found)])[by]].tobytes()
+            cuts = (4 * np.searchsorted(owner[by], np.append(easy, len(units)))).tolist()
+            self.memo.update((units[u], ids[a:b]) for u, a, b in zip(easy.tolist(), cuts, cuts[1:]))
+        for u in np.flatnonzero(~whole | (sizes > LONG)).tolist():
             out: list[bytes] = []
-            j = at + len(u)
-            while j > at:
-                i = came[j]
-                if last[j] >= 0:
-                    out.append(codes[last[j]])
-                else:
-                    out.append(b"".join([self.byte_code[b] for b in text[i:j].encode("utf-8", "surrogatepass")]))
+            a, j = int(begin[u]), int(begin[u] + sizes[u])
+            while j > a:
+                i = int(came[j])
+                out.append(self.codes[last[j]] if last[j] >= 0 else b"".join([self.byte_code[b] for b in text[i:j].encode("utf-8", "surrogatepass")]))
                 j = i
-            out.reverse()
-            self.memo[u] = b"".join(out)
-            at += len(u) + 1
+            self.memo[units[u]] = b"".join(reversed(out))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Piece ids of each text as 32-bit integers in a row; an empty text has none."""
@@ -206,23 +259,21 @@ def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         coder = coder_of(model)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                ids = coder.encode(texts)
-                sizes = np.array([len(x) // 4 for x in ids])
-                back = [coder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:-1],
-                        pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))),
-                        pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]),
-                        pa.array([b == t for b, t in zip(back, texts)], pa.bool_()),
-                    ],
-                    [*keep, "n_tokens", "token_ids", "decoded_sha256", "round_trip"],
-                )
+        for part in slices(batches, TAKE):
+            texts = part.column(part.num_columns - 1).to_pylist()
+            ids = coder.encode(texts)
+            sizes = np.array([len(x) // 4 for x in ids])
+            back = [coder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:-1],
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))),
+                    pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]),
+                    pa.array([b == t for b, t in zip(back, texts)], pa.bool_()),
+                ],
+                [*keep, "n_tokens", "token_ids", "decoded_sha256", "round_trip"],
+            )
 
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
