@@ -105,3 +105,15 @@ def classification_report(preds: DataFrame) -> DataFrame:
     pairs = x.select("model", F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), "c", "y")
     g = pairs.groupBy("model", "class").agg(*[F.sum(t.cast("double")).alias(n) for n, t in (("hit", (F.col("c") == F.col("class")) & (F.col("y") == F.col("class"))), ("said", F.col("c") == F.col("class")), ("support", F.col("y") == F.col("class")))])
     return g.select("model", "class", F.col("support").cast("long").alias("support"), F.try_divide("hit", "said").alias("precision"), F.try_divide("hit", "support").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"))
+
+
+def normalize_predictions(preds: DataFrame) -> DataFrame:
+    """Truth and prediction standardised by each model's mean and population deviation; null where that is 0."""
+    by = preds.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("y", "p") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")) for c in ("y", "p")}
+    return preds.join(by, "model").select("subject", "model", *[e.alias(c) for c, e in scaled.items()])
+
+
+def pooled_cv(scores: DataFrame) -> DataFrame:
+    """Mean of the folds' scores (model, fold, score, sd) and the root of their summed squared deviations."""
+    return scores.groupBy("model").agg(F.avg("score").alias("score"), F.sqrt(F.sum(F.col("sd") * F.col("sd"))).alias("sd"))

@@ -100,3 +100,27 @@ def assign_folds(df: DataFrame, key: str, by: str, k: int, seed: str) -> DataFra
     """Stratified folds: the hash of the key deals each class out; the md5 is the same in any engine."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(by).orderBy(h, key)) - 1) % k)
+
+
+def score_mutual_info(features: DataFrame, target: DataFrame, bins: int = 10) -> DataFrame:
+    """Mutual information in nats of the target and the value's bin, bins of equal width over the key's range. Null values are left out."""
+    known = features.where(F.col("value").isNotNull())
+    span = known.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    place = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    n = known.join(span, "key").join(target, "subject").groupBy("key", F.least(F.floor(place * bins), F.lit(bins - 1)).alias("bin"), "y").agg(F.count("*").cast("double").alias("n"))
+    # the windows run over counts, a key's bins times the target's values
+    n = n.withColumns({"nb": F.sum("n").over(Window.partitionBy("key", "bin")), "ny": F.sum("n").over(Window.partitionBy("key", "y")), "t": F.sum("n").over(Window.partitionBy("key"))})
+    return n.groupBy("key").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("score"))
+
+
+def odd_cells(features: DataFrame) -> DataFrame:
+    """subject, key, kind of the cells that are null, NaN or infinite."""
+    v = F.col("value")
+    kind = F.when(v.isNull(), "null").when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), "inf")
+    return features.select("subject", "key", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def sample_subjects(features: DataFrame, n: int, seed: int) -> DataFrame:
+    """The rows of n subjects, those that come first by a digest of seed and subject; the same at every run."""
+    some = features.select("subject").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("subject").cast("string")))).limit(n)
+    return features.join(some, "subject", "left_semi")

@@ -127,4 +127,24 @@ QUERIES = {
         lambda s, d: rounded(E.chi2_table(V.table(s, d, "labels"), "quality", "toxic"), "chi2"),
         "WITH n AS (SELECT q.quality, t.toxic, (SELECT count(*) FROM labels l WHERE l.quality = q.quality AND l.toxic = t.toxic) AS n FROM (SELECT DISTINCT quality FROM labels) q, (SELECT DISTINCT toxic FROM labels) t), e AS (SELECT n, sum(n) OVER (PARTITION BY quality) * sum(n) OVER (PARTITION BY toxic) / sum(n) OVER () AS e FROM n) SELECT round(sum(greatest(abs(n - e) - 0.5, 0) ** 2 / e), 6) AS chi2, 1::BIGINT AS dof FROM e",
     ),
+    "fs10_score_mutual_info": (
+        lambda s, d: rounded(S.score_mutual_info(*_ft(s, d)), "score"),
+        sql("SELECT key, round(sum(n / t * ln(n * t / (nb * ny))), 6) AS score FROM (SELECT *, sum(n) OVER (PARTITION BY key, bin) AS nb, sum(n) OVER (PARTITION BY key, y) AS ny, sum(n) OVER (PARTITION BY key) AS t FROM (SELECT key, bin, y, count(*)::DOUBLE AS n FROM (SELECT key, y, least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10), 9) AS bin FROM j WINDOW w AS (PARTITION BY key)) GROUP BY ALL)) GROUP BY key", JOINED),
+    ),
+    "fa06_odd_cells": (
+        lambda s, d: S.odd_cells(V.features(s, d).withColumn("value", F.when(F.col("subject") % 11 == 0, float("inf")).when(F.col("subject") % 7 != 0, F.col("value")))),
+        sql("SELECT subject, key, CASE WHEN subject % 11 = 0 THEN 'inf' ELSE 'null' END AS kind FROM features WHERE subject % 11 = 0 OR subject % 7 = 0", views=("features",)),
+    ),
+    "fa07_sample_subjects": (
+        lambda s, d: S.sample_subjects(V.features(s, d), 50, 7).select("subject", "key", F.round("value", 6).alias("value")),
+        sql("SELECT subject, key, round(value, 6) AS value FROM features WHERE subject IN (SELECT subject FROM (SELECT DISTINCT subject FROM features) ORDER BY md5('7:' || subject) LIMIT 50)", views=("features",)),
+    ),
+    "ev15_normalize_predictions": (
+        lambda s, d: rounded(E.normalize_predictions(V.predictions(s, d)), "y", "p"),
+        sql("SELECT subject, model, round((y - avg(y) OVER w) / nullif(stddev_pop(y) OVER w, 0), 6) + 0 AS y, round((p - avg(p) OVER w) / nullif(stddev_pop(p) OVER w, 0), 6) + 0 AS p FROM predictions WINDOW w AS (PARTITION BY model)", views=PRED),
+    ),
+    "ev23_pooled_cv": (
+        lambda s, d: rounded(E.pooled_cv(V.predictions(s, d).groupBy("model", (F.col("subject") % 5).alias("fold")).agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("score"), F.stddev_pop(F.abs(F.col("y") - F.col("p"))).alias("sd"))), "score", "sd"),
+        sql("SELECT model, round(avg(score), 6) AS score, round(sqrt(sum(sd * sd)), 6) AS sd FROM (SELECT model, subject % 5 AS fold, avg(abs(y - p)) AS score, stddev_pop(abs(y - p)) AS sd FROM predictions GROUP BY ALL) GROUP BY model", views=PRED),
+    ),
 }
