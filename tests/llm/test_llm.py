@@ -150,7 +150,7 @@ def test_tokens_equal_the_library(docs, texts, odd):
     for r in sentencepiece.tokens(odd).collect():
         assert r.round_trip
     coder = sentencepiece.Pieces(sentencepiece.model_bytes())
-    for t in ("", " ", "  a  b ", "\n\n", "日本語 テキスト", "▁x", "\x00", "a\x00b", "   " * 9, "don't\tstop"):
+    for t in ("", " ", "  a  b ", "\n\n", "日本語 テキスト", "▁x", "\x00", "a\x00b", "   " * 9, "don't\tstop", "abcdefgh" * 40, "a" * 70 + " " + "☃" * 80 + " b", "☃x" * 10):
         assert np.frombuffer(coder.encode([t])[0], np.int32).tolist() == sp.encode(t)
 
 
