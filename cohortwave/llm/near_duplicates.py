@@ -3,8 +3,8 @@
 Documents with one shingle set are one entity. Two entities can reach the threshold only if the prefixes of their
 shingles, in an order that all share, meet. The order is: a fixed part of the hash space first (so that only that part
 needs counting), within it the shingles that fewest entities have, then the hash. Prefix entries meet in an equi join
-on the shingle. Entries of a shingle first meet its leader, the entity whose shingles are the most common; only
-entities that the links so far leave in different components then meet each other, so a group of many near copies gives
+on the shingle. Entries of a shingle first meet its leaders, the entity whose shingles are the most common and two
+drawn ones; only entities that the links so far leave in different components then meet each other, so a group of many near copies gives
 as many pairs as members and yet no link between components is lost. Every pair is verified once, on whole sets.
 """
 
@@ -107,6 +107,18 @@ def may_link(percent: int):
     return length & position & (apart <= n + m - 2 * need)
 
 
+def leaders(entries: DataFrame) -> DataFrame:
+    """The entries that all entries of their shingle meet: of two, one; of more, the commonest and two drawn by hash.
+
+    The drawn ones differ from shingle to shingle, so an entity that misses the commonest one's links meets many others.
+    """
+    drawn = [F.min(F.struct(F.xxhash64("e", "h", F.lit(k)).alias("key"), "e"))["e"] for k in range(2)]
+    first = F.min(F.struct("rough", "e"))["e"]
+    of = entries.groupBy("h").agg(F.count("*").alias("k"), first.alias("first"), F.array(*drawn).alias("drawn")).where("k > 1")
+    found = entries.drop("rough").join(of, "h")
+    return found.where((F.col("e") == F.col("first")) | ((F.col("k") > 2) & F.array_contains("drawn", F.col("e")))).select("h", "e", "n", "at", "cells")
+
+
 def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     a = whole.select(F.col("e").alias("a"), F.col("s").alias("sa"))
@@ -139,9 +151,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     counted = int(min(1.0, 2.0 * (100 - percent) / 100 if percent >= 85 else 1.7 * (100 - percent) / 100) * 2**SPACE_BITS)
     signed = cut(signatures(docs, n, percent, counted))
     entries = cut(prefixes(signed, percent, counted))
-    leader = entries.groupBy("h").agg(F.min(F.struct("rough", "n", "e", "at", "cells")).alias("m"), F.count("*").alias("k")).where("k > 1").select("h", "m.n", "m.e", "m.at", "m.cells")
     pair = [F.least("l.e", "r.e").alias("a"), F.greatest("l.e", "r.e").alias("b")]
-    met = cut(entries.alias("l").join(leader.alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)).select(*pair).distinct())
+    met = cut(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)).select(*pair).distinct())
 
     # whole sets of the entities that meet others, from the text of one document each
     ids = entries.select("e").distinct().join(signed.groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")), "e")
