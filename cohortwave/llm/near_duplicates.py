@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Documents with one shingle set are one entity. Two entities can reach the threshold only if the prefixes of their
-shingles, in an order that all share, meet. The order is: a fixed part of the hash space first (so that only that part
-needs counting), within it the shingles that fewest entities have, then the hash. Prefix entries meet in an equi join
+shingles, in an order that all share, meet. The order is: fixed parts of the hash space one after another (so that only
+the parts that fill the prefix need counting), within each the shingles that fewest entities have, then the hash. Prefix entries meet in an equi join
 on the shingle. Entries of a shingle first meet its leaders, the entity whose shingles are the most common and two
 drawn ones; only entities that the links so far leave in different components then meet each other, so a group of many near copies gives
 as many pairs as members and yet no link between components is lost. Every pair is verified once, on whole sets.
@@ -23,6 +23,8 @@ from .common import as_bytes, cut, mix, read, slices, text_buffer, window_hashes
 #: Cells of the hash space whose parities an entity's signature holds, 64 to a long.
 CELLS = 512
 SPACE_BITS = 20
+#: Ends of the first parts of the hash space, as multiples of a prefix's share of a set.
+PARTS = (1.3, 2.0)
 
 
 def sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -51,45 +53,48 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def signatures(docs: DataFrame, n: int, percent: int, counted: int) -> DataFrame:
-    """doc_id, e, n_shingles, n_low, head, cells of every row.
+def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> DataFrame:
+    """doc_id, e, n_shingles, parts, head, cells of every row.
 
-    head holds the shingles of the counted part of the hash space; all of them where those do not fill the prefix.
+    The bounds cut the hash space into parts; parts counts the shingles of each. head holds those of the fewest first
+    parts that fill the prefix.
     """
+    edges = np.array(bounds, np.uint64) << np.uint64(64 - SPACE_BITS)
 
     def run(batches):
         for part in slices(batches):
             rows = sets(part, n)
-            heads, low, cells = [], [], []
+            heads, parts, cells = [], [], []
             for s in rows:
-                counted_ones = s[(s >> np.uint64(64 - SPACE_BITS)) < counted]
-                low.append(len(counted_ones))
-                heads.append((counted_ones if len(counted_ones) >= prefix_size(len(s), percent) else s).view(np.int64))
+                ends = np.append(np.searchsorted(s, edges), len(s))
+                parts.append(np.diff(ends, prepend=0).tolist())
+                heads.append(s[: ends[np.searchsorted(ends, min(prefix_size(len(s), percent), len(s)))]].view(np.int64))
                 cells.append(np.packbits((np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.int64))
             sizes = np.array([len(h) for h in heads])
             head = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (CELLS // 64), pa.int32()), pa.array(np.concatenate(cells)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), head, cell], ["doc_id", "e", "n_shingles", "n_low", "head", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(parts, pa.list_(pa.int64())), head, cell], ["doc_id", "e", "n_shingles", "parts", "head", "cells"])
 
-    return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, e long, n_shingles long, n_low long, head array<long>, cells array<long>")
+    return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
 
 
-def prefixes(signed: DataFrame, percent: int, counted: int) -> DataFrame:
+def prefixes(signed: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
     """e, n, h, at, rough, cells: prefix entries that another entity has too, with their place in the common order."""
     ones = signed.where("n_shingles > 0").dropDuplicates(["e"])
     entries = ones.select("e", F.explode("head").alias("h"))
     often = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    later = F.shiftrightunsigned("h", 64 - SPACE_BITS) >= counted
-    shared = entries.join(often, "h").groupBy("e").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "f", "h"))).alias("x"))
-    mine = ones.select("e", F.col("n_shingles").alias("n"), "n_low", "cells").join(shared, "e")
-    m_low = F.size(F.filter("x", lambda v: ~v["later"]))
-    # shingles that no other entity has come first in their part of the order
-    mine = mine.withColumn("own_low", F.col("n_low") - m_low).withColumn("own_high", F.col("n") - F.col("n_low") - (F.size("x") - m_low))
-    placed = F.transform("x", lambda v, i: F.struct(v["h"].alias("h"), (i.cast("long") + F.col("own_low") + F.when(v["later"], F.col("own_high")).otherwise(0)).alias("at")))
+    part = sum((F.shiftrightunsigned("h", 64 - SPACE_BITS) >= b).cast("int") for b in bounds)
+    counts = [F.count(F.when(part == k, 1)).alias(f"shared_{k}") for k in range(len(bounds) + 1)]
+    shared = entries.join(often, "h").groupBy("e").agg(F.array_sort(F.collect_list(F.struct(part.alias("part"), "f", "h"))).alias("x"), *counts)
+    mine = ones.select("e", F.col("n_shingles").alias("n"), "parts", "cells").join(shared, "e")
+    # shingles that no other entity has come first in their part; few terms, since they are computed again for each entry
+    own = [F.col("parts")[k] - F.col(f"shared_{k}") for k in range(len(bounds) + 1)]
+    ahead = lambda v: sum((F.when(v["part"] >= k, own[k]).otherwise(0) for k in range(1, len(own))), own[0])
+    placed = F.transform("x", lambda v, i: F.struct(v["h"].alias("h"), (i + ahead(v)).alias("at")))
     most = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
     mine = mine.withColumn("placed", F.filter(placed, lambda v: v["at"] < most)).where(F.size("placed") > 0)
     # a group's base has all that its copies share: the mean log frequency of its shingles is the highest
-    rough = -F.floor(1000 * F.aggregate("x", F.lit(0.0), lambda t, v: t + F.ln(v["f"].cast("double"))) / (F.col("own_low") + F.col("own_high") + F.size("x")))
+    rough = -F.floor(1000 * F.aggregate("x", F.lit(0.0), lambda t, v: t + F.ln(v["f"].cast("double"))) / F.col("n"))
     return mine.select("e", "n", rough.alias("rough"), "cells", F.explode("placed").alias("v")).select("e", "n", "rough", "cells", "v.h", "v.at")
 
 
@@ -148,9 +153,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     doc_id (null where that is null). Repeated rows are copies of one document. A component's id is its least doc_id.
     Other columns are ignored. Equality of shingles is that of 64-bit hashes, of whole sets that of a 64-bit digest.
     """
-    counted = int(min(1.0, 2.0 * (100 - percent) / 100 if percent >= 85 else 1.7 * (100 - percent) / 100) * 2**SPACE_BITS)
-    signed = cut(signatures(docs, n, percent, counted))
-    entries = cut(prefixes(signed, percent, counted))
+    bounds = [min(2**SPACE_BITS - 1, int(more * (100 - percent) / 100 * 2**SPACE_BITS)) for more in PARTS]
+    signed = cut(signatures(docs, n, percent, bounds))
+    entries = cut(prefixes(signed, percent, bounds))
     pair = [F.least("l.e", "r.e").alias("a"), F.greatest("l.e", "r.e").alias("b")]
     met = cut(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)).select(*pair).distinct())
 
