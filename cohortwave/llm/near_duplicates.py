@@ -54,7 +54,7 @@ def prefix_size(n, percent: int):
 
 
 def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> DataFrame:
-    """doc_id, e, n_shingles, parts, head, cells of every row.
+    """doc_id, print, e, n_shingles, parts, head, cells of every row; print is the hash of its text.
 
     The bounds cut the hash space into parts; parts counts the shingles of each. head holds those of the fewest first
     parts that fill the prefix.
@@ -73,9 +73,9 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
             sizes = np.array([len(h) for h in heads])
             head = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (CELLS // 64), pa.int32()), pa.array(np.concatenate(cells)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(parts, pa.list_(pa.int64())), head, cell], ["doc_id", "e", "n_shingles", "parts", "head", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(parts, pa.list_(pa.int64())), head, cell], ["doc_id", "print", "e", "n_shingles", "parts", "head", "cells"])
 
-    return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
+    return as_bytes(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), "doc_id", "print").mapInArrow(run, "doc_id long, print long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
 
 
 def prefixes(signed: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
@@ -146,13 +146,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; two documents link when 100 * intersection >= percent * union.
-
-    Texts are lower-cased (A-Z) and cut into words; null and empty ones have no shingles and stay alone, with their own
-    doc_id (null where that is null). Repeated rows are copies of one document. A component's id is its least doc_id.
-    Other columns are ignored. Equality of shingles is that of 64-bit hashes, of whole sets that of a 64-bit digest.
-    """
+def rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, print, n_shingles, e, root of every row; rows of one component have one root, null without shingles."""
     bounds = [min(2**SPACE_BITS - 1, int(more * (100 - percent) / 100 * 2**SPACE_BITS)) for more in PARTS]
     signed = cut(signatures(docs, n, percent, bounds))
     entries = cut(prefixes(signed, percent, bounds))
@@ -181,12 +176,21 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     more = cut(verify(rest, whole, percent))
     roots = components(links.union(more))
 
-    named = signed.select("e", "doc_id", "n_shingles")
-    least = named.where("n_shingles > 0").groupBy("e").agg(F.min("doc_id").alias("first"))
-    least = least.join(roots, "e", "left").withColumn("root", F.coalesce("root", "e"))
-    lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
-    of = least.join(lowest, "root").select("e", "lowest")
-    some = named.where("n_shingles > 0").join(of, "e").select("doc_id", "n_shingles", F.col("lowest").alias("component_id"))
+    named = signed.select("doc_id", "print", "n_shingles", "e")
+    some = named.where("n_shingles > 0").join(roots, "e", "left").select(*named.columns, F.coalesce("root", "e").alias("root"))
+    return some.unionByName(named.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; two documents link when 100 * intersection >= percent * union.
+
+    Texts are lower-cased (A-Z) and cut into words; null and empty ones have no shingles and stay alone, with their own
+    doc_id (null where that is null). Repeated rows are copies of one document. A component's id is its least doc_id.
+    Other columns are ignored. Equality of shingles is that of 64-bit hashes, of whole sets that of a 64-bit digest.
+    """
+    named = cut(rooted(docs, n, percent).select("doc_id", "n_shingles", "root"))
+    lowest = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    some = named.where("n_shingles > 0").join(lowest, "root").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -195,8 +199,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of the least doc_id; documents without words stay. Rows that repeat a doc_id become one."""
-    found = join(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One document of each component, the one of the least doc_id (null last), then of the least hash of the text.
+
+    Documents without words stay; rows that repeat both doc_id and text become one.
+    """
+    found = cut(rooted(docs, 5, 80).select("doc_id", "print", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print"))
+    kept = found.where("root is not null").groupBy("root").agg(first.alias("v")).select("v.doc_id", "v.print")
+    kept = kept.unionByName(found.where("root is null").select("doc_id", "print")).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    keyed = docs.withColumn("_print", F.xxhash64("text")).alias("d")
+    same = (F.col("d._print") == F.col("k._print")) & F.col("d.doc_id").eqNullSafe(F.col("k._id"))
+    return keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "_print"]).select(*docs.columns)

@@ -74,6 +74,16 @@ def test_jaccard_join_of_odd_rows(odd):
     assert by[4].n_shingles == 1 and by[4].component_id == 4 and by[None].component_id is None and by[7].n_shingles == 1
 
 
+def test_survivors_are_told_by_text_not_by_id_alone(spark, odd):
+    clean = ["the first clean text has these nine own words", "another document speaks of quite different matters here", "a third one says nothing that others say"]
+    rows = [(None, clean[0]), (None, clean[1]), (None, ""), (None, None), (3, "zebra " + clean[2]), (5, "zebra " + clean[2]), (5, "what only this repeated id tells us today"), (5, "what only this repeated id tells us today"), (7, clean[0])]
+    for parts in (1, 5):
+        got = near_duplicates.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), D).collect()
+        want = [(7, clean[0]), (None, clean[1]), (None, ""), (None, None), (3, rows[4][1]), (5, rows[6][1])]
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert near_duplicates.stage(spark, odd, D).count() == len(ODD) - 1
+
+
 def test_media_round_trip(spark, texts):
     for r in queries()["op1_interleaved_media"](spark, D).collect():
         raw = texts[r.doc_id].encode()
