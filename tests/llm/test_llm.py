@@ -207,6 +207,17 @@ def test_recurring_lines_stay_once(spark, odd):
     assert line_dedup.drop_templates(odd).count() == len(ODD) and line_dedup.drop_templates(odd.limit(0)).count() == 0
 
 
+def test_a_leaf_holds_several_templates(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k)) + "x"
+    families = ["click here to read the full story about {} on our pages", "click here to buy new shoes for {} at half price", "click here to win your prize of {} before next sunday"]
+    noise = lambda i: "click here to " + " ".join(word(1000 * i + 7 * k) for k in range(8))
+    one = [(i, families[i % 3].format(word(i)) + f"\nend of text {word(i)}") for i in range(12)]
+    few = [(100 + i, (families[0].format(word(i)) if i < 4 else noise(i)) + f"\nend of text {word(i)}") for i in range(40)]
+    for rows, kept, dropped in ((one, {0, 1, 2}, set(range(3, 12))), (few, {100, *range(104, 140)}, {101, 102, 103})):
+        got = {r.doc_id: r.n_dropped for r in line_dedup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i for i, n in got.items() if n == 0} == kept and {i for i, n in got.items() if n == 1} == dropped
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
