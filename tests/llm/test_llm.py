@@ -218,6 +218,14 @@ def test_a_leaf_holds_several_templates(spark):
         assert {i for i, n in got.items() if n == 0} == kept and {i for i, n in got.items() if n == 1} == dropped
 
 
+def test_two_documents_suffice_for_long_lines(spark):
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    changed = passage.replace("wkb", "other")
+    rows = [(1, f"{passage}\nfirst"), (2, f"{passage}\nsecond"), (2, f"{passage}\nsecond"), (3, "this short line is in two documents\nc"), (4, "this short line is in two documents\nd"), (5, f"intro {changed}\ne"), (6, f"intro {passage}\nf")]
+    got = line_dedup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (2, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 1)]
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
