@@ -5,10 +5,15 @@ its range) are replaced within the text by their image under a permutation of th
 images in all documents, different values different ones, and whoever has the key can undo it. The permutations:
 `characters` keeps the class of each character (digit, lower, upper case; all others stay), halves of the value keying
 each other; `radix` works on pairs of numbers below two bounds and so permutes exactly their product.
+
+A match whose check fails may hold a valid value, glued to its neighbours. It is marked at its start and the text is
+matched again: with fixed extents at a start that has one mark, without cards and account numbers at one of two, not at
+all at one of three, as ever at all later places; until no match fails. Of overlapping valid values the first counts.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +28,7 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![A-Za-z0-9/-])",
+    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?:(?=T[0-9]{2}:[0-9]{2})|(?![A-Za-z0-9/-]))",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])",
@@ -31,6 +36,27 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Extents that do not depend on what follows: of one grouping, or of a country's length.
+FIXED = {
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})(?![A-Za-z0-9])",
+}
+#: The mark of a start whose match failed, and what stands for characters of the text that are used for marks.
+MARK, ESCAPE = "\ufdd0", (("\ufdd1", "\ufdd1\ufdd2"), ("\ufdd0", "\ufdd1\ufdd3"))
+
+
+def _after_marks(patterns: list[str], marks: int) -> str:
+    """The patterns at a start with so many marks, which do not hide what stands before them."""
+    moved = [re.sub(r"^\(\?<!(\[[^\]]*\])\)", lambda m: f"(?<!{m[1]}{MARK * marks})", x) for x in patterns]
+    return f"(?<={MARK * marks})(?<!{MARK * (marks + 1)})(?:{'|'.join(moved)})"
+
+
+MARKED = "|".join([rf"(?<!{MARK})(?:{ANY})", _after_marks([FIXED.get(k, x) for k, x in PATTERNS.items()], 1), _after_marks([x for k, x in PATTERNS.items() if k not in FIXED], 2)])
 #: Dates from 1900-01-01 to 2099-12-31: 73,049 days, 17 * 4,297.
 EPOCH, DATE_RADIX = "1900-01-01", (17, 4297)
 #: Numbers of three areas, groups and serials: areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
@@ -174,16 +200,43 @@ def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
+def _settled(text: Column) -> Column:
+    """The text with marks, so that all its matches of MARKED are valid. Matches that a failed one may reach into wait for it."""
+    start = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ESCAPE, text)
+
+    def step(s: Column, _: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(s["t"], F.lit(MARKED), F.lit(0)), lambda v: F.struct(v.alias("v"), kind_of(v).isNull().alias("bad")))
+        held = F.zip_with(F.split(s["t"], MARKED, -1), pieces, lambda a, b: F.struct(a.alias("a"), b["v"].alias("v"), b["bad"].alias("bad")))
+
+        def mark(o: Column, x: Column) -> Column:
+            free = ~(o["bad"] & F.regexp(x["a"], F.lit(rf"^[0-9A-Z\x20./()+{MARK}-]*$")))
+            return F.struct(F.concat(o["out"], F.array(F.concat(x["a"], F.when(x["bad"] & free, MARK).otherwise(""), F.coalesce(x["v"], F.lit(""))))).alias("out"), F.coalesce(x["bad"], F.lit(False)).alias("bad"))
+
+        marked = F.aggregate(held, F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("bad")), mark, lambda o: F.array_join(o["out"], ""))
+        return F.when(s["open"], F.transform(F.array(marked), lambda t: F.struct(t.alias("t"), (t != s["t"]).alias("open")))[0]).otherwise(s)
+
+    steps = F.sequence(F.lit(1), 6 * F.size(F.split(text, "[^A-Za-z0-9]+")) + 1)
+    return F.aggregate(steps, F.struct(start.alias("t"), F.lit(True).alias("open")), step, lambda s: s["t"])
+
+
+def _plain(text: Column) -> Column:
+    """What stood in the text before it was marked."""
+    return reduce(lambda t, x: F.replace(t, F.lit(x[1]), F.lit(x[0])), reversed(ESCAPE), F.replace(text, F.lit(MARK), F.lit("")))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns, the text with pseudonyms, and `pii`: array<struct<kind, value, pseudonym>> in the order of the text.
 
     `value` is the sha2 of what stood there, not the value. Null texts stay null with an empty array, empty ones empty.
-    Invalid matches stay as they are and are not listed. Repeated rows change alike. A column named pii is replaced.
+    Invalid matches stay as they are and are not listed, but for valid values inside them. Repeated rows change alike. A column named pii is replaced.
     """
     text = F.col("text")
     some = F.coalesce(F.regexp(text, F.lit("[0-9]|@")), F.lit(False))
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.withColumn("_found", found)
+    rows = rows.withColumn("_bad", F.when(F.size("_found") > 0, F.exists("_found", lambda v: kind_of(v).isNull())).otherwise(False))
+    rows = rows.withColumn("_marked", F.when(F.col("_bad"), _settled(text)))
+    rows = rows.withColumn("_found", F.when(F.col("_bad"), F.regexp_extract_all("_marked", F.lit(MARKED), F.lit(0))).otherwise(F.col("_found")))
 
     def one(v: Column) -> Column:
         return F.struct(v.alias("v"), kind_of(v).alias("kind"))
@@ -191,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("_kinds", F.when(F.size("_found") > 0, F.transform("_found", one)).otherwise(F.array().cast("array<struct<v:string,kind:string>>")))
     image = lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), F.coalesce(pseudonym(x["v"], x["kind"], key), x["v"]).alias("w"))
     rows = rows.withColumn("_images", F.when(F.size("_kinds") > 0, F.transform("_kinds", image)).otherwise(F.array().cast("array<struct<kind:string,v:string,w:string>>")))
-    between = F.split(text, ANY, -1)
+    between = F.when(F.col("_bad"), F.transform(F.split("_marked", MARKED, -1), _plain)).otherwise(F.split(text, ANY, -1))
     joined = F.array_join(F.zip_with(between, F.col("_images"), lambda a, b: F.concat(a, F.coalesce(b["w"], F.lit("")))), "")
     listed = F.transform(F.filter("_images", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), F.sha2(x["v"], 256).alias("value"), x["w"].alias("pseudonym")))
     rows = rows.withColumn("_text", F.when(F.size("_images") > 0, joined).otherwise(text)).withColumn("pii", listed)
