@@ -237,7 +237,7 @@ def test_recurring_lines_stay_once(spark, odd):
 
 def test_a_leaf_holds_several_templates(spark):
     word = lambda k: "".join(chr(97 + int(c)) for c in str(k)) + "x"
-    families = ["click here to read the full story about {} on our pages", "click here to buy new shoes for {} at half price", "click here to win your prize of {} before next sunday"]
+    families = ["click here to read the whole story of {} on pages", "click here to buy new shoes for {} at half price", "click here to win your prize of {} before next sunday"]
     noise = lambda i: "click here to " + " ".join(word(1000 * i + 7 * k) for k in range(8))
     one = [(i, families[i % 3].format(word(i)) + f"\nend of text {word(i)}") for i in range(12)]
     few = [(100 + i, (families[0].format(word(i)) if i < 4 else noise(i)) + f"\nend of text {word(i)}") for i in range(40)]
