@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than these ASCII separators.
@@ -26,19 +27,78 @@ CHUNK = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster, whose machines share none, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables of one operator in the shared folder. They go when the block ends, but for those that its result reads (`keep`)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def cut(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """Write df and read it back: lineage ends there, and a lost executor costs nothing."""
+        path = scratch(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table that a result reads, and that stays."""
+    return Tables(df.sparkSession).cut(df, keep=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, one for each of names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a filter of keys, 32,768 to a row of 4 KB: 2 MB at most, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def may_hold(df: DataFrame, column: Column, keys: DataFrame, key: str) -> DataFrame:
+    """df with a boolean column as the last, false only where `column` (a long) is in no row of keys. The filter is broadcast and of bounded size.
+
+    With more keys than bits nearly all rows pass: what follows has more to do, and the same result.
+    """
+    bit, bucket, bits, said = fresh(df, "bit", "bucket", "bits", "may")
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = spread(F.col(key))
+    marks = keys.where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    rows = df.withColumn(bit, spread(column))
+    rows = rows.withColumn(bucket, F.bitmap_bucket_number(F.col(bit))).withColumn(bit, F.bitmap_bit_position(F.col(bit)))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(F.col(bit), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(marks), bucket, "left").withColumn(said, found).select(*df.columns, said)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

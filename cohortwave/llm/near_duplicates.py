@@ -15,16 +15,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix, read, slices, text_buffer, window_hashes, word_hashes, word_spans
+from .common import Tables, as_bytes, fresh, may_hold, mix, read, slices, text_buffer, window_hashes, word_hashes, word_spans
 
 #: Cells of the hash space whose parities an entity's signature holds, 64 to a long.
 CELLS = 512
 SPACE_BITS = 20
 #: Ends of the first parts of the hash space, as multiples of a prefix's share of a set.
 PARTS = (1.3, 2.0)
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 
 def sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -78,38 +80,49 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
     return as_bytes(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), "doc_id", "print").mapInArrow(run, "doc_id long, print long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
 
 
-def prefixes(signed: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
-    """e, n, h, at, rough, cells: prefix entries that another entity has too, with their place in the common order."""
-    ones = signed.where("n_shingles > 0").dropDuplicates(["e"])
+def prefixes(ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
+    """h, e, n, at, rough: prefix entries that another entity has too, with their place in the common order."""
     entries = ones.select("e", F.explode("head").alias("h"))
     often = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     part = sum((F.shiftrightunsigned("h", 64 - SPACE_BITS) >= b).cast("int") for b in bounds)
-    counts = [F.count(F.when(part == k, 1)).alias(f"shared_{k}") for k in range(len(bounds) + 1)]
-    shared = entries.join(often, "h").groupBy("e").agg(F.array_sort(F.collect_list(F.struct(part.alias("part"), "f", "h"))).alias("x"), *counts)
-    mine = ones.select("e", F.col("n_shingles").alias("n"), "parts", "cells").join(shared, "e")
-    # shingles that no other entity has come first in their part; few terms, since they are computed again for each entry
-    own = [F.col("parts")[k] - F.col(f"shared_{k}") for k in range(len(bounds) + 1)]
-    ahead = lambda v: sum((F.when(v["part"] >= k, own[k]).otherwise(0) for k in range(1, len(own))), own[0])
-    placed = F.transform("x", lambda v, i: F.struct(v["h"].alias("h"), (i + ahead(v)).alias("at")))
+    rows = entries.join(often, "h").withColumn("part", part).join(ones.select("e", F.col("n_shingles").alias("n"), "parts"), "e")
+    of = Window.partitionBy("e")
+    # shingles that no other entity has come first in their part
+    own = [F.col("parts")[k] - F.sum((F.col("part") == k).cast("long")).over(of) for k in range(len(bounds) + 1)]
+    ahead = sum((F.when(F.col("part") >= k, F.col(f"own_{k}")).otherwise(0) for k in range(1, len(own))), F.col("own_0"))
+    rows = rows.select("e", "n", "h", "f", "part", *[c.alias(f"own_{k}") for k, c in enumerate(own)], F.sum(F.ln("f")).over(of).alias("logs"), F.row_number().over(of.orderBy("part", "f", "h")).alias("i"))
     most = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
-    mine = mine.withColumn("placed", F.filter(placed, lambda v: v["at"] < most)).where(F.size("placed") > 0)
     # a group's base has all that its copies share: the mean log frequency of its shingles is the highest
-    rough = -F.floor(1000 * F.aggregate("x", F.lit(0.0), lambda t, v: t + F.ln(v["f"].cast("double"))) / F.col("n"))
-    return mine.select("e", "n", rough.alias("rough"), "cells", F.explode("placed").alias("v")).select("e", "n", "rough", "cells", "v.h", "v.at")
+    rough = -F.floor(1000 * F.col("logs") / F.col("n"))
+    return rows.select("h", "e", "n", (F.col("i") - 1 + ahead).alias("at"), rough.alias("rough"), most.alias("most")).where("at < most").drop("most")
 
 
 def may_link(percent: int):
-    """Length, positional and suffix filter of a pair of prefix entries l and r of one shingle.
+    """Length and positional filter of a pair of prefix entries l and r of one shingle."""
+    n, m = F.col("l.n"), F.col("r.n")
+    length = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+    return length & (F.least("l.at", "r.at") + F.least(n - F.col("l.at"), m - F.col("r.at")) >= overlap(n, m, percent))
+
+
+def overlap(n, m, percent: int):
+    """The least intersection of linked sets of n and m shingles."""
+    return F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+
+
+def pairs_of(met: DataFrame, ones: DataFrame, percent: int) -> DataFrame:
+    """a, b: the different pairs of met entries l and r that pass the suffix filter; a is the one whose shingles are the commoner.
 
     The suffix filter bounds the Hamming distance of the sets from below, by the cells that hold an odd number of one
-    set's shingles and an even number of the other's: each of them holds a shingle that is in one set only.
+    set's shingles and an even number of the other's: each of them holds a shingle that is in one set only. The cells
+    meet a pair once, not each of its entries.
     """
-    n, m = F.col("l.n"), F.col("r.n")
-    need = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
-    length = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
-    position = F.least("l.at", "r.at") + F.least(n - F.col("l.at"), m - F.col("r.at")) >= need
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("l.cells")[k].bitwiseXOR(F.col("r.cells")[k])) for k in range(CELLS // 64)])
-    return length & position & (apart <= n + m - 2 * need)
+    side = lambda x: F.struct(F.col(f"{x}.rough"), F.col(f"{x}.e"), F.col(f"{x}.n"))
+    pairs = met.select(F.least(side("l"), side("r")).alias("p"), F.greatest(side("l"), side("r")).alias("q"))
+    pairs = pairs.select(F.col("p.e").alias("a"), F.col("q.e").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).distinct()
+    cells = lambda x: ones.select(F.col("e").alias(x), F.col("cells").alias(f"cells_{x}"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("cells_a")[k].bitwiseXOR(F.col("cells_b")[k])) for k in range(CELLS // 64)])
+    near = apart <= F.col("n") + F.col("m") - 2 * overlap(F.col("n"), F.col("m"), percent)
+    return pairs.join(cells("a"), "a").join(cells("b"), "b").where(near).select("a", "b")
 
 
 def leaders(entries: DataFrame) -> DataFrame:
@@ -117,66 +130,81 @@ def leaders(entries: DataFrame) -> DataFrame:
 
     The drawn ones differ from shingle to shingle, so an entity that misses the commonest one's links meets many others.
     """
-    drawn = [F.min(F.struct(F.xxhash64("e", "h", F.lit(k)).alias("key"), "e"))["e"] for k in range(2)]
-    first = F.min(F.struct("rough", "e"))["e"]
+    row = F.struct("e", "n", "at", "rough")
+    drawn = [F.min(F.struct(F.xxhash64("e", "h", F.lit(k)).alias("key"), row.alias("row")))["row"] for k in range(2)]
+    first = F.min(F.struct("rough", "e", row.alias("row")))["row"]
     of = entries.groupBy("h").agg(F.count("*").alias("k"), first.alias("first"), F.array(*drawn).alias("drawn")).where("k > 1")
-    found = entries.drop("rough").join(of, "h")
-    return found.where((F.col("e") == F.col("first")) | ((F.col("k") > 2) & F.array_contains("drawn", F.col("e")))).select("h", "e", "n", "at", "cells")
+    chosen = F.when(F.col("k") > 2, F.array_distinct(F.concat(F.array("first"), "drawn"))).otherwise(F.array("first"))
+    return of.select("h", F.explode(chosen).alias("row")).select("h", "row.*")
+
+
+def verify(tables: Tables, pairs: DataFrame, ones: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.
 
+    Sets are computed again from the text of one document of each entity. The set of b goes where a's is, once for each
+    pair; a's goes there once. A hot a is split by its b's.
+    """
+    wants = pairs.select(F.col("b").alias("e"), "a").unionByName(pairs.select(F.col("a").alias("e"), F.lit(None).cast("long").alias("a")).distinct())
+    wants = wants.groupBy("e").agg(F.collect_set("a").alias("at"), F.max(F.col("a").isNull()).alias("leads"))
+    wants = tables.cut(wants.join(ones.select("e", "id", "print"), "e").select("id", "print", "at", "leads"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("print"), "text")
+    texts = may_hold(texts, F.xxhash64("id", "print"), wants.select(F.xxhash64("id", "print").alias("key")), "key").where("may").drop("may")
+    rows = texts.dropDuplicates(["id", "print"]).join(wants, ["id", "print"]).select("at", "leads", "text")
 
-def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    a = whole.select(F.col("e").alias("a"), F.col("s").alias("sa"))
-    b = whole.select(F.col("e").alias("b"), F.col("s").alias("sb"))
+    def run(batches):
+        for part in slices(batches):
+            found = sets(part, n)
+            ends = np.cumsum([len(s) for s in found])
+            arrays = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name(s) for s in found], pa.int64()), arrays], ["at", "leads", "e", "s"])
+
+    whole = tables.cut(as_bytes(rows, "at", "leads").mapInArrow(run, "at array<long>, leads boolean, e long, s array<long>"))
+    a = whole.where("leads").select(F.col("e").alias("a"), F.col("s").alias("sa"))
+    b = whole.select(F.explode("at").alias("a"), F.col("e").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
+    links = tables.cut(b.join(a, "a").where(both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b"))
+    tables.drop(wants, whole)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(tables: Tables, links: DataFrame) -> DataFrame:
     """e, root: the least entity that links reach, for entities with links. Least labels spread and labels of labels replace them, until none changes."""
-    links = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(links.groupBy(F.col("a").alias("e")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    links = tables.cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = tables.cut(links.groupBy(F.col("a").alias("e")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = links.join(labels.select(F.col("e").alias("b"), "root"), "b").groupBy(F.col("a").alias("e")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "e").select("e", "root", F.least("root", "near").alias("low"))
+        low = labels.select("e", "root").join(near, "e").select("e", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("e").alias("low"), F.col("root").alias("next"))
-        moved = cut(low.join(jump, "low", "left").select("e", F.col("root").alias("was"), F.least("low", F.coalesce("next", "low")).alias("root")))
-        labels = moved.select("e", "root")
+        moved = tables.cut(low.join(jump, "low", "left").select("e", F.least("low", F.coalesce("next", "low")).alias("root"), F.col("root").alias("was")))
+        tables.drop(labels)
+        labels = moved
         if moved.where("was <> root").isEmpty():
+            tables.drop(links)
             return labels
 
 
-def rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, print, n_shingles, e, root of every row; rows of one component have one root, null without shingles."""
     bounds = [min(2**SPACE_BITS - 1, int(more * (100 - percent) / 100 * 2**SPACE_BITS)) for more in PARTS]
-    signed = cut(signatures(docs, n, percent, bounds))
-    entries = cut(prefixes(signed, percent, bounds))
-    pair = [F.least("l.e", "r.e").alias("a"), F.greatest("l.e", "r.e").alias("b")]
-    met = cut(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)).select(*pair).distinct())
-
-    # whole sets of the entities that meet others, from the text of one document each
-    ids = entries.select("e").distinct().join(signed.groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")), "e")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
-
-    def run(batches):
-        for part in slices(batches):
-            rows = sets(part, n)
-            ends = np.cumsum([len(s) for s in rows])
-            arrays = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in rows], pa.int64()), arrays], ["e", "s"])
-
-    whole = cut(as_bytes(texts).mapInArrow(run, "e long, s array<long>").dropDuplicates(["e"]))
-    links = cut(verify(met, whole, percent))
-    roots = components(links)
-
-    # what is still apart: entries of one shingle whose components differ and that have not met
-    known = entries.join(roots, "e", "left").withColumn("root", F.coalesce("root", "e"))
+    signed = tables.cut(signatures(docs, n, percent, bounds))
+    ones = signed.where("n_shingles > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).dropDuplicates(["e"])
+    ones = tables.cut(ones.select("e", "id", "print", "n_shingles", "parts", "head", "cells"))
+    named = tables.cut(signed.select("doc_id", "print", "n_shingles", "e"))
+    tables.drop(signed)
+    entries = tables.cut(prefixes(ones, percent, bounds))
+    met = tables.cut(pairs_of(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)), ones, percent))
+    links = verify(tables, met, ones, docs, n, percent)
+    roots = components(tables, links)
+
+    # what is still apart: entries of the shingles that several components have, where the pair has not met
+    known = tables.cut(entries.join(roots.select("e", "root"), "e", "left").withColumn("root", F.coalesce("root", "e")))
+    split = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    known = known.join(split, "h")
     rest = known.alias("l").join(known.alias("r"), "h").where((F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & may_link(percent))
-    rest = rest.select(*pair).distinct().join(met, ["a", "b"], "left_anti")
-    more = cut(verify(rest, whole, percent))
-    roots = components(links.union(more))
+    rest = tables.cut(pairs_of(rest, ones, percent).join(met, ["a", "b"], "left_anti"))
+    more = verify(tables, rest, ones, docs, n, percent)
+    roots = components(tables, links.union(more)).select("e", "root")
 
-    named = signed.select("doc_id", "print", "n_shingles", "e")
     some = named.where("n_shingles > 0").join(roots, "e", "left").select(*named.columns, F.coalesce("root", "e").alias("root"))
     return some.unionByName(named.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")))
 
@@ -187,8 +215,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Texts are lower-cased (A-Z) and cut into words; null and empty ones have no shingles and stay alone, with their own
     doc_id (null where that is null). Repeated rows are copies of one document. A component's id is its least doc_id.
     Other columns are ignored. Equality of shingles is that of 64-bit hashes, of whole sets that of a 64-bit digest.
+    An empty table gives no rows.
     """
-    named = cut(rooted(docs, n, percent).select("doc_id", "n_shingles", "root"))
+    with Tables(docs.sparkSession) as tables:
+        named = tables.cut(rooted(tables, docs, n, percent).select("doc_id", "n_shingles", "root"), keep=True)
     lowest = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = named.where("n_shingles > 0").join(lowest, "root").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -201,12 +231,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one of the least doc_id (null last), then of the least hash of the text.
 
-    Documents without words stay; rows that repeat both doc_id and text become one.
+    Documents without words (null and empty texts among them) stay; rows that repeat both doc_id and text become one.
+    All columns come back, whatever their names; an empty table gives no rows.
     """
-    found = cut(rooted(docs, 5, 80).select("doc_id", "print", "root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print"))
-    kept = found.where("root is not null").groupBy("root").agg(first.alias("v")).select("v.doc_id", "v.print")
-    kept = kept.unionByName(found.where("root is null").select("doc_id", "print")).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
-    keyed = docs.withColumn("_print", F.xxhash64("text")).alias("d")
-    same = (F.col("d._print") == F.col("k._print")) & F.col("d.doc_id").eqNullSafe(F.col("k._id"))
-    return keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "_print"]).select(*docs.columns)
+    with Tables(spark) as tables:
+        found = tables.cut(rooted(tables, docs, 5, 80).select("doc_id", "print", "root"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print"))
+        kept = found.where("root is not null").groupBy("root").agg(first.alias("v")).select("v.doc_id", "v.print")
+        kept = tables.cut(kept.unionByName(found.where("root is null").select("doc_id", "print")), keep=True)
+    (key,) = fresh(docs, "print")
+    same = (F.col(f"d.{key}") == F.col("k.print")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    keyed = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    return keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
