@@ -109,20 +109,18 @@ def overlap(n, m, percent: int):
     return F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
 
 
-def pairs_of(met: DataFrame, ones: DataFrame, percent: int) -> DataFrame:
-    """a, b: the different pairs of met entries l and r that pass the suffix filter; a is the one whose shingles are the commoner.
+def near(cells_a, cells_b, n, m, percent: int):
+    """The suffix filter: it bounds the Hamming distance of two sets from below, by the cells that hold an odd number of
+    one set's shingles and an even number of the other's, since each of them holds a shingle that is in one set only."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(cells_a[k].bitwiseXOR(cells_b[k])) for k in range(CELLS // 64)])
+    return apart <= n + m - 2 * overlap(n, m, percent)
 
-    The suffix filter bounds the Hamming distance of the sets from below, by the cells that hold an odd number of one
-    set's shingles and an even number of the other's: each of them holds a shingle that is in one set only. The cells
-    meet a pair once, not each of its entries.
-    """
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """a, b, n, m: the different pairs of met entries l and r; a is the one whose shingles are the commoner."""
     side = lambda x: F.struct(F.col(f"{x}.rough"), F.col(f"{x}.e"), F.col(f"{x}.n"))
     pairs = met.select(F.least(side("l"), side("r")).alias("p"), F.greatest(side("l"), side("r")).alias("q"))
-    pairs = pairs.select(F.col("p.e").alias("a"), F.col("q.e").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).distinct()
-    cells = lambda x: ones.select(F.col("e").alias(x), F.col("cells").alias(f"cells_{x}"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("cells_a")[k].bitwiseXOR(F.col("cells_b")[k])) for k in range(CELLS // 64)])
-    near = apart <= F.col("n") + F.col("m") - 2 * overlap(F.col("n"), F.col("m"), percent)
-    return pairs.join(cells("a"), "a").join(cells("b"), "b").where(near).select("a", "b")
+    return pairs.select(F.col("p.e").alias("a"), F.col("q.e").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).distinct()
 
 
 def leaders(entries: DataFrame) -> DataFrame:
@@ -192,16 +190,21 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = tables.cut(signed.select("doc_id", "print", "n_shingles", "e"))
     tables.drop(signed)
     entries = tables.cut(prefixes(ones, percent, bounds))
-    met = tables.cut(pairs_of(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)), ones, percent))
+    # an entry meets three leaders at most, so cells meet the pair, not each of its entries
+    cells = lambda x: ones.select(F.col("e").alias(x), F.col("cells").alias(f"cells_{x}"))
+    met = pairs_of(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)))
+    met = met.join(cells("a"), "a").join(cells("b"), "b").where(near(F.col("cells_a"), F.col("cells_b"), F.col("n"), F.col("m"), percent))
+    met = tables.cut(met.select("a", "b"))
     links = verify(tables, met, ones, docs, n, percent)
     roots = components(tables, links)
 
     # what is still apart: entries of the shingles that several components have, where the pair has not met
     known = tables.cut(entries.join(roots.select("e", "root"), "e", "left").withColumn("root", F.coalesce("root", "e")))
     split = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    known = known.join(split, "h")
-    rest = known.alias("l").join(known.alias("r"), "h").where((F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & may_link(percent))
-    rest = tables.cut(pairs_of(rest, ones, percent).join(met, ["a", "b"], "left_anti"))
+    known = tables.cut(known.join(split, "h").join(ones.select("e", "cells"), "e"))
+    other = (F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & may_link(percent) & near(F.col("l.cells"), F.col("r.cells"), F.col("l.n"), F.col("r.n"), percent)
+    rest = known.alias("l").join(known.alias("r"), (F.col("l.h") == F.col("r.h")) & other)
+    rest = tables.cut(pairs_of(rest).select("a", "b").join(met, ["a", "b"], "left_anti"))
     more = verify(tables, rest, ones, docs, n, percent)
     roots = components(tables, links.union(more)).select("e", "root")
 
