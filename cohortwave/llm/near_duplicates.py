@@ -81,20 +81,20 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
 
 
 def prefixes(ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
-    """h, e, n, at, rough: prefix entries that another entity has too, with their place in the common order."""
+    """h, e, n, at, rough, past: prefix entries that another entity has too, with their place in the common order and the last three before them."""
     entries = ones.select("e", F.explode("head").alias("h"))
     often = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     part = sum((F.shiftrightunsigned("h", 64 - SPACE_BITS) >= b).cast("int") for b in bounds)
     rows = entries.join(often, "h").withColumn("part", part).join(ones.select("e", F.col("n_shingles").alias("n"), "parts"), "e")
-    of = Window.partitionBy("e")
+    of, line = Window.partitionBy("e"), Window.partitionBy("e").orderBy("part", "f", "h")
     # shingles that no other entity has come first in their part
     own = [F.col("parts")[k] - F.sum((F.col("part") == k).cast("long")).over(of) for k in range(len(bounds) + 1)]
     ahead = sum((F.when(F.col("part") >= k, F.col(f"own_{k}")).otherwise(0) for k in range(1, len(own))), F.col("own_0"))
-    rows = rows.select("e", "n", "h", "f", "part", *[c.alias(f"own_{k}") for k, c in enumerate(own)], F.sum(F.ln("f")).over(of).alias("logs"), F.row_number().over(of.orderBy("part", "f", "h")).alias("i"))
+    rows = rows.select("e", "n", "h", "f", "part", *[c.alias(f"own_{k}") for k, c in enumerate(own)], F.sum(F.ln("f")).over(of).alias("logs"), F.row_number().over(line).alias("i"), F.array(*[F.lag("h", k).over(line) for k in (1, 2, 3)]).alias("past"))
     most = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
     # a group's base has all that its copies share: the mean log frequency of its shingles is the highest
     rough = -F.floor(1000 * F.col("logs") / F.col("n"))
-    return rows.select("h", "e", "n", (F.col("i") - 1 + ahead).alias("at"), rough.alias("rough"), most.alias("most")).where("at < most").drop("most")
+    return rows.select("h", "e", "n", (F.col("i") - 1 + ahead).alias("at"), rough.alias("rough"), "past", most.alias("most")).where("at < most").drop("most")
 
 
 def may_link(percent: int):
@@ -202,7 +202,9 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     known = tables.cut(entries.join(roots.select("e", "root"), "e", "left").withColumn("root", F.coalesce("root", "e")))
     split = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     known = tables.cut(known.join(split, "h").join(ones.select("e", "cells"), "e"))
-    other = (F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & may_link(percent) & near(F.col("l.cells"), F.col("r.cells"), F.col("l.n"), F.col("r.n"), percent)
+    # a pair that has met in one of the last three shingles of both need not meet again
+    again = reduce(lambda x, y: x | y, [F.coalesce(F.col("l.past")[i] == F.col("r.past")[k], F.lit(False)) for i in range(3) for k in range(3)])
+    other = (F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & ~again & may_link(percent) & near(F.col("l.cells"), F.col("r.cells"), F.col("l.n"), F.col("r.n"), percent)
     rest = known.alias("l").join(known.alias("r"), (F.col("l.h") == F.col("r.h")) & other)
     rest = tables.cut(pairs_of(rest).select("a", "b").join(met, ["a", "b"], "left_anti"))
     more = verify(tables, rest, ones, docs, n, percent)
@@ -222,7 +224,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     with Tables(docs.sparkSession) as tables:
         named = tables.cut(rooted(tables, docs, n, percent).select("doc_id", "n_shingles", "root"), keep=True)
-    lowest = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        # a table of its own, so that a large component is split in the join below
+        lowest = tables.cut(named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), keep=True)
     some = named.where("n_shingles > 0").join(lowest, "root").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
