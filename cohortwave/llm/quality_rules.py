@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read, slices, text_buffer, window_hashes, word_hashes, word_spans
+from .common import as_bytes, read, short_batches, slices, text_buffer, window_hashes, word_hashes, word_spans
 
 #: Bounds of the fitting sample: documents of each label, and lines of one document; documents beyond the latter are not in it.
 FIT_DOCS, FIT_LINES, FIT_BYTES = 1500, 200, 100_000
@@ -260,4 +260,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 yield batch.slice(at, part.num_rows).filter(pa.array(keep))
                 at += part.num_rows
 
-    return docs.mapInArrow(run, fields)
+    return short_batches(docs).mapInArrow(run, fields)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import read, short_batches, slices
 
 #: Path of the public model; a parameter everywhere below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -275,7 +275,7 @@ def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id"
                 [*keep, "n_tokens", "token_ids", "decoded_sha256", "round_trip"],
             )
 
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = short_batches(docs).select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
