@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, fresh, read
 
 BLOCK = 4096
 EPS = 1e-9
@@ -103,7 +103,7 @@ def land(start: np.ndarray, pi: np.ndarray, size: np.ndarray, flips: int = 3) ->
 def _fly(seed: int, last: bool):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "size", "row"], na_position="last", ignore_index=True)
-        rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32(repr(key).encode())]))
+        rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32("\0".join("" if x is None else str(x) for x in key).encode())]))
         part = part.iloc[rng.permutation(len(part))]
         part = part.sort_values("size", ascending=False, kind="stable", ignore_index=True)  # what stays open is small
         size = part["size"].to_numpy()
@@ -119,9 +119,9 @@ def mix(docs: DataFrame, seed: int = 7, cap: float = 3.0, block: int = BLOCK) ->
     """doc_id, row, size, source, source_size, target, copies of every document.
 
     Null texts have size 0; null sources are one source, the last. Repeated rows are documents of their own, told
-    apart by `row`, a hash of the text. A source of size 0 has target 0. An empty table gives no rows.
+    apart by `row`, a hash of all columns (which must not be maps). A source of size 0 has target 0. An empty table gives no rows.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size_column().alias("size"), F.xxhash64("text", "doc_id").alias("row")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size_column().alias("size"), F.xxhash64(*docs.columns).alias("row")))
     by = targets(sized, cap)
     counts = sized.groupBy("source").agg(F.count("*").alias("n"))
     goal = cut(by.join(counts, by["source"].eqNullSafe(counts["source"])).select(by["source"].alias("of"), "source_size", "target", "n"))
@@ -151,9 +151,10 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mix(docs).where("copies > 0").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("row").alias("_row")).agg(F.sum("copies").alias("_times"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_row": F.xxhash64("text", "doc_id")})
+    """Documents as often as the mix takes them. Rows of equal columns share their copies; all columns come back, whatever their names."""
+    taken = mix(docs).where("copies > 0").groupBy("row").agg(F.sum("copies").alias("times"))
+    row, times, time = fresh(docs, "row", "times", "time")
+    taken = taken.select(F.col("row").alias(row), F.col("times").alias(times))
     # equal rows share a key: their copies add up and all go to one of them, inside the join's own partitioning
-    out = keyed.join(taken, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_time")).drop("_time")
+    out = docs.withColumn(row, F.xxhash64(*docs.columns)).join(taken, row).dropDuplicates([row])
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(time)).drop(time)

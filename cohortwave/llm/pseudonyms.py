@@ -13,26 +13,27 @@ all at one of three, as ever at all later places; until no match fails. Of overl
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 KEY = "pseudonym-key"
 ROUNDS = 8
 
 #: Patterns of the kinds, tried in this order at each place. Groups do not capture.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?:(?=T[0-9]{2}:[0-9]{2})|(?![A-Za-z0-9/-]))",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|\+1[0-9]{10}|\+[2-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3})(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|\+1[0-9]{10}|\+[2-9][0-9]{7,14}(?![A-Za-z0-9])|\+[2-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3})(?![A-Za-z0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -62,6 +63,10 @@ EPOCH, DATE_RADIX = "1900-01-01", (17, 4297)
 #: Numbers of three areas, groups and serials: areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
 SSN_RADIX = (898, 99 * 9999)
 IP_RADIX = (65536, 65536)
+#: Days above the twelfth that a year has before each month, leap days left out.
+BEFORE_MONTH = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
+#: What the first digit of a telephone number's group is while it is permuted: 208 and 209 for 0 and 1, from 192 on for 2 to 9.
+LEADING = "".join(map(chr, [208, 209, *range(192, 200)]))
 
 
 def _hash(key: str, kind: str, i: Column, x: Column) -> Column:
@@ -96,8 +101,8 @@ def characters(value: Column, key: str, kind: str) -> Column:
         def one(c: Column, k: Column) -> Column:
             shift = F.conv(F.substring(stream, (k % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
             code = F.ascii(c)
-            base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
-            size = F.when(c.between("0", "9"), 10).otherwise(26)
+            base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).when(c.between(LEADING[2], LEADING[9]), 192).when(c.between(LEADING[0], LEADING[1]), 208)
+            size = F.when(c.between("0", "9"), 10).when(c.between(LEADING[2], LEADING[9]), 8).when(c.between(LEADING[0], LEADING[1]), 2).otherwise(26)
             return F.when(base.isNull(), c).otherwise(F.char(base + (code - base + shift) % size))
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
@@ -147,7 +152,45 @@ def _octets(v: Column) -> list[Column]:
 
 def _day(v: Column) -> Column:
     iso, slash = v.contains("-"), v.contains("/")
-    return F.when(iso, F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))).when(slash, F.try_to_timestamp(v, F.lit("MM/dd/yyyy"))).otherwise(F.try_to_timestamp(v, F.lit("dd.MM.yyyy"))).cast("date")
+    slashed = F.coalesce(F.try_to_timestamp(v, F.lit("MM/dd/yyyy")), F.try_to_timestamp(v, F.lit("dd/MM/yyyy")))
+    return F.when(iso, F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))).when(slash, slashed).otherwise(F.try_to_timestamp(v, F.lit("dd.MM.yyyy"))).cast("date")
+
+
+def _day_first(v: Column) -> Column:
+    """Whether a slashed date is one only with its day, above 12, first."""
+    return v.contains("/") & F.try_to_timestamp(v, F.lit("MM/dd/yyyy")).isNull()
+
+
+def _day_first_image(v: Column, key: str) -> Column:
+    """The image among the dates whose day is above 12: 221 of each year, and the 49 leap days apart."""
+    day, month, year = (F.substring(v, a, n).cast("long") for a, n in ((1, 2), (4, 2), (7, 4)))
+    before = lambda m: reduce(lambda out, k: out.when(m == k + 1, F.lit(BEFORE_MONTH[k])), range(1, 12), F.when(m == 1, F.lit(BEFORE_MONTH[0])))
+    some = radix((year - 1900) * 221 + before(month) + day - 13, (200, 221), key, "day first")
+    leap = radix(F.floor((year - 1904) / 4).cast("long"), (7, 7), key, "leap day")
+
+    def text(x: Column) -> Column:
+        at = x % 221
+        m = reduce(lambda out, k: out + (at >= BEFORE_MONTH[k]).cast("int"), range(1, 12), F.lit(1))
+        return F.concat_ws("/", F.lpad((at - before(m) + 13).cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0"), (F.floor(x / F.lit(221)) + 1900).cast("string"))
+
+    usual = F.transform(F.array(some), text)[0]
+    return F.when((month == 2) & (day == 29), F.concat(F.lit("29/02/"), (leap * 4 + 1904).cast("string"))).otherwise(usual)
+
+
+def _phone_image(v: Column, key: str) -> Column:
+    """The country code stays (three digits where nothing parts it off); of each group of digits the first one stays among 2 to 9 or among 0 and 1, as numbering plans ask."""
+    code = F.regexp_extract(v, r"^\+(?:1|[0-9]{1,3}(?=[^0-9])|[0-9]{3})", 0)
+    groups = F.regexp_extract_all(F.substring(v, F.length(code) + 1, F.length(v)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    marked = F.array_join(F.transform(groups, lambda g: F.concat(F.translate(F.substring(g, 1, 1), "0123456789", LEADING), F.substring(g, F.lit(2), F.length(g)))), "")
+    return F.concat(code, F.translate(characters(marked, key, "phone"), LEADING, "0123456789"))
+
+
+def digest(v: Column, key: str) -> Column:
+    """HMAC-SHA-256 of a value, so that only who has the key can try values."""
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    block = block.ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(x ^ 0x36 for x in block)), v.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(x ^ 0x5C for x in block)), F.unhex(inner)), 256)
 
 
 def kind_of(v: Column) -> Column:
@@ -171,6 +214,7 @@ def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
     """The image of a valid match of a kind."""
     day = F.date_add(F.lit(EPOCH).cast("date"), radix(F.datediff(_day(v), F.lit(EPOCH).cast("date")).cast("long"), DATE_RADIX, key, "date").cast("int"))
     date = F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    date = F.when(_day_first(v), _day_first_image(v, key)).otherwise(date)
     area, group, serial = F.substring(v, 1, 3).cast("long"), F.substring(v, 5, 2).cast("long"), F.substring(v, 8, 4).cast("long")
     index = (F.when(area > 666, area - 2).otherwise(area - 1)) * SSN_RADIX[1] + (group - 1) * 9999 + serial - 1
 
@@ -193,7 +237,7 @@ def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
     iban = once(account, lambda b: F.concat(F.substring(v, 1, 2), F.lpad((98 - mod97(F.concat(_bare(b), F.substring(v, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
     local = F.substring_index(v, "@", 1)
     email = F.concat(characters(local, key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
-    phone = characters(v, key, "phone")
+    phone = _phone_image(v, key)
     return (
         F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ssn", once(radix(index, SSN_RADIX, key, "ssn"), ssn_text))
         .when(kind == "ip", once(address, ip_text)).when(kind == "card", card).when(kind == "phone", phone)
@@ -227,28 +271,29 @@ def _plain(text: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns, the text with pseudonyms, and `pii`: array<struct<kind, value, pseudonym>> in the order of the text.
 
-    `value` is the sha2 of what stood there, not the value. Null texts stay null with an empty array, empty ones empty.
-    Invalid matches stay as they are and are not listed, but for valid values inside them. Repeated rows change alike. A column named pii is replaced.
+    `value` is a keyed digest of what stood there, not the value. The default key is for tests: give your own. Null texts stay null with an empty array, empty ones empty.
+    Invalid matches stay as they are and are not listed, but for valid values inside them. Repeated rows change alike. A column named pii is replaced; all others come back, whatever their names. Very long texts are read once for each kind of step; an empty table gives no rows.
     """
     text = F.col("text")
     some = F.coalesce(F.regexp(text, F.lit("[0-9]|@")), F.lit(False))
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_bad", F.when(F.size("_found") > 0, F.exists("_found", lambda v: kind_of(v).isNull())).otherwise(False))
-    rows = rows.withColumn("_marked", F.when(F.col("_bad"), _settled(text)))
-    rows = rows.withColumn("_found", F.when(F.col("_bad"), F.regexp_extract_all("_marked", F.lit(MARKED), F.lit(0))).otherwise(F.col("_found")))
+    found_, bad_, marked_, kinds_, images_, text_ = fresh(docs, "found", "bad", "marked", "kinds", "images", "text")
+    rows = docs.withColumn(found_, found)
+    rows = rows.withColumn(bad_, F.when(F.size(found_) > 0, F.exists(found_, lambda v: kind_of(v).isNull())).otherwise(False))
+    rows = rows.withColumn(marked_, F.when(F.col(bad_), _settled(text)))
+    rows = rows.withColumn(found_, F.when(F.col(bad_), F.regexp_extract_all(marked_, F.lit(MARKED), F.lit(0))).otherwise(F.col(found_)))
 
     def one(v: Column) -> Column:
         return F.struct(v.alias("v"), kind_of(v).alias("kind"))
 
-    rows = rows.withColumn("_kinds", F.when(F.size("_found") > 0, F.transform("_found", one)).otherwise(F.array().cast("array<struct<v:string,kind:string>>")))
+    rows = rows.withColumn(kinds_, F.when(F.size(found_) > 0, F.transform(found_, one)).otherwise(F.array().cast("array<struct<v:string,kind:string>>")))
     image = lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), F.coalesce(pseudonym(x["v"], x["kind"], key), x["v"]).alias("w"))
-    rows = rows.withColumn("_images", F.when(F.size("_kinds") > 0, F.transform("_kinds", image)).otherwise(F.array().cast("array<struct<kind:string,v:string,w:string>>")))
-    between = F.when(F.col("_bad"), F.transform(F.split("_marked", MARKED, -1), _plain)).otherwise(F.split(text, ANY, -1))
-    joined = F.array_join(F.zip_with(between, F.col("_images"), lambda a, b: F.concat(a, F.coalesce(b["w"], F.lit("")))), "")
-    listed = F.transform(F.filter("_images", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), F.sha2(x["v"], 256).alias("value"), x["w"].alias("pseudonym")))
-    rows = rows.withColumn("_text", F.when(F.size("_images") > 0, joined).otherwise(text)).withColumn("pii", listed)
-    return rows.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "pii"], "pii")
+    rows = rows.withColumn(images_, F.when(F.size(kinds_) > 0, F.transform(kinds_, image)).otherwise(F.array().cast("array<struct<kind:string,v:string,w:string>>")))
+    between = F.when(F.col(bad_), F.transform(F.split(marked_, MARKED, -1), _plain)).otherwise(F.split(text, ANY, -1))
+    joined = F.array_join(F.zip_with(between, F.col(images_), lambda a, b: F.concat(a, F.coalesce(b["w"], F.lit("")))), "")
+    listed = F.transform(F.filter(images_, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), digest(x["v"], key).alias("value"), x["w"].alias("pseudonym")))
+    rows = rows.withColumn(text_, F.when(F.size(images_) > 0, joined).otherwise(text)).withColumn("pii", listed)
+    return rows.select(*[F.col(text_).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "pii"], "pii")
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

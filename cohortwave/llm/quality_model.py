@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, read
 
-#: Bounds of the fitting sample: labelled texts of each label for a dictionary and for the curve, the longest text in it, and bytes of each that a dictionary is trained on.
-FIT_TEXTS, CURVE_TEXTS, FIT_BYTES, SHARE = 1500, 1500, 64_000, 4096
+#: Bounds of the fitting sample: labelled texts of each label for a dictionary and for the curve, and the longest text in it.
+FIT_TEXTS, CURVE_TEXTS, FIT_BYTES = 1500, 1500, 64_000
 DICTIONARY_BYTES = 65_536
 LEVEL, PIECE = 1, 256
 FOLDS = 5
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_texts: int = FIT_TEXTS, curve_te
     parts = [ids.where((F.col("quality") == q) & (F.col("curve") == c)).orderBy(order).limit(curve_texts if c else fit_texts) for q in (0, 1) for c in (False, True)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    basis = rows.where(~F.col("curve")).select("quality", "doc_id", F.substring("text", 1, SHARE).cast("binary").alias("text")).toPandas().sort_values("doc_id")
+    basis = rows.where(~F.col("curve")).select("quality", "doc_id", F.col("text").cast("binary").alias("text")).toPandas().sort_values("doc_id")
     good, bad = (train(basis.text[basis.quality == q].tolist()) for q in (1, 0))
     seen = score(rows.where("curve"), good, bad, None, "quality").toPandas()
     if seen.quality.nunique() < 2:
