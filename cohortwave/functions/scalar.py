@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,23 @@ def symlog(x: Column, base: float = 10.0, eps: float = 1e-6) -> Column:
     return F.signum(x) * F.ln(F.abs(x) + F.lit(eps)) / F.ln(F.lit(float(base)))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with ties at their mean, within by."""
-    tied = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(tied) - 1) / F.lit(2.0)
+def with_ranks(df: DataFrame, by: list[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
+    """df with the rank of value within by, ties at their mean; null where the value is.
+
+    Equal values are counted first. The distinct ones fall into buckets of equal width, so that no window holds all of
+    a key: the rank is the rows of the lower buckets, then those before the value in its own.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    span = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    place = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    counts = counts.join(span, by).withColumn("_bucket", F.floor(place * buckets)).drop("_lo", "_hi")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum("_n").over(earlier(Window.partitionBy(*by, "_bucket").orderBy(value)))
+    lower = F.sum("_m").over(earlier(Window.partitionBy(*by).orderBy("_bucket")))
+    starts = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m")).select(*by, "_bucket", F.coalesce(lower, F.lit(0)).alias("_start"))
+    rank = F.col("_start") + F.coalesce(inside, F.lit(0)) + (F.col("_n") + 1) / F.lit(2.0)
+    ranks = counts.join(starts, [*by, "_bucket"]).select(*by, value, rank.alias(out))
+    return df.join(ranks, [*by, value], "left")
 
 
 def band_of(freq: Column, bands: list[tuple[float, float]]) -> Column:
@@ -28,5 +41,5 @@ def band_of(freq: Column, bands: list[tuple[float, float]]) -> Column:
     return F.array_compact(F.array(*[F.when(freq.between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(bands)]))
 
 
-#: The standard frequency bands in Hz.
-STANDARD_BANDS = [(0.3, 1.5), (1.5, 4.0), (4.0, 8.0), (8.0, 12.5), (12.5, 30.0), (30.0, 70.0), (70.0, 150.0)]
+#: The standard frequency bands in Hz, at 500 samples a second; the last ends at half of that.
+STANDARD_BANDS = [(0.3, 1.5), (1.5, 4.0), (4.0, 8.0), (8.0, 12.0), (12.0, 30.0), (30.0, 70.0), (70.0, 150.0), (150.0, 250.0)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank
+from ..functions.scalar import with_ranks
 
 
 def binary_scores(preds: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -63,7 +63,7 @@ def confusion_members(preds: DataFrame) -> DataFrame:
 
 
 def rank_rmse(preds: DataFrame) -> DataFrame:
-    x = preds.withColumns({"rp": average_rank(["model"], "p"), "ry": average_rank(["model"], "y")})
+    x = with_ranks(with_ranks(preds, ["model"], "p", "rp"), ["model"], "y", "ry")
     return x.groupBy("model").agg(F.sqrt(F.avg((F.col("rp") - F.col("ry")) ** 2)).alias("rank_rmse"))
 
 
@@ -75,7 +75,7 @@ def regression_scores(preds: DataFrame) -> DataFrame:
 
 def mann_whitney(preds: DataFrame) -> DataFrame:
     """U of the positives' probabilities and its normal z without tie correction."""
-    x = preds.withColumn("r", average_rank(["model"], "p"))
+    x = with_ranks(preds, ["model"], "p", "r")
     g = x.groupBy("model").agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"), F.sum("y").cast("double").alias("n1"), F.sum(1 - F.col("y")).cast("double").alias("n0"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
     return g.select("model", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n0") / 2, F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank
+from ..functions.scalar import with_ranks
 
 GRAPH = ["subject", "state"]
 
@@ -23,8 +23,8 @@ def pair_pearson(samples: DataFrame) -> DataFrame:
 
 
 def pair_spearman(samples: DataFrame) -> DataFrame:
-    ranked = samples.withColumn("x", average_rank(["subject", "state", "channel"], "x"))
-    return pair_pearson(ranked)
+    ranked = with_ranks(samples, ["subject", "state", "channel"], "x", "rank")
+    return pair_pearson(ranked.withColumn("x", F.col("rank")))
 
 
 def pair_mutual_info(samples: DataFrame, bins: int = 20) -> DataFrame:

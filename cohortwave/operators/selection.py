@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank
+from ..functions.scalar import with_ranks
 
 
 def drop_duplicate_constant(features: DataFrame, min_unique: int = 2) -> DataFrame:
@@ -26,7 +28,50 @@ def variance_filter(features: DataFrame, threshold: float) -> DataFrame:
 
 def impute(features: DataFrame) -> DataFrame:
     """Nulls as the median of their key."""
-    return features.withColumn("value", F.coalesce("value", F.percentile("value", F.lit(0.5)).over(Window.partitionBy("key"))))
+    middle = features.groupBy("key").agg(F.percentile("value", F.lit(0.5)).alias("middle"))
+    return features.join(middle, "key").select("subject", "key", F.coalesce("value", "middle").alias("value"))
+
+
+def drop_odd_columns(features: DataFrame) -> DataFrame:
+    """The rows of keys without any null, NaN or infinite value."""
+    odd = F.coalesce(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(True))
+    return features.join(features.where(odd).select("key").distinct(), "key", "left_anti")
+
+
+def drop_odd_rows(features: DataFrame) -> DataFrame:
+    """The rows of subjects without any null, NaN or infinite value."""
+    odd = F.coalesce(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(True))
+    return features.join(features.where(odd).select("subject").distinct(), "subject", "left_anti")
+
+
+def drop_duplicate_named(features: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row of each subject and key, where the values under one name differ by no more than the tolerance in any subject; keys that differ more lose nothing."""
+    spread = features.groupBy("subject", "key").agg((F.max("value") - F.min("value")).alias("d"), F.count("*").alias("n"))
+    wide = spread.where(F.col("d") > tolerance).select("key").distinct()
+    apart = features.join(wide, "key", "left_semi").select("subject", "key", "value")
+    return apart.unionByName(features.join(wide, "key", "left_anti").groupBy("subject", "key").agg(F.min("value").alias("value")))
+
+
+def join_feature_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """The sets' rows (subject, key, value) with their set, for the subjects that all of them have."""
+    every = reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("set"), "subject", "key", "value") for name, df in sets.items()])
+    common = every.groupBy("subject").agg(F.count_distinct("set").alias("n")).where(F.col("n") == len(sets)).select("subject")
+    return every.join(common, "subject", "left_semi")
+
+
+def split_by_token(features: DataFrame, tokens: list[str]) -> DataFrame:
+    """The rows with the first of the tokens that the key holds; null without any."""
+    return features.withColumn("token", F.coalesce(*[F.when(F.contains("key", F.lit(t)), F.lit(t)) for t in tokens]))
+
+
+def score_kendall(features: DataFrame, target: DataFrame) -> DataFrame:
+    """Absolute tau-b of each key with a target of 0 and 1: concordant less discordant pairs follow from the rank sum, so no pair is made."""
+    x = with_ranks(features.join(target, "subject").where(F.col("value").isNotNull()), ["key"], "value", "r")
+    ties = x.groupBy("key", "value").agg(F.count("*").cast("double").alias("t")).groupBy("key").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties"))
+    g = x.groupBy("key").agg(F.sum(F.col("r") * F.col("y")).alias("s"), F.sum("y").cast("double").alias("n1"), F.count("*").cast("double").alias("n")).join(ties, "key")
+    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
+    surplus = 2 * (F.col("s") - n1 * (n1 + 1) / 2) - n1 * n0
+    return g.select("key", F.abs(F.try_divide(surplus, F.sqrt((F.col("n") * (F.col("n") - 1) / 2 - F.col("ties")) * n1 * n0))).alias("score"))
 
 
 def robust_scale(features: DataFrame, train: DataFrame) -> DataFrame:
@@ -40,7 +85,7 @@ def score_pearson(features: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def score_spearman(features: DataFrame, target: DataFrame) -> DataFrame:
-    x = features.join(target, "subject").withColumns({"rv": average_rank(["key"], "value"), "ry": average_rank(["key"], "y")})
+    x = with_ranks(with_ranks(features.join(target, "subject"), ["key"], "value", "rv"), ["key"], "y", "ry")
     return x.groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score"))
 
 
@@ -98,8 +143,12 @@ def regional_features(features: DataFrame, regions: dict[str, list[str]]) -> Dat
 
 def assign_folds(df: DataFrame, key: str, by: str, k: int, seed: str) -> DataFrame:
     """Stratified folds: the hash of the key deals each class out; the md5 is the same in any engine."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(by).orderBy(h, key)) - 1) % k)
+    x = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    # rows are numbered within buckets of the digest, and a bucket starts where the lower ones end
+    lower = F.sum("_m").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = x.groupBy(by, "_b").agg(F.count("*").alias("_m")).select(by, "_b", F.coalesce(lower, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", key))
+    return x.join(starts, [by, "_b"]).withColumn("fold", (F.col("_start") + place - 1) % k).select(*df.columns, "fold")
 
 
 def score_mutual_info(features: DataFrame, target: DataFrame, bins: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,33 @@ from ..functions.scalar import STANDARD_BANDS, band_of
 KEY = ["subject", "state", "channel"]
 
 
+def periodogram(epochs: DataFrame, fs: float = 1.0) -> DataFrame:
+    """k, freq, power of the mean Hann periodogram of each series from its packed epochs (KEY, epoch, xs): one-sided density, the mean of an epoch taken off.
+
+    An epoch is an array of bounded length, and its sums over sines run inside the row: no row an epoch, sample and frequency is made.
+    """
+    n = F.size("xs")
+    mean = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / n
+    taper = lambda i: 0.5 - 0.5 * F.cos(2 * math.pi * i / F.col("n"))
+    x = epochs.select(*KEY, n.alias("n"), F.transform("xs", lambda v, i: v - mean).alias("xs")).select(*KEY, "n", F.transform("xs", lambda v, i: v * taper(i)).alias("xs"))
+    x = x.select(*KEY, "n", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
+    part = lambda f: F.aggregate(F.transform("xs", lambda v, i: v * f(2 * math.pi * F.col("k") * i / F.col("n"))), F.lit(0.0), lambda a, b: a + b)
+    sides = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("n")), 1.0).otherwise(2.0)
+    # the sum of squares of a periodic Hann window of n points is 3 n / 8
+    power = sides * (F.pow(part(F.cos), F.lit(2.0)) + F.pow(part(F.sin), F.lit(2.0))) / (fs * 0.375 * F.col("n"))
+    return x.select(*KEY, "k", (F.col("k") * fs / F.col("n")).alias("freq"), power.alias("p")).groupBy(*KEY, "k", "freq").agg(F.avg("p").alias("power"))
+
+
+def average_segments(spectra: DataFrame) -> DataFrame:
+    """Mean power of the segments of a state, by their durations; spectra: subject, channel, state, segment, duration, k, freq, power."""
+    return spectra.groupBy(*KEY, "k", "freq").agg(F.try_divide(F.sum(F.col("power") * F.col("duration")), F.sum("duration")).alias("power"))
+
+
 def in_bands(spectrum: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
     """A row for each band that holds a bin. The bands are a constant of a few entries: an expression, not a join."""
     return spectrum.withColumn("band_id", F.explode(band_of(F.col("freq"), bands)))
 
 
-def _skew(x: Column) -> Column:
-    return F.skewness(x)
-
-
 def band_stats(spectrum: DataFrame, bands: list[tuple[float, float]] = STANDARD_BANDS) -> DataFrame:
     """Statistics of log10 power in each band, without the first and the last bin of a spectrum; one scan, one shuffle."""
     ends = Window.partitionBy(*KEY)
@@ -75,8 +95,8 @@ def spectral_edges(spectrum: DataFrame, levels: list[float]) -> DataFrame:
     return c.groupBy(*KEY).agg(*[F.min(F.when(F.col("cum") >= F.lit(q) * F.col("total"), F.col("freq"))).alias(f"edge_{j}") for j, q in enumerate(levels)])
 
 
-def aperiodic_fixed(spectrum: DataFrame, lo: float, hi: float, keep: float = 0.25) -> DataFrame:
-    """Offset and exponent of log10 P = a - b log10 f: a fit, its residuals floored at 0, and a fit to the lowest share of them."""
+def aperiodic_fixed(spectrum: DataFrame, lo: float, hi: float, keep: float = 0.00025) -> DataFrame:
+    """Offset and exponent of log10 P = a - b log10 f: a fit, its residuals floored at 0, and a fit to the lowest share of them, 0.025 percent."""
     x = spectrum.where(F.col("freq").between(lo, hi)).withColumns({"lf": F.log10("freq"), "lp": F.log10("power")})
     w = Window.partitionBy(*KEY)
     x = x.withColumns({"s": F.regr_slope("lp", "lf").over(w), "i": F.regr_intercept("lp", "lf").over(w)})

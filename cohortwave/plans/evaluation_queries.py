@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import evaluation as E
+from ..operators import models as M
 from ..operators import selection as S
 from ..sources import views as V
 from ..sources.views import with_views
@@ -131,6 +132,42 @@ QUERIES = {
         lambda s, d: rounded(S.score_mutual_info(*_ft(s, d)), "score"),
         sql("SELECT key, round(sum(n / t * ln(n * t / (nb * ny))), 6) AS score FROM (SELECT *, sum(n) OVER (PARTITION BY key, bin) AS nb, sum(n) OVER (PARTITION BY key, y) AS ny, sum(n) OVER (PARTITION BY key) AS t FROM (SELECT key, bin, y, count(*)::DOUBLE AS n FROM (SELECT key, y, least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10), 9) AS bin FROM j WINDOW w AS (PARTITION BY key)) GROUP BY ALL)) GROUP BY key", JOINED),
     ),
+    "fs02_drop_odd_columns": (
+        lambda s, d: S.drop_odd_columns(V.features(s, d).withColumn("value", F.when((F.col("subject") % 7 != 0) | (F.col("key") > "f20"), F.col("value")))).select("subject", "key", F.round("value", 6).alias("value")),
+        sql("SELECT subject, key, round(value, 6) AS value FROM features WHERE key > 'f20'", views=("features",)),
+    ),
+    "fs02_drop_odd_rows": (
+        lambda s, d: S.drop_odd_rows(V.features(s, d).withColumn("value", F.when((F.col("subject") % 7 != 0) | (F.col("key") > "f20"), F.col("value")))).select("subject", "key", F.round("value", 6).alias("value")),
+        sql("SELECT subject, key, round(value, 6) AS value FROM features WHERE subject % 7 <> 0", views=("features",)),
+    ),
+    "fs08_score_kendall": (
+        lambda s, d: rounded(S.score_kendall(*_ft(s, d)), "score"),
+        sql("SELECT key, round(abs(sum(sign(a.value - b.value) * sign(a.y - b.y)) / sqrt(sum((a.value <> b.value)::INT)::DOUBLE * sum((a.y <> b.y)::INT))), 6) AS score FROM j a JOIN j b USING (key) WHERE a.subject < b.subject GROUP BY key", JOINED),
+    ),
+    "fa02_join_feature_sets": (
+        lambda s, d: S.join_feature_sets({"a": V.features(s, d).where("subject % 3 <> 0 AND key < 'f10'"), "b": V.features(s, d).where("subject % 5 <> 0 AND key >= 'f60'")}).select("set", "subject", "key", F.round("value", 6).alias("value")),
+        sql("SELECT CASE WHEN key < 'f10' THEN 'a' ELSE 'b' END AS set, subject, key, round(value, 6) AS value FROM features WHERE subject % 3 <> 0 AND subject % 5 <> 0 AND (key < 'f10' OR key >= 'f60')", views=("features",)),
+    ),
+    "fa04_drop_duplicate_named": (
+        lambda s, d: S.drop_duplicate_named(V.features(s, d).unionByName(V.features(s, d).withColumn("value", F.when(F.col("key") < "f05", F.col("value") + 1).otherwise(F.col("value"))))).select("subject", "key", F.round("value", 6).alias("value")),
+        sql("SELECT subject, key, round(value, 6) AS value FROM features UNION ALL SELECT subject, key, round(value + 1, 6) FROM features WHERE key < 'f05'", views=("features",)),
+    ),
+    "fa05_split_by_token": (
+        lambda s, d: S.split_by_token(V.features(s, d), ["f1", "f2"]).select("subject", "key", "token"),
+        sql("SELECT subject, key, CASE WHEN contains(key, 'f1') THEN 'f1' WHEN contains(key, 'f2') THEN 'f2' END AS token FROM features", views=("features",)),
+    ),
+    "ml05_naive_mean": (
+        lambda s, d: rounded(M.naive_mean(V.target(s, d).where("subject % 10 < 6").select("subject", F.lit("label").alias("name"), F.col("label").cast("double").alias("y")), V.target(s, d).where("subject % 10 >= 6").select("subject", F.lit("label").alias("name"))), "p"),
+        sql("SELECT subject, 'label' AS name, round((SELECT avg(label) FROM target WHERE subject % 10 < 6), 6) AS p FROM target WHERE subject % 10 >= 6", views=("target",)),
+    ),
+    "ml06_gaussian_nb": (
+        lambda s, d: rounded(M.gaussian_nb(V.features(s, d), V.target(s, d).where("subject % 10 < 6").select("subject", "y")), "p"),
+        sql("SELECT subject, round(1 / (1 + exp(-(sum(CASE WHEN y = 1 THEN t ELSE -t END) + (SELECT ln(sum(y) / sum(1 - y)) FROM target WHERE subject % 10 < 6)))), 6) AS p FROM (SELECT features.subject, g.y, -0.5 * (ln(2 * pi() * v) + (value - m) ** 2 / v) AS t FROM features JOIN g USING (key)) GROUP BY subject", JOINED, "w AS (SELECT max(v) AS most FROM (SELECT var_pop(value) AS v FROM j WHERE subject % 10 < 6 GROUP BY key))", "g AS (SELECT key, y, avg(value) AS m, var_pop(value) + 1e-9 * (SELECT most FROM w) AS v FROM j WHERE subject % 10 < 6 GROUP BY key, y)"),
+    ),
+    "ml07_oof_gaussian_nb": (
+        lambda s, d: rounded(M.oof_gaussian_nb(V.features(s, d), V.target(s, d).select("subject", "y", (F.col("subject") % 5).alias("fold"))), "p"),
+        sql("SELECT a.subject, round(1 / (1 + exp(-(sum(CASE WHEN g.y = 1 THEN t ELSE -t END) + max(pr)))), 6) AS p FROM (SELECT features.subject, g.y, g.fold, -0.5 * (ln(2 * pi() * v) + (value - m) ** 2 / v) AS t FROM features JOIN g ON features.key = g.key AND features.subject % 5 = g.fold) a JOIN (SELECT 1 AS y) x ON true JOIN (SELECT fold, ln(sum(y) / sum(1 - y)) AS pr FROM target JOIN range(5) r(fold) ON subject % 5 <> fold GROUP BY fold) q ON a.fold = q.fold GROUP BY a.subject".replace("CASE WHEN g.y = 1", "CASE WHEN a.y = 1"), JOINED, "g AS (SELECT fold, key, y, avg(value) AS m, greatest(avg(value * value) - avg(value) ** 2, 1e-12) AS v FROM j JOIN range(5) r(fold) ON subject % 5 <> fold GROUP BY ALL)"),
+    ),
     "fa06_odd_cells": (
         lambda s, d: S.odd_cells(V.features(s, d).withColumn("value", F.when(F.col("subject") % 11 == 0, float("inf")).when(F.col("subject") % 7 != 0, F.col("value")))),
         sql("SELECT subject, key, CASE WHEN subject % 11 = 0 THEN 'inf' ELSE 'null' END AS kind FROM features WHERE subject % 11 = 0 OR subject % 7 = 0", views=("features",)),

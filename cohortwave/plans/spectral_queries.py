@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import STANDARD_BANDS, r6
+from ..functions.scalar import r6
 from ..operators import spectral as S
 from ..sources import views as V
 from ..sources.views import with_views
 
 KEY = "subject, state, channel"
-BANDS = "bands AS (SELECT unnest(range(%d))::INT AS band_id, unnest(%s::DOUBLE[]) AS lo, unnest(%s::DOUBLE[]) AS hi)" % (len(STANDARD_BANDS), [b[0] for b in STANDARD_BANDS], [b[1] for b in STANDARD_BANDS])
+BANDS = "bands AS (SELECT unnest(range(8))::INT AS band_id, unnest([0.3, 1.5, 4, 8, 12, 30, 70, 150]::DOUBLE[]) AS lo, unnest([1.5, 4, 8, 12, 30, 70, 150, 250]::DOUBLE[]) AS hi)"
 LEVELS = [0.1, 0.25, 0.5, 0.75, 0.9]
 EDGES = [0.25, 0.5, 0.95]
 ROIS = {"left": ["ch1", "ch3"], "right": ["ch0", "ch2", "ch4"], "front": ["ch0", "ch1"]}
@@ -27,13 +27,20 @@ STATS = f"stats AS (SELECT {KEY}, band_id, avg(lp) AS v FROM inner_bins JOIN ban
 POWER = f"bp AS (SELECT {KEY}, band_id, sum(power) AS p FROM spectrum JOIN bands ON freq >= lo AND freq < hi GROUP BY ALL)"
 CUM = f"cums AS (SELECT *, sum(coalesce((freq - f0) * (power + p0) / 2, 0)) OVER (PARTITION BY {KEY} ORDER BY k) AS cum FROM (SELECT *, lag(freq) OVER w AS f0, lag(power) OVER w AS p0 FROM spectrum WINDOW w AS (PARTITION BY {KEY} ORDER BY k)))"
 FIT = f"""x AS (SELECT *, log10(freq) AS lf, log10(power) AS lp FROM spectrum WHERE freq BETWEEN 2 AND 40), f1 AS (SELECT {KEY}, regr_slope(lp, lf) AS s, regr_intercept(lp, lf) AS i FROM x GROUP BY ALL),
- x2 AS (SELECT x.*, greatest(lp - i - s * lf, 0) AS flat FROM x JOIN f1 USING (subject, state, channel)), c AS (SELECT {KEY}, quantile_cont(flat, 0.25) AS q FROM x2 GROUP BY ALL)"""
+ x2 AS (SELECT x.*, greatest(lp - i - s * lf, 0) AS flat FROM x JOIN f1 USING (subject, state, channel)), c AS (SELECT {KEY}, quantile_cont(flat, 0.00025) AS q FROM x2 GROUP BY ALL)"""
 
 
 def rounded(df, *cols):
     return df.withColumns({c: r6(c, c) for c in cols})
 
 
+def _packed(samples, n: int):
+    """Epochs of n samples as arrays; the last, incomplete one is left out."""
+    rows = samples.withColumns({"epoch": F.floor(F.col("t_idx") / n), "i": F.col("t_idx") % n})
+    xs = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
+    return rows.groupBy("subject", "state", "channel", "epoch").agg(xs.alias("xs")).where(F.size("xs") == n)
+
+
 STAT = ["avg", "sum", "max", "min", "std", "var", "p25", "median", "p75", "iqr"]
 
 QUERIES = {
@@ -47,7 +54,7 @@ QUERIES = {
     ),
     "sp08_power_percentiles": (
         lambda s, d: rounded(S.power_percentiles(V.spectrum(s, d), LEVELS), "value"),
-        sql(f"SELECT {KEY}, j::INT AS j, round(quantile_cont(log10(power), q), 6) AS value FROM spectrum, LATERAL (SELECT 1) GROUP BY ALL").replace("j::INT AS j, round(quantile_cont(log10(power), q), 6) AS value FROM spectrum, LATERAL (SELECT 1) GROUP BY ALL", f"unnest(range({len(LEVELS)}))::INT AS j, round(unnest(q), 6) AS value FROM (SELECT {KEY}, quantile_cont(log10(power), {LEVELS}) AS q FROM spectrum GROUP BY ALL)"),
+        sql(f"SELECT {KEY}, unnest(range({len(LEVELS)}))::INT AS j, round(unnest(q), 6) AS value FROM (SELECT {KEY}, quantile_cont(log10(power), {LEVELS}) AS q FROM spectrum GROUP BY ALL)"),
     ),
     "sp10_roi_percentiles": (
         lambda s, d: rounded(S.roi_percentiles(V.spectrum(s, d), ROIS, LEVELS), "value"),
@@ -70,6 +77,14 @@ QUERIES = {
         lambda s, d: rounded(S.fit_quality(V.spectrum(s, d), F.lit(-2.0) - 0.1 * F.log10("freq")), "r2", "mae", "mse", "rmse"),
         sql(f"SELECT {KEY}, round(corr(lp, m) ** 2, 6) AS r2, round(avg(abs(lp - m)), 6) AS mae, round(avg((lp - m) ** 2), 6) AS mse, round(sqrt(avg((lp - m) ** 2)), 6) AS rmse FROM (SELECT *, log10(power) AS lp, -2.0::DOUBLE - 0.1::DOUBLE * log10(freq) AS m FROM spectrum) GROUP BY ALL"),
     ),
+    "sp02_periodogram": (
+        lambda s, d: rounded(S.periodogram(_packed(V.samples(s, d), 32)), "freq", "power"),
+        with_views("", "samples").rstrip() + f", e AS (SELECT {KEY}, t_idx // 32 AS ep, t_idx % 32 AS i, x, count(*) OVER w AS n, avg(x) OVER w AS m FROM samples WINDOW w AS (PARTITION BY {KEY}, t_idx // 32)), t AS (SELECT *, (x - m) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM e WHERE n = 32), c AS (SELECT {KEY}, ep, k, sum(y * cos(2 * pi() * k * i / 32)) AS re, sum(y * sin(2 * pi() * k * i / 32)) AS im FROM t, range(17) r(k) GROUP BY ALL) SELECT {KEY}, k::INT AS k, round(k / 32, 6) AS freq, round(avg((CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END) * (re * re + im * im) / 12), 6) AS power FROM c GROUP BY {KEY}, k",
+    ),
+    "sp04_average_segments": (
+        lambda s, d: rounded(S.average_segments(V.spectrum(s, d).withColumn("duration", (F.col("k") % 3 + 1).cast("double")).withColumn("k", F.floor(F.col("k") / 2).cast("int")).withColumn("freq", F.lit(1.0) * F.col("k"))), "freq", "power"),
+        sql(f"SELECT {KEY}, k2::INT AS k, k2::DOUBLE AS freq, round(sum(power * w) / sum(w), 6) AS power FROM (SELECT *, k // 2 AS k2, (k % 3 + 1)::DOUBLE AS w FROM spectrum) GROUP BY ALL"),
+    ),
     "sp19_relative_power": (lambda s, d: rounded(S.relative_power(S.band_power(V.spectrum(s, d))), "p", "rel"), sql(f"SELECT {KEY}, band_id, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY {KEY}), 6) AS rel FROM bp", POWER)),
     "sp20_power_asymmetry": (
         lambda s, d: rounded(S.power_asymmetry(S.band_power(V.spectrum(s, d)), PAIRS), "asymmetry"),
