@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -105,17 +107,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def short_batches(docs: DataFrame) -> DataFrame:
-    """docs; from now on the session's Arrow batches hold 1,000 rows at most, since a text is long and a batch is held as a whole on either side."""
+def released(batches):
+    """Batches of a task. Spark's Python workers live on, so what the task has used goes back to the system at its end."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_arrow(docs: DataFrame, run, schema) -> DataFrame:
+    """docs.mapInArrow(run, schema) in little memory.
+
+    From then on the session's Arrow batches hold 1,000 rows at most, since a text is long and a batch is held as a
+    whole on either side.
+    """
     conf, most = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(most)) <= 1000:
         conf.set(most, "1000")
-    return docs
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def as_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns keep and the text as UTF-8 bytes, null as empty, for kernels that read Arrow buffers."""
-    docs = short_batches(docs)
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 

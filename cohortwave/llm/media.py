@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 #: Pixels of a row of the stored image; a payload is padded with bytes 0 to a positive multiple.
 WIDTH = 64
@@ -101,7 +101,7 @@ def interleave(pages: DataFrame, key: str = "page_id", column: str = "html") ->
                 part = batch.slice(a, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sequence(p or "") for p in part.column(1).to_pylist()], form)], [key, "items"])
 
-    return pages.select(key, F.col(column).alias("html")).mapInArrow(run, f"{key} {kind}, items array<{ITEM}>")
+    return map_arrow(pages.select(key, F.col(column).alias("html")), run, f"{key} {kind}, items array<{ITEM}>")
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -144,7 +144,7 @@ def store(payloads: DataFrame, column: str = "payload") -> DataFrame:
                         seen[digest] = (len(raw), encode(raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))))
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([m for _, m in seen.values()], pa.binary())], ["digest", "n_bytes", "media"])
 
-    made = payloads.select(F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(run, "digest string, n_bytes long, media binary")
+    made = map_arrow(payloads.select(F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("payload")), run, "digest string, n_bytes long, media binary")
     return made.dropDuplicates(["digest"])
 
 
@@ -169,7 +169,7 @@ def features(media: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id", scheme: str = "sha256:") -> DataFrame:

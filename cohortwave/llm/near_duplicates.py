@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, as_bytes, fresh, may_hold, mix, read, slices, text_buffer, window_hashes, word_hashes, word_spans
+from .common import Tables, as_bytes, fresh, map_arrow, may_hold, mix, read, slices, text_buffer, window_hashes, word_hashes, word_spans
 
 #: Cells of the hash space whose parities an entity's signature holds, 64 to a long.
 CELLS = 512
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
             cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (CELLS // 64), pa.int32()), pa.array(np.concatenate(cells)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(parts, pa.list_(pa.int64())), head, cell], ["doc_id", "print", "e", "n_shingles", "parts", "head", "cells"])
 
-    return as_bytes(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), "doc_id", "print").mapInArrow(run, "doc_id long, print long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
+    return map_arrow(as_bytes(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), "doc_id", "print"), run, "doc_id long, print long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
 
 
 def prefixes(ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
@@ -156,7 +156,7 @@ def verify(tables: Tables, pairs: DataFrame, ones: DataFrame, docs: DataFrame, n
             arrays = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name(s) for s in found], pa.int64()), arrays], ["at", "leads", "e", "s"])
 
-    whole = tables.cut(as_bytes(rows, "at", "leads").mapInArrow(run, "at array<long>, leads boolean, e long, s array<long>"))
+    whole = tables.cut(map_arrow(as_bytes(rows, "at", "leads"), run, "at array<long>, leads boolean, e long, s array<long>"))
     a = whole.where("leads").select(F.col("e").alias("a"), F.col("s").alias("sa"))
     b = whole.select(F.explode("at").alias("a"), F.col("e").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

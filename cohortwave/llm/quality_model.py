@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read
+from .common import as_bytes, map_arrow, read
 
 #: Bounds of the fitting sample: labelled texts of each label for a dictionary and for the curve, and the longest text in it.
 FIT_TEXTS, CURVE_TEXTS, FIT_BYTES = 1500, 1500, 64_000
@@ -116,7 +116,7 @@ def score(docs: DataFrame, good: bytes, bad: bytes, curve: np.ndarray | None, ke
                 cols["score"] = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_pydict(cols)
 
-    return as_bytes(docs, keep).mapInArrow(run, f"{keep} {kind}, contrast double, ratio double, length double" + (", score double" if curve is not None else ""))
+    return map_arrow(as_bytes(docs, keep), run, f"{keep} {kind}, contrast double, ratio double, length double" + (", score double" if curve is not None else ""))
 
 
 def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read, short_batches, slices, text_buffer, window_hashes, word_hashes, word_spans
+from .common import as_bytes, map_arrow, read, slices, text_buffer, window_hashes, word_hashes, word_spans
 
 #: Bounds of the fitting sample: documents of each label, and lines of one document; documents beyond the latter are not in it.
 FIT_DOCS, FIT_LINES, FIT_BYTES = 1500, 200, 100_000
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[n
             rows = [f[a:b].tobytes() for a, b in zip(m["line_first"][:-1], m["line_first"][1:])]
             yield pa.RecordBatch.from_pydict({"quality": part.column("quality"), "lines": pa.array(rows, pa.binary())})
 
-    got = as_bytes(texts, "quality").mapInArrow(run, "quality int, lines binary").toPandas()
+    got = map_arrow(as_bytes(texts, "quality"), run, "quality int, lines binary").toPandas()
     got = got.sort_values(["quality", "lines"])
     chains = [np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in got["lines"]]
     return fit_crf(chains, got["quality"].astype(int).tolist())
@@ -230,7 +230,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: str = "do
             cols = {keep: part.column(keep)} | {k: pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
             yield pa.RecordBatch.from_pydict(cols | {"content_share": pa.array(share), "base_failed": pa.array(failed), "kept": pa.array(~failed & (share >= least))})
 
-    return as_bytes(docs, keep).mapInArrow(run, f"{keep} {kind.simpleString()}, {OUT}")
+    return map_arrow(as_bytes(docs, keep), run, f"{keep} {kind.simpleString()}, {OUT}")
 
 
 def op8_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,4 +260,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 yield batch.slice(at, part.num_rows).filter(pa.array(keep))
                 at += part.num_rows
 
-    return short_batches(docs).mapInArrow(run, fields)
+    return map_arrow(docs, run, fields)

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's text falls into units that no merge crosses (spaces with the letters after them). The units that the worker
+A batch's text falls into units that no merge crosses (spaces with the letters after them). The units that the task
 has not met yet are concatenated; their suffixes, cut at the longest piece, are sorted by doubling ranks; every piece is binary-searched
 in them, which gives the range of its occurrences; the occurrences are edges from a position to a later one, sorted
 by position and relaxed from left to right.
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, short_batches, slices
+from .common import map_arrow, read, slices
 
 #: Path of the public model; a parameter everywhere below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units that a worker remembers, and twice as many pairs of pieces; beyond that it forgets and starts anew.
+#: Units that a task remembers, and twice as many pairs of pieces; beyond that it forgets and starts anew.
 MEMO = 400_000
 #: Units of more characters are relaxed one by one, and text that a worker takes up at once, in bytes.
 LONG, TAKE = 64, 2 << 20
@@ -227,6 +227,11 @@ class Pieces:
         get = self.memo.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
+    def forget(self) -> None:
+        """Drop the units and pairs met so far."""
+        self.memo.clear()
+        self.met, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")[1:]
 
@@ -235,7 +240,7 @@ _CODERS: dict[str, Pieces] = {}
 
 
 def coder_of(model: bytes) -> Pieces:
-    """One encoder for each model in a Python worker, so that later tasks know the units of earlier ones."""
+    """One encoder for each model in a Python worker, since its tables take seconds to make."""
     name = hashlib.sha256(model).hexdigest()
     if name not in _CODERS:
         _CODERS[name] = Pieces(model)
@@ -274,9 +279,10 @@ def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id"
                 ],
                 [*keep, "n_tokens", "token_ids", "decoded_sha256", "round_trip"],
             )
+        coder.forget()
 
-    rows = short_batches(docs).select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
+    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return map_arrow(rows, run, f"{kinds}, n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +290,6 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as token ids, with what identifies them."""
-    keep = tuple(c for c in docs.columns if c != "text")
+    """Documents as token ids, with what identifies them. Columns named as the new ones are replaced; nulls, empty texts and repeated rows as in `tokens`."""
+    keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "decoded_sha256", "round_trip"))
     return tokens(docs, keep=keep)
