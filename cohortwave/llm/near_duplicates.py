@@ -24,7 +24,7 @@ from .common import Tables, as_bytes, fresh, map_arrow, may_hold, mix, read, sli
 CELLS = 512
 SPACE_BITS = 20
 #: Ends of the first parts of the hash space, as multiples of a prefix's share of a set.
-PARTS = (1.3, 2.0)
+PARTS = (1.05, 1.15, 1.3, 2.0)
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -80,10 +80,12 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
     return map_arrow(as_bytes(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), "doc_id", "print"), run, "doc_id long, print long, e long, n_shingles long, parts array<long>, head array<long>, cells array<long>")
 
 
-def prefixes(ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
+def prefixes(tables: Tables, ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
     """h, e, n, at, rough, past: prefix entries that another entity has too, with their place in the common order and the last three before them."""
     entries = ones.select("e", F.explode("head").alias("h"))
-    often = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    often = tables.cut(entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
+    # most shingles are in one entity only, and need not travel
+    entries = may_hold(entries, F.col("h"), often, "h").where("may").drop("may")
     part = sum((F.shiftrightunsigned("h", 64 - SPACE_BITS) >= b).cast("int") for b in bounds)
     rows = entries.join(often, "h").withColumn("part", part).join(ones.select("e", F.col("n_shingles").alias("n"), "parts"), "e")
     of, line = Window.partitionBy("e"), Window.partitionBy("e").orderBy("part", "f", "h")
@@ -189,7 +191,7 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     ones = tables.cut(ones.select("e", "id", "print", "n_shingles", "parts", "head", "cells"))
     named = tables.cut(signed.select("doc_id", "print", "n_shingles", "e"))
     tables.drop(signed)
-    entries = tables.cut(prefixes(ones, percent, bounds))
+    entries = tables.cut(prefixes(tables, ones, percent, bounds))
     # an entry meets three leaders at most, so cells meet the pair, not each of its entries
     cells = lambda x: ones.select(F.col("e").alias(x), F.col("cells").alias(f"cells_{x}"))
     met = pairs_of(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)))

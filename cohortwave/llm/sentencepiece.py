@@ -27,9 +27,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units that a task remembers, and twice as many pairs of pieces; beyond that it forgets and starts anew.
-MEMO = 400_000
+MEMO = 200_000
 #: Units of more characters are relaxed one by one, and text that a worker takes up at once, in bytes.
-LONG, TAKE = 64, 2 << 20
+LONG, TAKE = 64, 1 << 20
 CLOSED, FREE = -1, -2
 
 
