@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, n: int, percent: int, bounds: list[int]) -> Data
 
 
 def prefixes(tables: Tables, ones: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
-    """h, e, n, at, rough, past: prefix entries that another entity has too, with their place in the common order and the last three before them."""
+    """h, e, n, at, rough: prefix entries that another entity has too, with their place in the common order."""
     entries = ones.select("e", F.explode("head").alias("h"))
     often = tables.cut(entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
     # most shingles are in one entity only, and need not travel
@@ -92,11 +92,11 @@ def prefixes(tables: Tables, ones: DataFrame, percent: int, bounds: list[int]) -
     # shingles that no other entity has come first in their part
     own = [F.col("parts")[k] - F.sum((F.col("part") == k).cast("long")).over(of) for k in range(len(bounds) + 1)]
     ahead = sum((F.when(F.col("part") >= k, F.col(f"own_{k}")).otherwise(0) for k in range(1, len(own))), F.col("own_0"))
-    rows = rows.select("e", "n", "h", "f", "part", *[c.alias(f"own_{k}") for k, c in enumerate(own)], F.sum(F.ln("f")).over(of).alias("logs"), F.row_number().over(line).alias("i"), F.array(*[F.lag("h", k).over(line) for k in (1, 2, 3)]).alias("past"))
+    rows = rows.select("e", "n", "h", "f", "part", *[c.alias(f"own_{k}") for k, c in enumerate(own)], F.sum(F.ln("f")).over(of).alias("logs"), F.row_number().over(line).alias("i"))
     most = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("long") + 1
     # a group's base has all that its copies share: the mean log frequency of its shingles is the highest
     rough = -F.floor(1000 * F.col("logs") / F.col("n"))
-    return rows.select("h", "e", "n", (F.col("i") - 1 + ahead).alias("at"), rough.alias("rough"), "past", most.alias("most")).where("at < most").drop("most")
+    return rows.select("h", "e", "n", (F.col("i") - 1 + ahead).alias("at"), rough.alias("rough"), most.alias("most")).where("at < most").drop("most")
 
 
 def may_link(percent: int):
@@ -194,18 +194,22 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     entries = tables.cut(prefixes(tables, ones, percent, bounds))
     # an entry meets three leaders at most, so cells meet the pair, not each of its entries
     cells = lambda x: ones.select(F.col("e").alias(x), F.col("cells").alias(f"cells_{x}"))
-    met = pairs_of(entries.alias("l").join(leaders(entries).alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)))
+    lead = tables.cut(leaders(entries))
+    met = pairs_of(entries.alias("l").join(lead.alias("r"), "h").where((F.col("l.e") != F.col("r.e")) & may_link(percent)))
     met = met.join(cells("a"), "a").join(cells("b"), "b").where(near(F.col("cells_a"), F.col("cells_b"), F.col("n"), F.col("m"), percent))
     met = tables.cut(met.select("a", "b"))
     links = verify(tables, met, ones, docs, n, percent)
     roots = components(tables, links)
 
-    # what is still apart: entries of the shingles that several components have, where the pair has not met
-    known = tables.cut(entries.join(roots.select("e", "root"), "e", "left").withColumn("root", F.coalesce("root", "e")))
+    # what is still apart: entries of the shingles that several components have; leaders have met all others
+    known = entries.join(lead.select("h", "e"), ["h", "e"], "left_anti").join(roots.select("e", "root"), "e", "left").withColumn("root", F.coalesce("root", "e"))
+    known = tables.cut(known)
     split = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    known = tables.cut(known.join(split, "h").join(ones.select("e", "cells"), "e"))
+    line = Window.partitionBy("e").orderBy("at")
+    known = known.join(split, "h").join(ones.select("e", "cells"), "e").withColumns({f"past_{k}": F.lag("h", k).over(line) for k in (1, 2, 3)})
+    known = tables.cut(known)
     # a pair that has met in one of the last three shingles of both need not meet again
-    again = reduce(lambda x, y: x | y, [F.coalesce(F.col("l.past")[i] == F.col("r.past")[k], F.lit(False)) for i in range(3) for k in range(3)])
+    again = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"l.past_{i}") == F.col(f"r.past_{k}"), F.lit(False)) for i in (1, 2, 3) for k in (1, 2, 3)])
     other = (F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & ~again & may_link(percent) & near(F.col("l.cells"), F.col("r.cells"), F.col("l.n"), F.col("r.n"), percent)
     rest = known.alias("l").join(known.alias("r"), (F.col("l.h") == F.col("r.h")) & other)
     rest = tables.cut(pairs_of(rest).select("a", "b").join(met, ["a", "b"], "left_anti"))
