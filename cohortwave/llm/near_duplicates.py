@@ -5,7 +5,7 @@ shingles, in an order that all share, meet. The order is: fixed parts of the has
 the parts that fill the prefix need counting), within each the shingles that fewest entities have, then the hash. Prefix entries meet in an equi join
 on the shingle. Entries of a shingle first meet its leaders, the entity whose shingles are the most common and two
 drawn ones; only entities that the links so far leave in different components then meet each other, so a group of many near copies gives
-as many pairs as members and yet no link between components is lost. Every pair is verified once, on whole sets.
+about as many pairs as members and yet no link between components is lost. Every pair is verified once, on whole sets.
 """
 
 from __future__ import annotations
@@ -111,18 +111,22 @@ def overlap(n, m, percent: int):
     return F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
 
 
+def apart(cells_a, cells_b):
+    """A lower bound of the Hamming distance of two sets: the cells that hold an odd number of one set's shingles and an
+    even number of the other's, since each of them holds a shingle that is in one set only."""
+    return reduce(lambda x, y: x + y, [F.bit_count(cells_a[k].bitwiseXOR(cells_b[k])) for k in range(CELLS // 64)])
+
+
 def near(cells_a, cells_b, n, m, percent: int):
-    """The suffix filter: it bounds the Hamming distance of two sets from below, by the cells that hold an odd number of
-    one set's shingles and an even number of the other's, since each of them holds a shingle that is in one set only."""
-    apart = reduce(lambda x, y: x + y, [F.bit_count(cells_a[k].bitwiseXOR(cells_b[k])) for k in range(CELLS // 64)])
-    return apart <= n + m - 2 * overlap(n, m, percent)
+    """The suffix filter."""
+    return apart(cells_a, cells_b) <= n + m - 2 * overlap(n, m, percent)
 
 
-def pairs_of(met: DataFrame) -> DataFrame:
-    """a, b, n, m: the different pairs of met entries l and r; a is the one whose shingles are the commoner."""
+def pairs_of(met: DataFrame, *more) -> DataFrame:
+    """a, b, n, m and more of the pair: the different pairs of met entries l and r; a is the one whose shingles are the commoner."""
     side = lambda x: F.struct(F.col(f"{x}.rough"), F.col(f"{x}.e"), F.col(f"{x}.n"))
-    pairs = met.select(F.least(side("l"), side("r")).alias("p"), F.greatest(side("l"), side("r")).alias("q"))
-    return pairs.select(F.col("p.e").alias("a"), F.col("q.e").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).distinct()
+    pairs = met.select(F.least(side("l"), side("r")).alias("p"), F.greatest(side("l"), side("r")).alias("q"), *more)
+    return pairs.select(F.col("p.e").alias("a"), F.col("q.e").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), *pairs.columns[2:]).distinct()
 
 
 def leaders(entries: DataFrame) -> DataFrame:
@@ -212,9 +216,20 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     again = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"l.past_{i}") == F.col(f"r.past_{k}"), F.lit(False)) for i in (1, 2, 3) for k in (1, 2, 3)])
     other = (F.col("l.e") < F.col("r.e")) & (F.col("l.root") != F.col("r.root")) & ~again & may_link(percent) & near(F.col("l.cells"), F.col("r.cells"), F.col("l.n"), F.col("r.n"), percent)
     rest = known.alias("l").join(known.alias("r"), (F.col("l.h") == F.col("r.h")) & other)
-    rest = tables.cut(pairs_of(rest).select("a", "b").join(met, ["a", "b"], "left_anti"))
-    more = verify(tables, rest, ones, docs, n, percent)
-    roots = components(tables, links.union(more)).select("e", "root")
+    gap = apart(F.col("l.cells"), F.col("r.cells")) / (F.col("l.n") + F.col("r.n"))
+    rest = tables.cut(pairs_of(rest, gap.alias("gap")).select("a", "b", "gap").join(met, ["a", "b"], "left_anti"))
+    # twice each entity's likeliest pair, and then all pairs whose components still differ
+    for last in (False, False, True):
+        pick = rest.select("a", "b")
+        if not last:
+            ends = rest.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "gap")
+            pick = tables.cut(ends.groupBy("x").agg(F.min(F.struct("gap", "a", "b")).alias("v")).select("v.a", "v.b").distinct())
+        links = links.union(verify(tables, pick, ones, docs, n, percent))
+        roots = components(tables, links).select("e", "root")
+        if not last:
+            of = lambda x: roots.select(F.col("e").alias(x), F.col("root").alias(f"root_{x}"))
+            open_ = rest.join(pick, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+            rest = tables.cut(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "gap"))
 
     some = named.where("n_shingles > 0").join(roots, "e", "left").select(*named.columns, F.coalesce("root", "e").alias("root"))
     return some.unionByName(named.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")))
