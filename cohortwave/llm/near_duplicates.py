@@ -23,8 +23,8 @@ from .common import Tables, as_bytes, fresh, map_arrow, may_hold, mix, read, sli
 #: Cells of the hash space whose parities an entity's signature holds, 64 to a long.
 CELLS = 512
 SPACE_BITS = 20
-#: Ends of the first parts of the hash space, as multiples of a prefix's share of a set.
-PARTS = (1.05, 1.15, 1.3, 2.0)
+#: Ends of the first parts of the hash space, as multiples of a prefix's share of a set. The first is wide, so that a prefix leaves out its commonest shingles.
+PARTS = (1.3, 2.0)
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
