@@ -137,3 +137,15 @@ def recordings_manifest(df: DataFrame, key: list[str], file: str) -> DataFrame:
     """One record a key: its file if there is one, and whether there is none, one or many."""
     n = F.countDistinct(file)
     return df.groupBy(*key).agg(F.when(n == 0, "none").when(n == 1, "one").otherwise("many").alias("status"), F.when(n == 1, F.max(file)).alias("file"))
+
+
+def log_consistency(logs: DataFrame, onsets: str, descriptions: str) -> DataFrame:
+    """The logs whose lists of onsets and of descriptions differ in length."""
+    return logs.where(F.size(onsets) != F.size(descriptions))
+
+
+def regression_targets(subjects: DataFrame, **tables: DataFrame) -> DataFrame:
+    """subject and a total a table (subject, score), 0 where a subject has none; every subject stays."""
+    for name, table in tables.items():
+        subjects = subjects.join(table.groupBy("subject").agg(F.sum("score").alias(name)), "subject", "left")
+    return subjects.fillna(0.0, list(tables))

@@ -87,3 +87,45 @@ def epoch_distribution(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = df.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), q.alias("q"))
     return g.select(*by, "mean", "std", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+
+def _epoch_arrays(epoched: DataFrame, r: float) -> DataFrame:
+    """An epoch a row: its samples in order and the tolerance, r times their deviation. Epochs have the window's length."""
+    g = epoched.groupBy(*SERIES, "epoch").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"), (r * F.stddev_pop("x")).alias("tol"))
+    return g.select(*SERIES, "epoch", F.col("p.x").alias("x"), "tol")
+
+
+def _alike(m: int, i, j):
+    """Whether the m samples from i on are within the tolerance of those from j on (0-based)."""
+    far = [F.abs(F.get("x", i + k) - F.get("x", j + k)) <= F.col("tol") for k in range(m)]
+    out = far[0]
+    for f in far[1:]:
+        out = out & f
+    return F.when(out, 1.0).otherwise(0.0)
+
+
+def _count(top, one):
+    return F.aggregate(F.sequence(F.lit(0), top), F.lit(0.0), lambda s, j: s + one(j))
+
+
+def app_entropy(epoched: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
+    """Approximate entropy of each epoch: templates meet within the epoch's own array, matches with themselves included."""
+
+    def phi(m):
+        top = F.size("x") - m
+        return _count(top, lambda i: F.ln(_count(top, lambda j: _alike(m, i, j)) / (top + 1))) / (top + 1)
+
+    return _epoch_arrays(epoched, r).where(F.size("x") > m + 1).select(*SERIES, "epoch", (phi(m) - phi(m + 1)).alias("app_entropy"))
+
+
+def sample_entropy(epoched: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
+    """-ln(A / B) of each epoch, without matches of a template with itself; null where there are none."""
+    top = F.size("x") - m - 1
+    matches = lambda m: _count(top, lambda i: _count(top, lambda j: F.when(i < j, _alike(m, i, j)).otherwise(0.0)))
+    e = _epoch_arrays(epoched, r).where(F.size("x") > m + 1).select(*SERIES, "epoch", matches(m + 1).alias("a"), matches(m).alias("b"))
+    return e.select(*SERIES, "epoch", F.when(F.col("a") > 0, -F.ln(F.try_divide("a", "b"))).alias("sample_entropy"))
+
+
+def flatten_names(features: DataFrame, parts: list[str], value: str, names: list[str] | None = None) -> DataFrame:
+    """Long to wide: a column for each name made of the parts, a row a subject. With names given no pass over the table finds them."""
+    return features.withColumn("_name", F.concat_ws("_", *parts)).groupBy("subject").pivot("_name", names).agg(F.first(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,79 @@ def normalize_predictions(preds: DataFrame) -> DataFrame:
 def pooled_cv(scores: DataFrame) -> DataFrame:
     """Mean of the folds' scores (model, fold, score, sd) and the root of their summed squared deviations."""
     return scores.groupBy("model").agg(F.avg("score").alias("score"), F.sqrt(F.sum(F.col("sd") * F.col("sd"))).alias("sd"))
+
+
+def midp(counts: DataFrame) -> DataFrame:
+    """counts with p: McNemar's mid-p value, twice the binomial tail up to the lesser count less that count's own probability."""
+    n, k = F.col("n10") + F.col("n01"), F.least("n10", "n01")
+    zero = F.struct((-n * F.ln(F.lit(2.0))).alias("l"), F.exp(-n * F.ln(F.lit(2.0))).alias("s"))
+
+    def term(a, i):
+        l = a["l"] + F.ln(n - i + 1) - F.ln(i)  # noqa: E741
+        return F.struct(l.alias("l"), (a["s"] + F.exp(l)).alias("s"))
+
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), zero, term)
+    return counts.withColumn("_t", tail).withColumn("p", F.least(2 * F.col("_t.s") - F.exp("_t.l"), F.lit(1.0))).drop("_t")
+
+
+def select_models(preds: DataFrame, alpha: float = 0.05, cut: float = 0.5) -> DataFrame:
+    """model, mcc, p: the best model by MCC (of equals the last by name), and those whose mid-p value against it is above alpha."""
+    scores = binary_scores(preds, cut).select("model", F.coalesce("mcc", F.lit(0.0)).alias("mcc"))
+    best = scores.agg(F.max(F.struct("mcc", "model"))["model"].alias("best"))
+    right = preds.withColumn("right", ((F.col("p") >= cut).cast("int") == F.col("y")).cast("int")).join(F.broadcast(best))
+    right = right.withColumn("b", F.max(F.when(F.col("model") == F.col("best"), F.col("right"))).over(Window.partitionBy("subject")))
+    g = right.groupBy("model").agg(F.sum(((F.col("right") == 1) & (F.col("b") == 0)).cast("long")).alias("n10"), F.sum(((F.col("right") == 0) & (F.col("b") == 1)).cast("long")).alias("n01"))
+    return scores.join(midp(g), "model").where(F.col("p") > alpha).select("model", "mcc", "p")
+
+
+#: Abramowitz and Stegun, formula 7.1.26.
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def two_sided_p(z):
+    """Two-sided tail of the standard normal, to 1.5e-7."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + ERF_P * x)
+    return F.least(sum((a * F.pow(t, F.lit(float(k + 1))) for k, a in enumerate(ERF_A)), F.lit(0.0)) * F.exp(-x * x), F.lit(1.0))
+
+
+def wilcoxon_signed(preds: DataFrame, best: str) -> DataFrame:
+    """model, w, p: signed-rank statistic of each model's absolute errors against the best one's, with tie correction; equal errors give 1."""
+    err = F.abs(F.col("p") - F.col("y"))
+    x = preds.select("subject", "model", err.alias("e")).withColumn("b", F.max(F.when(F.col("model") == best, F.col("e"))).over(Window.partitionBy("subject")))
+    x = x.where(F.col("model") != best).select("model", F.round(F.col("e") - F.col("b"), 12).alias("diff")).withColumn("size", F.abs("diff"))
+    some = with_ranks(x.where("diff <> 0"), ["model"], "size", "r")
+    ties = some.groupBy("model", "size").agg(F.count("*").cast("double").alias("t")).groupBy("model").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    g = some.groupBy("model").agg(F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.count("*").cast("double").alias("n")).join(ties, "model")
+    w, n = F.least("up", "down"), F.col("n")
+    z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return x.select("model").distinct().join(g, "model", "left").select("model", F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(two_sided_p(z), F.lit(1.0)).alias("p"))
+
+
+def perturbation_summary(scores: DataFrame) -> DataFrame:
+    """Mean and deviation of each model's score over the splits."""
+    return scores.groupBy("model", "name").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"))
+
+
+def metric_combinations(results: DataFrame, a: str, b: str, alpha: float = 0.05, without: str | None = None) -> DataFrame:
+    """Mean and shifted geometric mean of two scores, for the models whose p is above alpha and whose name lacks `without`."""
+    keep = F.col("p") > alpha if without is None else (F.col("p") > alpha) & ~F.col("model").contains(without)
+    return results.where(keep).select("model", ((F.col(a) + F.col(b)) / 2).alias("mean"), (F.sqrt((1 + F.col(a)) * (1 + F.col(b))) - 1).alias("geometric"))
+
+
+def weight_rollup(weights: DataFrame, meta: DataFrame) -> DataFrame:
+    """channel, band, weight: importances (model, channel, band, w) as shares of their model, times the model's own, summed by channel, by band and in all (nulls)."""
+    total = weights.groupBy("model").agg(F.sum(F.abs("w")).alias("total"))
+    shares = weights.join(total, "model").join(meta, "model").select("channel", "band", (F.try_divide(F.abs("w"), "total") * F.col("meta")).alias("share"))
+    return shares.groupingSets([["channel"], ["band"], []], "channel", "band").agg(F.sum("share").alias("weight"))
+
+
+def results_table(scores: DataFrame, names: list[str]) -> DataFrame:
+    """A row a model, a column a score, from long scores (model, name, score)."""
+    return scores.groupBy("model").pivot("name", names).agg(F.first("score"))
+
+
+def collect_base_predictions(preds: DataFrame, models: list[str]) -> DataFrame:
+    """subject and a column a model, for the subjects that all models predict."""
+    wide = preds.where(F.col("model").isin(models)).groupBy("subject").pivot("model", models).agg(F.first("p"))
+    return wide.where(F.forall(F.array(*models), lambda p: p.isNotNull()))

@@ -173,3 +173,17 @@ def sample_subjects(features: DataFrame, n: int, seed: int) -> DataFrame:
     """The rows of n subjects, those that come first by a digest of seed and subject; the same at every run."""
     some = features.select("subject").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("subject").cast("string")))).limit(n)
     return features.join(some, "subject", "left_semi")
+
+
+def feature_trace(steps: DataFrame) -> DataFrame:
+    """key, last_step, n_steps: how far each key came through the preparation steps (step, key)."""
+    return steps.groupBy("key").agg(F.max("step").alias("last_step"), F.countDistinct("step").alias("n_steps"))
+
+
+def join_prefixed(tables: dict[str, DataFrame]) -> DataFrame:
+    """Wide feature tables side by side, their columns named by the table, for the subjects that all have."""
+    named = [t.select("subject", *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c != "subject"]) for name, t in tables.items()]
+    out = named[0]
+    for t in named[1:]:
+        out = out.join(t, "subject")
+    return out

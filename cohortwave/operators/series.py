@@ -128,3 +128,29 @@ def _any(tests: list[Column]) -> Column:
     for t in tests:
         out = out | t
     return out
+
+
+def reref_combos(samples: DataFrame, n: int) -> DataFrame:
+    """A channel for each n channels of an instant: their mean less the mean of the rest. Made from the instant's own array."""
+    g = samples.groupBy(*INSTANT).agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("all"))
+    g = g.withColumns({"total": F.aggregate("all", F.lit(0.0), lambda s, c: s + c["x"]), "some": F.expr("cast(array() as array<struct<channel:string,x:double>>)")})
+    for _ in range(n):
+        later = F.filter("all", lambda c: (F.size("some") == 0) | (c["channel"] > F.get("some", F.size("some") - 1)["channel"]))
+        g = g.withColumn("next", F.explode(later)).withColumn("some", F.array_append("some", F.col("next"))).drop("next")
+    own = F.aggregate("some", F.lit(0.0), lambda s, c: s + c["x"])
+    return g.select(*INSTANT, F.array_join("some.channel", "+").alias("channel"), (own / n - F.try_divide(F.col("total") - own, F.size("all") - n)).alias("y"))
+
+
+def reref_lateral(samples: DataFrame, side: str = "ipsi", refs: tuple[str, str] = ("A1", "A2")) -> DataFrame:
+    """Less the reference of a channel's own side (odd number: left; even: right), of the other one for side='contra', of both for the midline. References go."""
+    w = Window.partitionBy(*INSTANT)
+    left, right = (F.avg(F.when(F.col("channel") == r, F.col("x"))).over(w) for r in (refs if side == "ipsi" else refs[::-1]))
+    digit = F.regexp_extract("channel", "([0-9])$", 1)
+    ref = F.when(digit == "", (left + right) / 2).when(digit.cast("int") % 2 == 1, left).otherwise(right)
+    return samples.withColumn("y", F.col("x") - ref).where(~F.col("channel").isin(*refs))
+
+
+def log_if(df: DataFrame, columns: list[str], every, some) -> DataFrame:
+    """Logarithm of those columns whose values are all above 0, all meet `every` and of which one meets `some`; the others stay. One aggregate, a row to broadcast."""
+    fits = [(F.bool_and(every(F.col(c))) & F.bool_or(some(F.col(c))) & F.bool_and(F.col(c) > 0)).alias(f"_fits_{c}") for c in columns]
+    return df.join(F.broadcast(df.agg(*fits))).select(*[F.when(F.col(f"_fits_{c}"), F.ln(c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -138,3 +138,22 @@ def spectral_entropy(spectrum: DataFrame) -> DataFrame:
     """Shannon entropy of the power distribution over log2 of the bins, from sums alone: one aggregate, no window."""
     p = F.col("power")
     return spectrum.groupBy(*KEY).agg(((F.log2(F.sum("power")) - F.sum(p * F.log2(p)) / F.sum("power")) / F.log2(F.count("*").cast("double"))).alias("entropy"))
+
+
+def bridge_noise(spectrum: DataFrame, ranges: list[tuple[float, float]], by: list[str]) -> DataFrame:
+    """Bins inside a range (both ends inside) take the straight line, in logarithms, between the bins beside it. A group's edges are one aggregate."""
+    edges = [f for k, (lo, hi) in enumerate(ranges) for f in (F.max(F.when(F.col("freq") < lo, F.struct("freq", "power"))).alias(f"_l{k}"), F.min(F.when(F.col("freq") > hi, F.struct("freq", "power"))).alias(f"_r{k}"))]
+    power = F.col("power")
+    for k, (lo, hi) in enumerate(ranges):
+        left, right = F.col(f"_l{k}"), F.col(f"_r{k}")
+        share = (F.ln("freq") - F.ln(left["freq"])) / (F.ln(right["freq"]) - F.ln(left["freq"]))
+        line = F.exp(F.ln(left["power"]) + share * (F.ln(right["power"]) - F.ln(left["power"])))
+        power = F.when(F.col("freq").between(lo, hi) & left.isNotNull() & right.isNotNull(), line).otherwise(power)
+    return spectrum.join(spectrum.groupBy(*by).agg(*edges), by).select(*[power.alias("power") if c == "power" else F.col(c) for c in spectrum.columns])
+
+
+def model_spectrum(params: DataFrame, step: float, n: int, by: list[str]) -> DataFrame:
+    """log10 power at n frequencies from step on: offset - log10(knee + f ^ exponent) and the Gaussian peaks (cf, pw, bw) of each row."""
+    f = params.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("freq", F.col("k") * step)
+    bumps = F.aggregate("peaks", F.lit(0.0), lambda s, p: s + p["pw"] * F.exp(-F.pow(F.col("freq") - p["cf"], F.lit(2.0)) / (2 * p["bw"] * p["bw"])))
+    return f.select(*by, "freq", (F.col("offset") - F.log10(F.col("knee") + F.pow("freq", "exponent")) + bumps).alias("log_power"))
