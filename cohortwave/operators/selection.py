@@ -187,3 +187,16 @@ def join_prefixed(tables: dict[str, DataFrame]) -> DataFrame:
     for t in named[1:]:
         out = out.join(t, "subject")
     return out
+
+
+def pair_mutual_info_matrix(features: DataFrame, bins: int = 20) -> DataFrame:
+    """a, b, mi of all pairs of keys in nats, by bins of equal width; half is computed and mirrored. Pairs come from a subject's own array."""
+    span = features.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    bin_ = F.least(F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1))
+    g = features.join(span, "key").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("key", bin_.alias("bin")))).alias("c"))
+    one = g.select("c", F.explode("c").alias("p"))
+    two = one.select("p", F.explode(F.filter("c", lambda q: q["key"] >= F.col("p.key"))).alias("q"))
+    n = two.groupBy(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.bin").alias("u"), F.col("q.bin").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    n = n.withColumns({"na": F.sum("n").over(Window.partitionBy("a", "b", "u")), "nb": F.sum("n").over(Window.partitionBy("a", "b", "v")), "t": F.sum("n").over(Window.partitionBy("a", "b"))})
+    mi = n.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
+    return mi.unionByName(mi.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "mi"))
