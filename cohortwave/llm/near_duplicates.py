@@ -25,6 +25,8 @@ CELLS = 512
 SPACE_BITS = 20
 #: Ends of the first parts of the hash space, as multiples of a prefix's share of a set. The first is wide, so that a prefix leaves out its commonest shingles.
 PARTS = (1.3, 2.0)
+#: Links that a task contracts at once.
+BLOCK = 1 << 20
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -171,20 +173,55 @@ def verify(tables: Tables, pairs: DataFrame, ones: DataFrame, docs: DataFrame, n
     return links
 
 
+def contract(batches):
+    """(e, root) of each end of a block of links (a, b): root is the least end that the block's own links reach."""
+
+    def ends(block):
+        a, b = (np.concatenate([part.column(k).to_numpy() for part in block]) for k in (0, 1))
+        e, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        root, was = np.arange(len(e)), None
+        while was is None or (was != root).any():
+            was, low = root.copy(), np.minimum(root[x], root[y])
+            np.minimum.at(root, was[x], low)
+            np.minimum.at(root, was[y], low)
+            while (root[root] != root).any():
+                root = root[root]
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(e[root])], ["e", "root"])
+
+    block, n = [], 0
+    for part in batches:
+        block, n = [*block, part], n + part.num_rows
+        if n >= BLOCK:
+            yield ends(block)
+            block, n = [], 0
+    if n:
+        yield ends(block)
+
+
 def components(tables: Tables, links: DataFrame) -> DataFrame:
-    """e, root: the least entity that links reach, for entities with links. Least labels spread and labels of labels replace them, until none changes."""
-    links = tables.cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = tables.cut(links.groupBy(F.col("a").alias("e")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    """e, root: the least entity that links reach, for entities with links.
+
+    Blocks of links are contracted where they lie. An end that several blocks have gets its least root, which is linked
+    with its others; those links are contracted in turn, until no end has two roots. Entities are hashes, so a chain's
+    order says nothing of their values, and each round leaves a share of the ends only.
+    """
+    rounds = []
+    of = Window.partitionBy("e").orderBy("root")
     while True:
-        near = links.join(labels.select(F.col("e").alias("b"), "root"), "b").groupBy(F.col("a").alias("e")).agg(F.min("root").alias("near"))
-        low = labels.select("e", "root").join(near, "e").select("e", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("e").alias("low"), F.col("root").alias("next"))
-        moved = tables.cut(low.join(jump, "low", "left").select("e", F.least("low", F.coalesce("next", "low")).alias("root"), F.col("root").alias("was")))
-        tables.drop(labels)
-        labels = moved
-        if moved.where("was <> root").isEmpty():
-            tables.drop(links)
-            return labels
+        local = map_arrow(links.select("a", "b"), contract, "e long, root long")
+        local = tables.cut(local.withColumns({"low": F.first("root").over(of), "i": F.row_number().over(of)}))
+        rounds.append(local)
+        links = local.where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+        if links.isEmpty():
+            break
+    roots = [t.where("i = 1").select("e", F.col("low").alias("root")) for t in rounds]
+    found = roots[0]
+    for later in roots[1:]:
+        found = found.join(later.select(F.col("e").alias("root"), F.col("root").alias("next")), "root", "left").select("e", F.coalesce("next", "root").alias("root"))
+    found = tables.cut(found)
+    tables.drop(*rounds)
+    return found
 
 
 def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,8 +255,8 @@ def rooted(tables: Tables, docs: DataFrame, n: int, percent: int) -> DataFrame:
     rest = known.alias("l").join(known.alias("r"), (F.col("l.h") == F.col("r.h")) & other)
     gap = apart(F.col("l.cells"), F.col("r.cells")) / (F.col("l.n") + F.col("r.n"))
     rest = tables.cut(pairs_of(rest, gap.alias("gap")).select("a", "b", "gap").join(met, ["a", "b"], "left_anti"))
-    # twice each entity's likeliest pair, and then all pairs whose components still differ
-    for last in (False, False, True):
+    # each entity's likeliest pair, and then all pairs whose components still differ
+    for last in (False, True):
         pick = rest.select("a", "b")
         if not last:
             ends = rest.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "gap")

@@ -333,3 +333,19 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
         assert kept.columns == docs.columns and 0 < kept.count(), name
     good = spark.read.parquet(f"{D}/labels.parquet").where("quality = 1").join(docs, "doc_id").where(sharding.F.size(sharding.F.split("text", r"\s+")) >= 50).count()
     assert quality_rules.stage(spark, docs, D).count() >= 0.9 * good
+
+
+@pytest.mark.parametrize("find", [near_duplicates.components, line_dedup.components])
+def test_components_of_chains_stars_and_chance_links(spark, find):
+    rng = np.random.default_rng(3)
+    name = rng.permutation(10**6)[:600] - 500_000
+    links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(80)] + [tuple(int(x) + 300 for x in rng.integers(0, 300, 2)) for _ in range(120)]
+    links = [(int(name[a]), int(name[b])) for a, b in links if a != b]
+    root = {x: x for ab in links for x in ab}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    with near_duplicates.Tables(spark) as tables:
+        got = {r.e: r.root for r in find(tables, spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+        assert got == root
+        assert find(tables, spark.createDataFrame([], "a long, b long")).count() == 0
