@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, near_duplicates, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding
+from . import line_dedup, media, mixing, near_duplicates, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding, sql
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": sql.JACCARD_JOIN, "op9_shard_tree": sql.SHARD_TREE}

@@ -8,12 +8,13 @@ import hmac
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from cohortwave.llm import line_dedup, media, mixing, near_duplicates, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding
-from cohortwave.llm.registry import queries
+from cohortwave.llm.registry import oracle_sql, queries
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
@@ -349,3 +350,14 @@ def test_components_of_chains_stars_and_chance_links(spark, find):
         got = {r.e: r.root for r in find(tables, spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
         assert got == root
         assert find(tables, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_is_its_sql(spark, odd, tmp_path, name):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in (("/root/testdata/sf0.01", "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+        got = queries()[name](spark, folder)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        want = con.sql(oracle_sql()[name]).select(", ".join(got.columns)).fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
