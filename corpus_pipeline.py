@@ -19,7 +19,7 @@ STAGES = [
     ("sentencepiece", sentencepiece.stage),
 ]
 
-#: A fitted chain, automata of merges and balanced sampling are beyond SQL; tests compare each stage with a brute-force version.
+#: A fitted chain, automata of merges and balanced sampling are beyond SQL; tests of the operators stand for it.
 ORACLE_SQL = None
 
 
