@@ -163,10 +163,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in data, and how many words come before each row: word k is in row i if first[i] <= k < first[i + 1]."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in data, and how many words come before each row: word k is in row i if first[i] <= k < first[i + 1]. between: which bytes part words."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SEP[data]
+    inside[1:-1] = ~between[data]
     opens, closes = inside[1:] > inside[:-1], inside[1:] < inside[:-1]
     cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     glued = np.unique(cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)])  # a row ends in a word and the next begins with one

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, near_duplicates, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding, sql
+from . import alignment, decontaminate, line_dedup, media, mixing, near_duplicates, periodic, pseudonyms, quality_model, quality_rules, secrets, sentencepiece, sharding, sql
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_crf_lines": quality_rules.op8_crf_lines,
         "op9_shard_tree": sharding.op9_shard_tree,
         "op10_template_tree": line_dedup.op10_template_tree,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_benchmark_windows": decontaminate.op13_benchmark_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": sql.JACCARD_JOIN, "op9_shard_tree": sql.SHARD_TREE}
+    return {"op2_jaccard_join": sql.JACCARD_JOIN, "op9_shard_tree": sql.SHARD_TREE, "op13_benchmark_windows": sql.BENCHMARK_WINDOWS}
