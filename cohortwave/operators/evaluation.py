@@ -144,6 +144,35 @@ def select_models(preds: DataFrame, alpha: float = 0.05, cut: float = 0.5) -> Da
     return scores.join(midp(g), "model").where(F.col("p") > alpha).select("model", "mcc", "p")
 
 
+def perturbation_splits(preds: DataFrame, n: int = 10, share: float = 0.8, seed: str = "0", cut: float = 0.5, alpha: float = 0.05) -> DataFrame:
+    """split, model, best, ival_mcc, p, holdout_mcc: n seeded splits of the subjects, of which `share` (rounded down) choose models and the rest score them.
+
+    In each split the best model by MCC on the chosen subjects (of equals the last by name) is taken, and those whose
+    mid-p value against it is above alpha with it. All splits go through one pass: a subject's side follows from the
+    rank of a digest of seed, split and subject, numbered within buckets of the digest; counts are grouped by
+    split, side and model. A score that is undefined counts as 0 among the chosen and stays null on the other side.
+    """
+    subjects = preds.select("subject").distinct()
+    rows = subjects.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("split").cast("string"), F.col("subject").cast("string"))))
+    rows = rows.withColumn("b", F.substring("h", 1, 3))
+    lower = Window.partitionBy("split").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("split", "b").agg(F.count("*").alias("m")).select("split", "b", F.coalesce(F.sum("m").over(lower), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy("split")).alias("all"))
+    place = F.row_number().over(Window.partitionBy("split", "b").orderBy("h", "subject"))
+    side = rows.withColumn("place", place).join(starts, ["split", "b"]).select("subject", "split", (F.col("start") + F.col("place") <= F.floor(F.lit(share) * F.col("all") + 1e-9)).alias("ival"))
+    x = preds.select("subject", "model", "y", F.coalesce(F.col("p") >= cut, F.lit(False)).alias("c")).join(side, "subject")
+    y, c = F.col("y") == 1, F.col("c")
+    g = x.groupBy("split", "ival", "model").agg(*[F.sum(t.cast("long")).cast("double").alias(k) for k, t in (("tp", c & y), ("tn", ~c & ~y), ("fp", c & ~y), ("fn", ~c & y))])
+    tp, tn, fp, fn = map(F.col, ("tp", "tn", "fp", "fn"))
+    scores = g.select("split", "ival", "model", F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
+    chosen = scores.where("ival").select("split", "model", F.coalesce("mcc", F.lit(0.0)).alias("ival_mcc"))
+    best = chosen.groupBy("split").agg(F.max(F.struct("ival_mcc", "model"))["model"].alias("best"))
+    right = x.where("ival").select("split", "subject", "model", (c == y).alias("right")).join(best, "split")
+    right = right.withColumn("b", F.max(F.when(F.col("model") == F.col("best"), F.col("right"))).over(Window.partitionBy("split", "subject")))
+    against = right.groupBy("split", "best", "model").agg(F.sum((F.col("right") & ~F.col("b")).cast("long")).alias("n10"), F.sum((~F.col("right") & F.col("b")).cast("long")).alias("n01"))
+    kept = midp(against).where(F.col("p") > alpha).join(chosen, ["split", "model"])
+    return kept.join(scores.where("NOT ival").select("split", "model", F.col("mcc").alias("holdout_mcc")), ["split", "model"], "left").select("split", "model", "best", "ival_mcc", "p", "holdout_mcc")
+
+
 #: Abramowitz and Stegun, formula 7.1.26.
 ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 

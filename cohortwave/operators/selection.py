@@ -65,13 +65,31 @@ def split_by_token(features: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def score_kendall(features: DataFrame, target: DataFrame) -> DataFrame:
-    """Absolute tau-b of each key with a target of 0 and 1: concordant less discordant pairs follow from the rank sum, so no pair is made."""
-    x = with_ranks(features.join(target, "subject").where(F.col("value").isNotNull()), ["key"], "value", "r")
-    ties = x.groupBy("key", "value").agg(F.count("*").cast("double").alias("t")).groupBy("key").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties"))
-    g = x.groupBy("key").agg(F.sum(F.col("r") * F.col("y")).alias("s"), F.sum("y").cast("double").alias("n1"), F.count("*").cast("double").alias("n")).join(ties, "key")
-    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
-    surplus = 2 * (F.col("s") - n1 * (n1 + 1) / 2) - n1 * n0
-    return g.select("key", F.abs(F.try_divide(surplus, F.sqrt((F.col("n") * (F.col("n") - 1) / 2 - F.col("ties")) * n1 * n0))).alias("score"))
+    """Absolute tau-b of each key with a target of any values; rows with a null on either side are left out.
+
+    Ranks are written in base 4. Two rows whose ranks of x first differ in digit u and whose ranks of y first differ in
+    digit v meet in exactly one group of (u, leading digits of x, v, leading digits of y), where those two digits say
+    whether they are concordant. So concordant less discordant pairs follow from 16 counts a group: a row is counted
+    once for each pair of places, no pair is made, and no task holds a key.
+    """
+    both = features.join(target.select("subject", "y"), "subject").where(F.col("value").isNotNull() & F.col("y").isNotNull() & ~F.isnan("value"))
+    x = with_ranks(with_ranks(both, ["key"], "value", "rx"), ["key"], "y", "ry").select("key", (2 * F.col("rx")).cast("long").alias("x"), (2 * F.col("ry")).cast("long").alias("y"))
+    x = x.groupBy("key", "x", "y").agg(F.count("*").alias("n"))
+    places = ((2 * target.count() + 1).bit_length() + 1) // 2
+    # equal ranks of y have equal digits everywhere, so few values of y make few groups
+    digits = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda u: F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda v: F.struct(u.alias("u"), v.alias("v"))))))
+    d = x.withColumn("d", digits)
+    cut = lambda c, k: F.expr(f"shiftright({c}, 2 * ({k}))")
+    d = d.select("key", "n", "d.u", "d.v", cut("x", "d.u + 1").alias("px"), cut("y", "d.v + 1").alias("py"), cut("x", "d.u").bitwiseAND(F.lit(3)).alias("a"), cut("y", "d.v").bitwiseAND(F.lit(3)).alias("b"))
+    cells = {(a, b): F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("n")).otherwise(0)).cast("double") for a in range(4) for b in range(4)}
+    g = d.groupBy("key", "u", "px", "v", "py").agg(*[c.alias(f"n{a}{b}") for (a, b), c in cells.items()])
+    n = {ab: F.col("n%d%d" % ab) for ab in cells}
+    surplus = sum((n[a, b] * (sum(n[c, e] for c in range(a + 1, 4) for e in range(b + 1, 4)) - sum(n[c, e] for c in range(a + 1, 4) for e in range(b))) for a in range(3) for b in range(4)), F.lit(0.0))
+    s = g.groupBy("key").agg(F.sum(surplus).alias("s"))
+    tied = lambda c: x.groupBy("key", c).agg(F.sum("n").cast("double").alias("t")).groupBy("key").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"), F.sum("t").alias(f"n{c}"))
+    t = s.join(tied("x"), "key").join(tied("y"), "key")
+    pairs = F.col("nx") * (F.col("nx") - 1) / 2
+    return t.select("key", F.abs(F.try_divide("s", F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))))).alias("score"))
 
 
 def robust_scale(features: DataFrame, train: DataFrame) -> DataFrame:
@@ -85,8 +103,19 @@ def score_pearson(features: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def score_spearman(features: DataFrame, target: DataFrame) -> DataFrame:
-    x = with_ranks(with_ranks(features.join(target, "subject"), ["key"], "value", "rv"), ["key"], "y", "ry")
-    return x.groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score"))
+    """Absolute rank correlation of each key with the target over the rows that have both.
+
+    A target's ranks are the same for all keys without a null, so they are made once, for all subjects; keys that lack
+    values have their targets ranked anew among the rows that they have.
+    """
+    known = features.where(F.col("value").isNotNull() & ~F.isnan("value")).join(target.where(F.col("y").isNotNull()).select("subject", F.col("y").cast("double").alias("y")), "subject")
+    x = with_ranks(known, ["key"], "value", "rv")
+    whole = with_ranks(target.where(F.col("y").isNotNull()).select("subject", F.lit(0).alias("_all"), F.col("y").cast("double").alias("y")), ["_all"], "y", "ry").select("subject", "ry")
+    n = target.where(F.col("y").isNotNull()).count()
+    full = known.groupBy("key").agg(F.count("*").alias("_n"))
+    out = x.join(whole, "subject").groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score"), F.count("*").alias("_n")).where(F.col("_n") == n).select("key", "score")
+    part = x.join(full.where(F.col("_n") != n).select("key"), "key", "left_semi")
+    return out.unionByName(with_ranks(part, ["key"], "y", "ry").groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score")))
 
 
 def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
