@@ -46,20 +46,26 @@ def oof_predictions(rows: DataFrame, folds: DataFrame, kind: str, k: int, seed:
     return reduce(DataFrame.unionByName, out)
 
 
-def stack(preds: DataFrame, train: DataFrame, models: list[str], kind: str = "logistic") -> DataFrame:
-    """subject, p: a model on the base models' out-of-fold probabilities (subject, model, p), for the subjects that all of them predict."""
+def stack(preds: DataFrame, train: DataFrame, models: list[str], kind: str = "logistic", k: int = 3) -> DataFrame:
+    """subject, p: a meta-model on the base models' out-of-fold probabilities (subject, model, p), for the subjects that all of them predict.
+
+    No subject is predicted by a meta-model that has seen its label: those of train (subject, y, and fold where it is there)
+    are predicted by the one that was fitted on the other folds, all others by the one that was fitted on train. Without
+    a fold, subjects of train are only learned from and the others predicted.
+    """
     wide = preds.where(F.col("model").isin(models)).groupBy("subject").pivot("model", models).agg(F.first("p")).dropna()
     rows = VectorAssembler(inputCols=models, outputCol="features").transform(wide).select("subject", "features")
-    return train_classifier(rows, train, kind)
+    others = train_classifier(rows, train, kind).join(train.select("subject"), "subject", "left_anti")
+    return others.unionByName(oof_predictions(rows, train, kind, k)) if "fold" in train.columns else others
 
 
 def fusion(sets: dict[str, tuple[DataFrame, list[str]]], folds: DataFrame, mode: str = "late", kind: str = "logistic", k: int = 3) -> DataFrame:
-    """subject, p: 'early' joins the feature sets (table, keys) and trains one model; 'late' trains one a set and stacks their out-of-fold probabilities."""
+    """subject, p out of fold: 'early' joins the feature sets (table, keys) and trains one model; 'late' trains one a set and stacks their out-of-fold probabilities, the meta-model's predictions being out of fold too."""
     if mode == "early":
         named = [t.withColumn("key", F.concat(F.lit(f"{n}_"), "key")) for n, (t, _) in sets.items()]
         return oof_predictions(vectors(reduce(DataFrame.unionByName, named), [f"{n}_{key}" for n, (_, keys) in sets.items() for key in keys]), folds, kind, k)
     base = [oof_predictions(vectors(t, keys), folds, kind, k).withColumn("model", F.lit(n)) for n, (t, keys) in sets.items()]
-    return stack(reduce(DataFrame.unionByName, base), folds, list(sets), kind)
+    return stack(reduce(DataFrame.unionByName, base), folds, list(sets), kind, k)
 
 
 def backward_elimination(rows: DataFrame, train: DataFrame, keys: list[str], keep: int, drop: int = 1) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r6
 from ..operators import learning as L
 from ..operators import selection as S
+from ..operators import tuning as U
 from ..sources import views as V
 from .evaluation_queries import sql
 
@@ -39,7 +40,25 @@ def _knn(s, d):
     return L.knn_predict(v.where("id % 10 < 8"), v.where("id % 10 >= 8").select("id", "v"), 5)
 
 
+def _wide(s, d):
+    return V.features(s, d).groupBy("subject").pivot("key", KEYS).agg(F.first("value"))
+
+
+def _dealt(s, d, y="y"):
+    """Targets in four folds; the last is held out."""
+    return V.target(s, d).select("subject", F.col(y).alias("y"), (F.col("subject") % 4).cast("int").alias("fold"))
+
+
+def _eliminated(s, d):
+    left, means = U.eliminate(_wide(s, d), _folds(s, d), KEYS[:16], "logistic")
+    rows = [("kept", k, None) for k in left] + [("score", str(n), float(v)) for n, v in means]
+    return s.createDataFrame(rows, "what string, name string, score double")
+
+
 QUERIES = {
+    **{f"ml02_tuned_{kind}": ((lambda s, d, kind=kind: _p(U.held_out(_wide(s, d), _dealt(s, d), KEYS, kind, 3))), None) for kind in U.CLASSIFIERS},
+    **{f"ml03_tuned_{kind}": ((lambda s, d, kind=kind: _p(U.held_out(_wide(s, d), _dealt(s, d, "label"), KEYS, kind, 3, regression=True))), None) for kind in U.REGRESSORS},
+    "fs17_backward_elimination": (_eliminated, None),
     **{f"ml02_train_{kind}": ((lambda s, d, kind=kind: _p(L.train_classifier(_rows(s, d), _train(s, d), kind))), None) for kind in L.CLASSIFIERS},
     **{f"ml03_regress_{kind}": ((lambda s, d, kind=kind: _p(L.train_regressor(_rows(s, d), V.target(s, d).where("subject % 10 < 6").select("subject", F.col("label").alias("y")), kind))), None) for kind in L.REGRESSORS},
     "ml04_knn_predict": (
