@@ -1,21 +1,33 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""Cutting lineage between the rounds of an iteration, and folders that driver and executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder of spark.checkpoint.dir, so that a lost executor costs no earlier round. Where that is unset, a local session gets a temporary folder; on a cluster it is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which is made the session's checkpoint folder. Where that is unset, a local session gets a temporary folder; on a cluster, whose machines share none, it is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.match(r"local(\[[^\]]*\])?$", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="spark-checkpoints-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder, so that a lost executor costs no earlier round."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
