@@ -58,10 +58,15 @@ def log_loss_brier(preds: DataFrame, eps: float = 1e-9) -> DataFrame:
 
 
 def confusion_members(preds: DataFrame) -> DataFrame:
-    """Each row's cell."""
+    """subject, model, cell, correct of every prediction: a row a member, since a cell has as many as there are subjects."""
     c = F.col("p") >= 0.5
     cell = F.when(c & (F.col("y") == 1), "tp").when(c, "fp").when(F.col("y") == 1, "fn").otherwise("tn")
-    return preds.groupBy("model", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("subject").alias("first_id"), F.max("subject").alias("last_id"))
+    return preds.select("subject", "model", cell.alias("cell"), cell.isin("tp", "tn").alias("correct"))
+
+
+def confusion_counts(preds: DataFrame) -> DataFrame:
+    """Size, least and greatest member of each cell."""
+    return confusion_members(preds).groupBy("model", "cell").agg(F.count("*").alias("n"), F.min("subject").alias("first_id"), F.max("subject").alias("last_id"))
 
 
 def rank_rmse(preds: DataFrame) -> DataFrame:
@@ -75,6 +80,34 @@ def regression_scores(preds: DataFrame) -> DataFrame:
     return g
 
 
+REGRESSION = ("pearson", "spearman", "rmse", "mae", "medae", "r2", "mape", "rank_rmse")
+
+
+def target_scores(preds: DataFrame) -> DataFrame:
+    """model, target and the REGRESSION scores of each target (subject, model, target, y, p): correlations without sign, mape in percent; null where undefined. Rows with a null on either side are left out."""
+    by = ["model", "target"]
+    known = preds.where(F.col("y").isNotNull() & F.col("p").isNotNull()).withColumns({"y": F.col("y").cast("double"), "p": F.col("p").cast("double")})
+    x = with_ranks(with_ranks(known, by, "p", "rp"), by, "y", "ry")
+    e, r = F.col("p") - F.col("y"), F.col("rp") - F.col("ry")
+    return x.groupBy(*by).agg(
+        F.abs(F.corr("p", "y")).alias("pearson"), F.abs(F.corr("rp", "ry")).alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
+        (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop("y"))).alias("r2"), (100 * F.avg(F.try_divide(F.abs(e), F.abs("y")))).alias("mape"), F.sqrt(F.avg(r * r)).alias("rank_rmse"),
+    )
+
+
+def regression_summary(scores: DataFrame, how: str = "avg") -> DataFrame:
+    """The scores of each model over its targets: 'avg', 'max', 'min' or 'median'. Averages of rmse and rank_rmse are roots of the mean square; a score that no target has is 100 for errors and -100 for correlations and r2."""
+    f = {"avg": F.avg, "max": F.max, "min": F.min, "median": lambda c: F.percentile(c, F.lit(0.5))}[how]
+    one = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c))) if how == "avg" and c in ("rmse", "rank_rmse") else f(F.col(c))
+    worst = {c: -100.0 if c in ("pearson", "spearman", "r2") else 100.0 for c in REGRESSION}
+    return scores.groupBy("model").agg(F.count("*").alias("n_targets"), *[F.coalesce(one(c), F.lit(worst[c])).alias(c) for c in REGRESSION])
+
+
+def stacked_scores(preds: DataFrame) -> DataFrame:
+    """The scores of each model over all targets' rows together."""
+    return target_scores(preds.withColumn("target", F.lit("all"))).drop("target")
+
+
 def mann_whitney(preds: DataFrame) -> DataFrame:
     """U of the positives' probabilities and its normal z without tie correction."""
     x = with_ranks(preds, ["model"], "p", "r")
@@ -188,13 +221,28 @@ def wilcoxon_signed(preds: DataFrame, best: str) -> DataFrame:
     """model, w, p: signed-rank statistic of each model's absolute errors against the best one's, with tie correction; equal errors give 1."""
     err = F.abs(F.col("p") - F.col("y"))
     x = preds.select("subject", "model", err.alias("e")).withColumn("b", F.max(F.when(F.col("model") == best, F.col("e"))).over(Window.partitionBy("subject")))
-    x = x.where(F.col("model") != best).select("model", F.round(F.col("e") - F.col("b"), 12).alias("diff")).withColumn("size", F.abs("diff"))
-    some = with_ranks(x.where("diff <> 0"), ["model"], "size", "r")
-    ties = some.groupBy("model", "size").agg(F.count("*").cast("double").alias("t")).groupBy("model").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    g = some.groupBy("model").agg(F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.count("*").cast("double").alias("n")).join(ties, "model")
+    return signed_ranks(x.where(F.col("model") != best).select("model", (F.col("e") - F.col("b")).alias("diff")), ["model"])
+
+
+def signed_ranks(x: DataFrame, by: list[str]) -> DataFrame:
+    """by, w, p: the signed-rank statistic of the differences (by, diff), with tie correction; p is 1 where none differs from 0."""
+    x = x.withColumn("diff", F.round("diff", 12)).withColumn("size", F.abs("diff"))
+    some = with_ranks(x.where("diff <> 0"), by, "size", "r")
+    ties = some.groupBy(*by, "size").agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    g = some.groupBy(*by).agg(F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.count("*").cast("double").alias("n")).join(ties, by)
     w, n = F.least("up", "down"), F.col("n")
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
-    return x.select("model").distinct().join(g, "model", "left").select("model", F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(two_sided_p(z), F.lit(1.0)).alias("p"))
+    return x.select(*by).distinct().join(g, by, "left").select(*by, F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(two_sided_p(z), F.lit(1.0)).alias("p"))
+
+
+def select_regressors(preds: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """target, model, best, rank_rmse, p: for each target (subject, target, model, y, p) the model of least rank error, of equals the first by name, and those whose absolute errors don't differ from its by the signed-rank test."""
+    scores = target_scores(preds).select("target", "model", "rank_rmse")
+    best = scores.groupBy("target").agg(F.min_by("model", F.struct("rank_rmse", "model")).alias("best"))
+    x = preds.select("subject", "target", "model", F.abs(F.col("p") - F.col("y")).alias("e")).join(F.broadcast(best), "target")
+    x = x.withColumn("b", F.max(F.when(F.col("model") == F.col("best"), F.col("e"))).over(Window.partitionBy("target", "subject")))
+    tested = signed_ranks(x.where("e IS NOT NULL AND b IS NOT NULL").select("target", "model", (F.col("e") - F.col("b")).alias("diff")), ["target", "model"])
+    return tested.where(F.col("p") > alpha).join(scores, ["target", "model"]).join(best, "target").select("target", "model", "best", "rank_rmse", "p")
 
 
 def perturbation_summary(scores: DataFrame) -> DataFrame:

@@ -72,10 +72,15 @@ def score_kendall(features: DataFrame, target: DataFrame) -> DataFrame:
     whether they are concordant. So concordant less discordant pairs follow from 16 counts a group: a row is counted
     once for each pair of places, no pair is made, and no task holds a key.
     """
-    both = features.join(target.select("subject", "y"), "subject").where(F.col("value").isNotNull() & F.col("y").isNotNull() & ~F.isnan("value"))
+    return tau(features.join(target.select("subject", "y"), "subject"), target.count())
+
+
+def tau(rows: DataFrame, most: int) -> DataFrame:
+    """score_kendall of rows that hold both sides (key, value, y); a key has `most` of them at most."""
+    both = rows.where(F.col("value").isNotNull() & F.col("y").isNotNull() & ~F.isnan("value"))
     x = with_ranks(with_ranks(both, ["key"], "value", "rx"), ["key"], "y", "ry").select("key", (2 * F.col("rx")).cast("long").alias("x"), (2 * F.col("ry")).cast("long").alias("y"))
     x = x.groupBy("key", "x", "y").agg(F.count("*").alias("n"))
-    places = ((2 * target.count() + 1).bit_length() + 1) // 2
+    places = ((2 * most + 1).bit_length() + 1) // 2
     # equal ranks of y have equal digits everywhere, so few values of y make few groups
     digits = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda u: F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda v: F.struct(u.alias("u"), v.alias("v"))))))
     d = x.withColumn("d", digits)
@@ -126,9 +131,17 @@ def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
     return t.select("key", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide("within", F.col("N") - F.col("k"))).alias("score"))
 
 
-def score_multi(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """Mean and highest absolute correlation over several targets (subject, name, y)."""
-    s = features.join(targets, "subject").groupBy("key", "name").agg(F.abs(F.corr("value", "y")).alias("s"))
+SCORES = {"pearson": lambda f, t: score_pearson(f, t), "spearman": lambda f, t: score_spearman(f, t), "kendall": lambda f, t: score_kendall(f, t), "mutual_info": lambda f, t: score_mutual_info(f, t)}
+
+
+def score_multi(features: DataFrame, targets: DataFrame, score: str = "pearson", names: list[str] | None = None) -> DataFrame:
+    """Mean and highest score over several targets (subject, name, y). Pearson's takes all targets at once; the others are scored a target at a time, for the names given."""
+    if score == "pearson":
+        s = features.join(targets, "subject").groupBy("key", "name").agg(F.abs(F.corr("value", "y")).alias("s"))
+    else:
+        if not names:
+            raise ValueError("give the targets' names")
+        s = reduce(DataFrame.unionByName, [SCORES[score](features, targets.where(F.col("name") == n).select("subject", "y")).select("key", F.col("score").alias("s")) for n in names])
     return s.groupBy("key").agg(F.avg("s").alias("avg_score"), F.max("s").alias("max_score"))
 
 
@@ -146,6 +159,20 @@ def pair_correlation(features: DataFrame) -> DataFrame:
     return two.groupBy(F.col("a.key").alias("k1"), F.col("b.key").alias("k2")).agg(F.abs(F.corr("a.value", "b.value")).alias("r"))
 
 
+def pair_rank_correlation(features: DataFrame) -> DataFrame:
+    """Absolute rank correlation of every pair of keys, for subjects that have all of them: ranks once a key, then as pair_correlation."""
+    return pair_correlation(with_ranks(features.where(F.col("value").isNotNull()), ["key"], "value", "_r").select("subject", "key", F.col("_r").alias("value")))
+
+
+def pair_tau(features: DataFrame) -> DataFrame:
+    """Absolute tau-b of every pair of keys: each pair is a key of its own, whose discordant pairs are counted by digits of ranks (score_kendall)."""
+    g = features.where(F.col("value").isNotNull()).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("v"))
+    one = g.select("subject", "v", F.posexplode("v").alias("i", "a"))
+    two = one.select("subject", "a", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v"), F.lit(1)))).alias("b"))
+    rows = two.select("subject", F.struct(F.col("a.key").alias("k1"), F.col("b.key").alias("k2")).alias("key"), F.col("a.value").alias("value"), F.col("b.value").alias("y"))
+    return tau(rows, features.select("subject").distinct().count()).select("key.k1", "key.k2", F.col("score").alias("r"))
+
+
 def bh_adjust(p: DataFrame) -> DataFrame:
     """Benjamini-Hochberg q values of (key, p). The table has a row a test."""
     up = Window.orderBy("p", "key")
@@ -180,6 +207,27 @@ def assign_folds(df: DataFrame, key: str, by: str, k: int, seed: str) -> DataFra
     return x.join(starts, [by, "_b"]).withColumn("fold", (F.col("_start") + place - 1) % k).select(*df.columns, "fold")
 
 
+def repeated_folds(df: DataFrame, key: str, by: str, k: int, repeats: int, seed: str) -> DataFrame:
+    """Stratified folds dealt out anew for each repeat, all in one pass: df's rows times repeats, with repeat and fold."""
+    x = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_by", F.struct(F.col(by), F.col("repeat"))).withColumn("_key", F.concat_ws(":", F.col("repeat").cast("string"), F.col(key).cast("string")))
+    return assign_folds(x, "_key", "_by", k, seed).drop("_by", "_key")
+
+
+def group_folds(df: DataFrame, group: str) -> DataFrame:
+    """Leave one group out: fold is the number of the row's group in order, null groups first. There is a row a group in the one window."""
+    groups = df.select(group).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))
+    return df.join(groups.select(F.col(group).alias("_g"), "fold"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def shuffle_split(df: DataFrame, key: str, by: str, share: float, seed: str) -> DataFrame:
+    """Stratified shuffle split: test is true for the `share` (rounded down) of each class that comes first by a digest."""
+    x = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    lower = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy(by, "_b").agg(F.count("*").alias("_m")).select(by, "_b", F.coalesce(F.sum("_m").over(lower), F.lit(0)).alias("_start"), F.sum("_m").over(Window.partitionBy(by)).alias("_all"))
+    place = F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", key))
+    return x.join(starts, [by, "_b"]).withColumn("test", F.col("_start") + place <= F.floor(F.lit(share) * F.col("_all") + 1e-9)).select(*df.columns, "test")
+
+
 def score_mutual_info(features: DataFrame, target: DataFrame, bins: int = 10) -> DataFrame:
     """Mutual information in nats of the target and the value's bin, bins of equal width over the key's range. Null values are left out."""
     known = features.where(F.col("value").isNotNull())

@@ -33,10 +33,58 @@ def resample(samples: DataFrame, every: int) -> DataFrame:
     return samples.groupBy(*SERIES, F.floor(F.col("t_idx") / every).alias("t_idx")).agg(F.avg("x").alias("x"))
 
 
-def downsample_index(samples: DataFrame, n: int, num: int) -> DataFrame:
-    """Samples at unique log-spaced positions below n."""
-    at = sorted({int(round(n ** (i / (num - 1)))) - 1 for i in range(num)})
-    return samples.where(F.col("t_idx").isin(at))
+def downsample_index(samples: DataFrame, num: int, method: str = "log", two_sided: bool = False) -> DataFrame:
+    """The samples at num positions of each series, spread over its whole length evenly or by logarithm (from the start, or from the middle to both ends); positions that fall together count once.
+
+    Series of num samples stay whole, shorter ones are left out.
+    """
+    n = F.col("_n")
+    spread = lambda lo, hi, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: lo + (hi - lo) * i / max(k - 1, 1))
+    whole = lambda v: F.floor(v + 1e-9).cast("long")
+    if method == "linear":
+        at = F.transform(spread(F.lit(0.0), n - 1, num), whole)
+    elif method == "log" and not two_sided:
+        at = F.transform(spread(F.lit(0.0), F.ln(n - 1), num), lambda e: whole(F.exp(e)))
+    elif method == "log":
+        middle = F.floor(n / 2)
+        down = F.transform(spread(F.ln(middle - 1), F.lit(0.0), num // 2), lambda e: middle - whole(F.exp(e)))
+        up = F.transform(spread(F.lit(0.0), F.ln(n - middle - 1), num // 2), lambda e: middle + whole(F.exp(e)))
+        at = F.concat(down, up)
+    else:
+        raise ValueError("method is 'log' or 'linear'")
+    lengths = samples.groupBy(*SERIES).agg(F.count("*").alias("_n")).where(n >= num)
+    places = F.when(n == num, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array_distinct(at))
+    return samples.join(lengths.select(*SERIES, F.explode(places).alias("t_idx")), [*SERIES, "t_idx"], "left_semi")
+
+
+def freq_grid(kind: str, lo: float, hi: float | None, n: int, fs: float = 500.0) -> list[float]:
+    """n even frequencies from lo to hi, or those of 2 n points spaced by logarithm over 0.2 to 600 that lie between, with both ends; hi is half the rate at most."""
+    hi = fs / 2 if hi is None else min(hi, fs / 2)
+    if kind == "linear":
+        return [lo + (hi - lo) * k / (n - 1) for k in range(n)]
+    if kind not in ("log", "log10"):
+        raise ValueError("kind is 'linear', 'log' or 'log10'")
+    points = [0.2 * (600 / 0.2) ** (k / (2 * n - 1)) for k in range(2 * n)]
+    return sorted({lo, hi, *[f for f in points if lo <= f <= hi]})
+
+
+def interpolate(curve: DataFrame, grid: list[float], by: list[str]) -> DataFrame:
+    """by, g, freq, power: piecewise-linear values at the grid's frequencies, beyond either end along the outermost segment.
+
+    A segment makes the grid points from its own frequency to below the next one's, so there is no join; the grid is a
+    constant. Curves of one point give none.
+    """
+    w = Window.partitionBy(*by).orderBy("freq")
+    seg = curve.withColumns({"f1": F.lead("freq").over(w), "p1": F.lead("power").over(w), "f_": F.lag("freq").over(w), "f2": F.lead("freq", 2).over(w)}).where("f1 IS NOT NULL")
+    points = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(float(f)).alias("f")) for i, f in enumerate(grid)])
+    mine = F.filter(points, lambda q: (F.col("f_").isNull() | (q["f"] >= F.col("freq"))) & (F.col("f2").isNull() | (q["f"] < F.col("f1"))))
+    seg = seg.withColumn("q", F.explode(mine))
+    return seg.select(*by, "q.g", F.col("q.f").alias("freq"), (F.col("power") + (F.col("p1") - F.col("power")) * (F.col("q.f") - F.col("freq")) / (F.col("f1") - F.col("freq"))).alias("power"))
+
+
+def band_limit(spectrum: DataFrame, lo: float, hi: float) -> DataFrame:
+    """The bins from lo to hi, both inside; the filter reaches the scan."""
+    return spectrum.where(F.col("freq").between(lo, hi))
 
 
 def interpolate_to_grid(curve: DataFrame, step: float, by: list[str]) -> DataFrame:

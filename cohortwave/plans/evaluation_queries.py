@@ -102,7 +102,7 @@ QUERIES = {
     ),
     "ev07_confusion_members": (
         lambda s, d: E.confusion_members(V.predictions(s, d)),
-        sql("SELECT model, CASE WHEN p >= 0.5 AND y = 1 THEN 'tp' WHEN p >= 0.5 THEN 'fp' WHEN y = 1 THEN 'fn' ELSE 'tn' END AS cell, count(*) AS n, min(subject) AS first_id, max(subject) AS last_id FROM predictions GROUP BY ALL", views=PRED),
+        sql("SELECT subject, model, CASE WHEN p >= 0.5 AND y = 1 THEN 'tp' WHEN p >= 0.5 THEN 'fp' WHEN y = 1 THEN 'fn' ELSE 'tn' END AS cell, (p >= 0.5) = (y = 1) AS correct FROM predictions", views=PRED),
     ),
     "ev08_classification_report": (
         lambda s, d: rounded(E.classification_report(V.predictions(s, d)), "precision", "recall", "f1"),

@@ -52,8 +52,8 @@ QUERIES = {
     ),
     "ts03_resample": (lambda s, d: rounded(T.resample(V.samples(s, d), 5), "x"), sql(f"SELECT {KEY}, t_idx // 5 AS t_idx, round(avg(x), 6) AS x FROM samples GROUP BY {KEY}, t_idx // 5")),
     "ts04_downsample_index": (
-        lambda s, d: T.downsample_index(V.samples(s, d), 64, 12),
-        sql("SELECT * FROM samples WHERE t_idx IN (SELECT round(64 ** (i / 11.0::DOUBLE))::INT - 1 FROM range(12) t(i))"),
+        lambda s, d: T.downsample_index(V.samples(s, d), 12),
+        sql(f"SELECT s.* FROM samples s JOIN (SELECT DISTINCT {KEY}, floor(exp(ln(n - 1) * i / 11.0::DOUBLE) + 1e-9)::BIGINT AS t_idx FROM (SELECT {KEY}, count(*) AS n FROM samples GROUP BY ALL), range(12) t(i) WHERE n > 12) USING ({KEY}, t_idx)"),
     ),
     "ts05_interpolate_to_grid": (
         lambda s, d: rounded(T.interpolate_to_grid(V.spectrum(s, d), 0.75, ["subject", "state", "channel"]), "power"),
@@ -89,7 +89,7 @@ QUERIES = {
         lambda s, d: rounded(T.regress_out(V.samples(s, d), "click", 0.05).select("subject", "channel", "state", "t_idx", "y"), "y"),
         sql(f"SELECT {KEY}, t_idx, round(CASE WHEN abs(corr(x, r) OVER w) >= 0.05 AND r IS NOT NULL AND channel <> 'click' THEN x - regr_slope(x, r) OVER w * r ELSE x END, 6) AS y FROM (SELECT *, max(x) FILTER (channel = 'click') OVER (PARTITION BY subject, state, t_idx) AS r FROM samples) WINDOW w AS (PARTITION BY {KEY})"),
     ),
-    "sg09_band_limit": (lambda s, d: V.spectrum(s, d).where("freq BETWEEN 1 AND 40").groupBy("subject").agg(F.count("*").alias("n")), sql("SELECT subject, count(*) AS n FROM spectrum WHERE freq BETWEEN 1 AND 40 GROUP BY subject", views=("spectrum",))),
+    "sg09_band_limit": (lambda s, d: rounded(T.band_limit(V.spectrum(s, d), 1.0, 40.0), "power"), sql("SELECT * REPLACE (round(power, 6) AS power) FROM spectrum WHERE freq BETWEEN 1 AND 40", views=("spectrum",))),
     "sg10_notch": (lambda s, d: T.notch(V.spectrum(s, d), [60.0, 120.0], 4.0).select("subject", "state", "channel", "k"), sql("SELECT subject, state, channel, k FROM spectrum WHERE NOT (abs(freq - 60) <= 2 OR abs(freq - 120) <= 2)", views=("spectrum",))),
     "cx01_moments": (
         lambda s, d: rounded(X.moments(V.samples(s, d)), "mean", "std", "var", "skew", "kurt"),
