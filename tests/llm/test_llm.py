@@ -230,7 +230,7 @@ def test_bare_copies_of_labelled_formats_are_found(spark):
     rows = [(i, f"{draw(low, 14)} {draw(low, 16)} api_key={x} {draw(low, 12)}-{i}") for i, x in enumerate(labelled)]
     rows += [(1000 + i, f"{draw(low, 15)} {x} {draw(low, 13)}") for i, x in enumerate(labelled)] + [(2000 + i, f"{draw(low, 15)} {x}") for i, x in enumerate(letters)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: x for x in secrets.scan(docs, *secrets.fit(docs)).collect()}
+    got = {x.doc_id: x for x in secrets.scan(docs, secrets.fit(docs)).collect()}
     assert all(got[i].n_format == 0 and got[i].n_assign == 1 for i in range(300))
     assert sum(got[1000 + i].spans == "format:16:40" for i in range(300)) >= 297
     assert sum(got[2000 + i].spans == "format:16:40" for i in range(20)) >= 19
