@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, map_arrow, read
 
-#: Bounds of the fitting sample: labelled texts of each label for a dictionary and for the curve, and the longest text in it.
-FIT_TEXTS, CURVE_TEXTS, FIT_BYTES = 1500, 1500, 64_000
+#: Bounds of the fitting sample: labelled texts of each label for a dictionary, pieces of them, and texts for the curve.
+FIT_TEXTS, FIT_PIECES, CURVE_TEXTS = 1500, 60_000, 1500
 DICTIONARY_BYTES = 65_536
 LEVEL, PIECE = 1, 256
 FOLDS = 5
@@ -28,13 +28,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def train(texts: list[bytes]) -> bytes:
-    """A dictionary from the texts' pieces; with too few of them, their own bytes."""
-    pieces = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
+def train(pieces: list[bytes]) -> bytes:
+    """A dictionary from the pieces; where they are too few to train on, all their bytes."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[:DICTIONARY_BYTES]
+        return b"".join(pieces)
 
 
 def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
@@ -79,18 +78,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 def fit(docs: DataFrame, labels: DataFrame, fit_texts: int = FIT_TEXTS, curve_texts: int = CURVE_TEXTS) -> tuple[bytes, bytes, np.ndarray]:
     """Dictionaries and curve from rows whose fold is not 0.
 
-    Fold 1 feeds the curve and the others the dictionaries, each the texts of each label that come first by hash,
-    with at most FIT_BYTES bytes. With no text of a label its dictionary is empty.
+    Fold 1 feeds the curve and the others the dictionaries, each the texts of each label that come first by hash, of any
+    length. A dictionary is trained on the FIT_PIECES pieces of its texts, 15 MB, that come first by hash. With no text
+    of a label its dictionary is empty. Rows that repeat a doc_id count once; null and empty texts don't count.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(fold(F.col("doc_id")) != 0)
-    usable = docs.where(F.octet_length("text").between(1, FIT_BYTES))
+    usable = docs.where(F.octet_length("text") > 0)
     ids = usable.select("doc_id").distinct().join(known, "doc_id").withColumn("curve", fold(F.col("doc_id")) == 1)
     order = F.struct(F.xxhash64(F.lit("dictionary"), "doc_id"), "doc_id")
     parts = [ids.where((F.col("quality") == q) & (F.col("curve") == c)).orderBy(order).limit(curve_texts if c else fit_texts) for q in (0, 1) for c in (False, True)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     rows = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    basis = rows.where(~F.col("curve")).select("quality", "doc_id", F.col("text").cast("binary").alias("text")).toPandas().sort_values("doc_id")
-    good, bad = (train(basis.text[basis.quality == q].tolist()) for q in (1, 0))
+    cuts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE).cast("int"))
+    pieces = rows.where(~F.col("curve")).select("quality", F.explode(F.transform(cuts, lambda k: F.substring(F.col("text").cast("binary"), k * PIECE + 1, F.lit(PIECE)))).alias("piece"))
+    first = lambda q: pieces.where(F.col("quality") == q).select("piece").orderBy(F.xxhash64("piece"), "piece").limit(FIT_PIECES)
+    good, bad = (train([bytes(r.piece) for r in first(q).toLocalIterator()]) for q in (1, 0))
     seen = score(rows.where("curve"), good, bad, None, "quality").toPandas()
     if seen.quality.nunique() < 2:
         return good, bad, np.array([1.0, 0, 0, 0, 0, 0])
