@@ -63,9 +63,10 @@ def merge_outer(tables: list[DataFrame], on: str, fill=None) -> DataFrame:
     return out if fill is None else out.fillna(fill)
 
 
-def assign_category(df: DataFrame, key: str, col: str, options: list[str], rest: str) -> DataFrame:
-    """The first option in order of priority that a row of the subject has; else rest."""
+def assign_category(df: DataFrame, key: str, col: str, options: list[str], rest: str, condition: Column | None = None) -> DataFrame:
+    """The first option in order of priority that a row of the subject has, of those that meet the condition; else rest. Every subject has a category."""
     rank = recode(F.col(col), {v: i for i, v in enumerate(options)})
+    rank = rank if condition is None else F.when(condition, rank)
     first = df.groupBy(key).agg(F.min(rank.cast("int")).alias("i"))
     return first.select(key, F.coalesce(F.get(F.array(*map(F.lit, options)), F.col("i")), F.lit(rest)).alias("category"))
 
@@ -80,8 +81,10 @@ def check_labels(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.where(~F.col("ya").eqNullSafe(F.col("yb"))).withColumn("problem", F.when(F.col("ya").isNull(), "absent_left").when(F.col("yb").isNull(), "absent_right").otherwise("differs"))
 
 
-def select_by_label(data: DataFrame, labels: DataFrame, key: str, col: str, values: list) -> DataFrame:
-    return data.join(labels.where(F.col(col).isin(values)), key, "left_semi")
+def select_by_label(data: DataFrame, labels: DataFrame, key: str, col: str, values: list, feature_contains: str | None = None, name: str = "key") -> DataFrame:
+    """The rows of subjects whose label is one of the values; of long features only those whose name contains the given text."""
+    some = data if feature_contains is None else data.where(F.contains(F.col(name), F.lit(feature_contains)))
+    return some.join(labels.where(F.col(col).isin(values)), key, "left_semi")
 
 
 def select_split(df: DataFrame, splits: DataFrame, split: list[str], skip: DataFrame, key: str = "subject") -> DataFrame:
@@ -94,20 +97,25 @@ def split_report(splits: DataFrame, target: DataFrame, key: str = "subject") ->
     return splits.join(n, key).join(target, key).groupBy("split").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_positive"), F.sum((F.col("k") > 1).cast("long")).alias("n_shared"))
 
 
-def annotation_summary(ann: DataFrame) -> DataFrame:
-    """Durations of either state, null-safe totals, and flags of what is missing."""
-    o, c = F.col("open_end_1") - F.col("open_start_1"), F.col("closed_end_1") - F.col("closed_start_1")
+def annotation_summary(ann: DataFrame, segments: int = 1) -> DataFrame:
+    """Durations of either state over its segments, null-safe totals, and flags of what is missing. A state without any segment is null."""
+    def lasting(state: str) -> Column:
+        each = [F.col(f"{state}_end_{k}") - F.col(f"{state}_start_{k}") for k in range(1, segments + 1)]
+        return F.when(F.coalesce(*each).isNotNull(), sum((F.coalesce(e, F.lit(0.0)) for e in each[1:]), F.coalesce(each[0], F.lit(0.0))))
+
+    o, c = lasting("open"), lasting("closed")
     return ann.select("subject", o.alias("open_s"), c.alias("closed_s"), (F.coalesce(o, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))).alias("total_s"), (o.isNull() | c.isNull()).alias("skip"), (o.isNull() & c.isNull()).alias("missing_both"))
 
 
-def unpivot_annotations(ann: DataFrame) -> DataFrame:
-    """An interval a row: subject, state, segment, t0, t1."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(1).alias("segment"), F.col(f"{s}_start_1").alias("t0"), F.col(f"{s}_end_1").alias("t1")) for s in ("open", "closed")])
+def unpivot_annotations(ann: DataFrame, segments: int = 1) -> DataFrame:
+    """An interval a row: subject, state, segment, t0, t1; those with a missing end are left out."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(k).alias("segment"), F.col(f"{s}_start_{k}").alias("t0"), F.col(f"{s}_end_{k}").alias("t1")) for s in ("open", "closed") for k in range(1, segments + 1)])
     return ann.select("subject", F.explode(pairs).alias("i")).select("subject", "i.*").where("t0 IS NOT NULL AND t1 IS NOT NULL")
 
 
-def common_channels(samples: DataFrame, bad: list[str]) -> DataFrame:
-    """Channels of every recording (subject and state) but the bad ones."""
+def common_channels(samples: DataFrame, bad: list[str], ignore_prefix: str | None = None) -> DataFrame:
+    """Channels of every recording (subject and state) but the bad ones and those whose name begins with ignore_prefix."""
+    samples = samples if ignore_prefix is None else samples.where(~F.startswith(F.col("channel"), F.lit(ignore_prefix)))
     total = samples.select("subject", "state").distinct().agg(F.count("*").alias("n"))
     per = samples.groupBy("channel").agg(F.countDistinct("subject", "state").alias("k"))
     return per.join(F.broadcast(total), F.col("k") == F.col("n")).where(~F.col("channel").isin(bad)).select("channel")
@@ -133,6 +141,14 @@ def inventory(samples: DataFrame) -> DataFrame:
     return samples.groupBy("subject").agg(F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"), F.countDistinct("channel").alias("n_channels"), F.count("*").alias("n_samples"))
 
 
+def missing_recordings(samples: DataFrame, subjects: DataFrame, states: list[str]) -> DataFrame:
+    """subject, n_recordings, n_channels, present, missing of every subject: recordings are states, listed in order; a subject without samples lacks them all."""
+    seen = samples.groupBy("subject").agg(F.array_sort(F.collect_set("state")).alias("s"), F.countDistinct("channel").alias("n_channels"))
+    x = subjects.select("subject").distinct().join(seen, "subject", "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    wanted = F.array(*[F.lit(v) for v in sorted(states)])
+    return x.select("subject", F.size("s").cast("long").alias("n_recordings"), F.coalesce("n_channels", F.lit(0)).alias("n_channels"), F.array_join("s", ",").alias("present"), F.array_join(F.array_except(wanted, "s"), ",").alias("missing"))
+
+
 def recordings_manifest(df: DataFrame, key: list[str], file: str) -> DataFrame:
     """One record a key: its file if there is one, and whether there is none, one or many."""
     n = F.countDistinct(file)
@@ -149,3 +165,9 @@ def regression_targets(subjects: DataFrame, **tables: DataFrame) -> DataFrame:
     for name, table in tables.items():
         subjects = subjects.join(table.groupBy("subject").agg(F.sum("score").alias(name)), "subject", "left")
     return subjects.fillna(0.0, list(tables))
+
+
+def baseline_scores(df: DataFrame) -> DataFrame:
+    """subject and the columns whose names hold both Baseline and Score, nulls as 0."""
+    names = [c for c in df.columns if "Baseline" in c and "Score" in c]
+    return df.select("subject", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])

@@ -18,8 +18,12 @@ def moments(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     return df.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.var_pop("x").alias("var"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
 
 
-def curve_length(df: DataFrame, dx: float = 1.0, by: list[str] = SERIES) -> DataFrame:
-    d = F.col("x") - F.lag("x").over(_w(by))
+def curve_length(df: DataFrame, dx: float = 1.0, by: list[str] = SERIES, scale: float = 1.0, normalize: bool = False) -> DataFrame:
+    """Sum of the distances between neighbours, dx apart, of the values times scale; normalize brings a series to 0 to 1 before (a constant one gives null)."""
+    if normalize:
+        w = Window.partitionBy(*by)
+        df = df.withColumn("x", F.try_divide(F.col("x") - F.min("x").over(w), F.max("x").over(w) - F.min("x").over(w)))
+    d = scale * (F.col("x") - F.lag("x").over(_w(by)))
     return df.withColumn("d", d).groupBy(*by).agg(F.sum(F.sqrt(F.lit(dx * dx) + F.col("d") * F.col("d"))).alias("curve_length"))
 
 
@@ -37,6 +41,15 @@ def perm_entropy(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     return x.groupBy(*by).agg(((F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / F.sum("n")) / math.log2(6)).alias("perm_entropy"))
 
 
+def ordinal_entropy(df: DataFrame, order: int = 3, delay: int = 1, by: list[str] = SERIES) -> DataFrame:
+    """Entropy of the orders of `order` values, `delay` apart, over log2 of their number. Equal values keep their places. perm_entropy is the form of order 3 and delay 1 without an array."""
+    values = [F.lead("x", delay * k).over(_w(by)) if k else F.col("x") for k in range(order)]
+    x = df.withColumn("v", F.array(*values)).withColumn("last", values[-1]).where("last IS NOT NULL")
+    ranked = F.array_sort(F.transform("v", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    n = x.groupBy(*by, F.transform(ranked, lambda s: s["i"]).alias("pattern")).agg(F.count("*").cast("double").alias("n"))
+    return n.groupBy(*by).agg(((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")) / math.log2(math.factorial(order))).alias("perm_entropy"))
+
+
 def katz_fd(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     x = df.withColumns({"d": F.abs(F.col("x") - F.lag("x").over(_w(by))), "first": F.first("x").over(_w(by))})
     g = x.groupBy(*by).agg(F.sum("d").alias("path"), F.avg("d").alias("step"), F.max(F.abs(F.col("x") - F.col("first"))).alias("far"))
@@ -89,6 +102,13 @@ def epoch_distribution(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     return g.select(*by, "mean", "std", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
+def feature_distribution(features: DataFrame, value: str, by: list[str] = SERIES) -> DataFrame:
+    """mean, std, median, iqr, skew and kurtosis of an epoch feature over a channel's epochs; those of the population."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = features.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
+    return g.select(*by, "n", "mean", "std", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "skew", "kurt")
+
+
 def _epoch_arrays(epoched: DataFrame, r: float) -> DataFrame:
     """An epoch a row: its samples in order and the tolerance, r times their deviation. Epochs have the window's length."""
     g = epoched.groupBy(*SERIES, "epoch").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"), (r * F.stddev_pop("x")).alias("tol"))

@@ -142,6 +142,31 @@ def classification_report(preds: DataFrame) -> DataFrame:
     return g.select("model", "class", F.col("support").cast("long").alias("support"), F.try_divide("hit", "said").alias("precision"), F.try_divide("hit", "support").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"))
 
 
+def group_reports(preds: DataFrame, by: str) -> DataFrame:
+    """Support, precision, recall and F1 of each class for each model, over all rows (group null, overall true) and in each group of `by`, in one pass."""
+    x = preds.withColumn("c", (F.col("p") >= 0.5).cast("int"))
+    sets = F.explode(F.array(F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("g")), F.struct(F.lit(False).alias("overall"), F.col(by).cast("string").alias("g")))).alias("s")
+    pairs = x.select("model", sets, "c", "y").select("model", F.col("s.overall").alias("overall"), F.col("s.g").alias("group"), F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), "c", "y")
+    hit, said, support = (F.sum(t.cast("double")) for t in ((F.col("c") == F.col("class")) & (F.col("y") == F.col("class")), F.col("c") == F.col("class"), F.col("y") == F.col("class")))
+    g = pairs.groupBy("model", "overall", "group", "class").agg(hit.alias("hit"), said.alias("said"), support.alias("support"))
+    return g.select("model", "overall", "group", "class", F.col("support").cast("long").alias("support"), F.try_divide("hit", "said").alias("precision"), F.try_divide("hit", "support").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"))
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, n, expected: counts of each pair of values and what the margins would give, pairs that don't occur included. a and b are categories: their values are one array each, exploded."""
+    n = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    values = n.agg(F.array_sort(F.collect_set(a)).alias("va"), F.array_sort(F.collect_set(b)).alias("vb"), F.sum("n").alias("t"))
+    grid = values.select(F.explode("va").alias(a), "vb", "t").select(F.explode("vb").alias(b), a, "t")
+    full = grid.join(n, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    margin = lambda c: F.sum("n").over(Window.partitionBy(c))
+    return full.select(a, b, "n", (margin(a) * margin(b) / F.col("t")).alias("expected"))
+
+
+def split_scores(scores: DataFrame) -> DataFrame:
+    """model, fold, score, sd, pooled_score, pooled_sd: every split's score beside those of pooled_cv."""
+    return scores.select("model", "fold", "score", "sd").join(pooled_cv(scores).select("model", F.col("score").alias("pooled_score"), F.col("sd").alias("pooled_sd")), "model")
+
+
 def normalize_predictions(preds: DataFrame) -> DataFrame:
     """Truth and prediction standardised by each model's mean and population deviation; null where that is 0."""
     by = preds.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("y", "p") for n, f in (("m", F.avg), ("s", F.stddev_pop))])

@@ -197,6 +197,39 @@ def regional_features(features: DataFrame, regions: dict[str, list[str]]) -> Dat
     return x.groupBy("subject", "roi").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", F.lit(0.5)).alias("median"), F.sum("value").alias("sum"), F.max("value").alias("max"), F.min("value").alias("min"))
 
 
+def regional_shapes(features: DataFrame, regions: dict[str, list[str]], levels: list[float]) -> DataFrame:
+    """skew, kurt, iqr and a percentile pNN for each level (in percent) of the keys of a region for each subject; moments are those of the population."""
+    of = F.array_compact(F.array(*[F.when(F.col("key").isin(k), F.lit(r)) for r, k in regions.items()]))
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75), *[F.lit(v / 100) for v in levels]))
+    g = features.withColumn("roi", F.explode(of)).groupBy("subject", "roi").agg(F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), q.alias("q"))
+    return g.select("subject", "roi", "skew", "kurt", (F.col("q")[1] - F.col("q")[0]).alias("iqr"), *[F.col("q")[i + 2].alias(f"p{v:g}") for i, v in enumerate(levels)])
+
+
+def subject_range(features: DataFrame, order: DataFrame, start: int, stop: int) -> DataFrame:
+    """The rows of the subjects from start to below stop in an order (subject, position): positions are ranked, so they need not be gapless. The order has a row a subject; equal positions go by subject."""
+    ranked = order.orderBy("position", "subject").limit(stop)
+    skipped = order.orderBy("position", "subject").limit(start)
+    return features.join(ranked.join(skipped, "subject", "left_anti").select("subject"), "subject", "left_semi")
+
+
+def low_variance_keys(features: DataFrame, threshold: float) -> DataFrame:
+    """key, variance, n_unique, static: the keys whose variance is not above the threshold, and whether all their values are equal."""
+    g = features.groupBy("key").agg(F.var_pop("value").alias("variance"), F.countDistinct("value").alias("n_unique"))
+    return g.where(~F.coalesce(F.col("variance") > threshold, F.lit(False))).withColumn("static", F.col("n_unique") <= 1)
+
+
+def fill_cells(features: DataFrame, fill: float, pos_inf: float, neg_inf: float) -> DataFrame:
+    """Nulls and NaN as fill, infinities as the given values."""
+    v = F.col("value")
+    return features.select("subject", "key", F.when(v.isNull() | F.isnan(v), fill).when(v == float("inf"), pos_inf).when(v == float("-inf"), neg_inf).otherwise(v).alias("value"))
+
+
+def scale_scores(scores: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """Scores brought to lo to hi by their least and greatest; lo where all are equal. One aggregate of a row is broadcast."""
+    ends = scores.agg(F.min("score").alias("a"), F.max("score").alias("b"))
+    return scores.join(F.broadcast(ends)).select("key", (F.lit(lo) + (hi - lo) * F.coalesce(F.try_divide(F.col("score") - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0))).alias("score"))
+
+
 def assign_folds(df: DataFrame, key: str, by: str, k: int, seed: str) -> DataFrame:
     """Stratified folds: the hash of the key deals each class out; the md5 is the same in any engine."""
     x = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))

@@ -132,9 +132,11 @@ def log_rescale(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("rescaled", F.pow(F.lit(10.0), F.try_divide(lp - F.avg(lp).over(w), F.stddev_pop(lp).over(w))))
 
 
-def reref_average(samples: DataFrame) -> DataFrame:
-    """Less the mean of all channels at the instant."""
-    return samples.withColumn("y", F.col("x") - F.avg("x").over(Window.partitionBy(*INSTANT)))
+def reref_average(samples: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """Less the mean of all channels at the instant; the excluded ones don't count and stay as they are."""
+    out = F.col("channel").isin(*exclude) if exclude else F.lit(False)
+    mean = F.avg(F.when(~out, F.col("x"))).over(Window.partitionBy(*INSTANT))
+    return samples.withColumn("y", F.when(out, F.col("x")).otherwise(F.col("x") - mean))
 
 
 def reref_leave_one_out(samples: DataFrame) -> DataFrame:
@@ -158,6 +160,13 @@ def drop_refs(samples: DataFrame, refs: list[str]) -> DataFrame:
     return samples.where(~F.col("channel").isin(refs))
 
 
+def append_channel(samples: DataFrame, other: DataFrame, channel: str) -> DataFrame:
+    """samples with the rows of one channel of other, untouched, at the instants that samples have; a channel of that name is replaced."""
+    instants = samples.select(*INSTANT).distinct()
+    own = other.where(F.col("channel") == channel).join(instants, INSTANT, "left_semi").select(*samples.columns)
+    return samples.where(F.col("channel") != channel).unionByName(own)
+
+
 def regress_out(samples: DataFrame, ref: str, threshold: float) -> DataFrame:
     """Without the linear part of a reference channel, where the correlation with it is at least threshold."""
     x = samples.withColumn("r", F.max(F.when(F.col("channel") == ref, F.col("x"))).over(Window.partitionBy(*INSTANT)))
@@ -166,9 +175,10 @@ def regress_out(samples: DataFrame, ref: str, threshold: float) -> DataFrame:
     return x.withColumn("y", F.when((F.abs("c") >= threshold) & F.col("r").isNotNull() & (F.col("channel") != ref), F.col("x") - F.col("s") * F.col("r")).otherwise(F.col("x")))
 
 
-def notch(spectrum: DataFrame, centres: list[float], width: float) -> DataFrame:
-    """Without the bins around the centres."""
-    return spectrum.where(~_any([F.abs(F.col("freq") - c) <= width / 2 for c in centres]))
+def notch(spectrum: DataFrame, centres: list[float], width: float | list[float]) -> DataFrame:
+    """Without the bins around the centres; a width for all of them or one each."""
+    widths = [width] * len(centres) if isinstance(width, (int, float)) else width
+    return spectrum.where(~_any([F.abs(F.col("freq") - c) <= w / 2 for c, w in zip(centres, widths, strict=True)]))
 
 
 def _any(tests: list[Column]) -> Column:

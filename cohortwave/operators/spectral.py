@@ -29,8 +29,10 @@ def periodogram(epochs: DataFrame, fs: float = 1.0) -> DataFrame:
     return x.select(*KEY, "k", (F.col("k") * fs / F.col("n")).alias("freq"), power.alias("p")).groupBy(*KEY, "k", "freq").agg(F.avg("p").alias("power"))
 
 
-def average_segments(spectra: DataFrame) -> DataFrame:
-    """Mean power of the segments of a state, by their durations; spectra: subject, channel, state, segment, duration, k, freq, power."""
+def average_segments(spectra: DataFrame, which: str = "avg") -> DataFrame:
+    """Mean power of the segments of a state, by their durations, or the 'first' or 'second' one's; spectra: subject, channel, state, segment, duration, k, freq, power."""
+    if which != "avg":
+        return spectra.where(F.col("segment") == {"first": 1, "second": 2}[which]).select(*KEY, "k", "freq", "power")
     return spectra.groupBy(*KEY, "k", "freq").agg(F.try_divide(F.sum(F.col("power") * F.col("duration")), F.sum("duration")).alias("power"))
 
 
@@ -52,6 +54,23 @@ def band_stats(spectrum: DataFrame, bands: list[tuple[float, float]] = STANDARD_
     return out.select(*KEY, "band_id", "n", "avg", "sum", "max", "min", "std", "var", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
+def band_shapes(spectrum: DataFrame, levels: list[float], bands: list[tuple[float, float]] = STANDARD_BANDS) -> DataFrame:
+    """n, skew and a percentile pNN for each level (in percent) of log10 power in each band, without the first and the last bin; the skew is that of the population."""
+    ends = Window.partitionBy(*KEY)
+    inner = spectrum.withColumns({"first": F.min("k").over(ends), "last": F.max("k").over(ends)}).where("k > first AND k < last")
+    x = in_bands(inner, bands).withColumn("lp", F.log10("power"))
+    g = x.groupBy(*KEY, "band_id").agg(F.count("lp").alias("n"), F.skewness("lp").alias("skew"), F.percentile("lp", F.array(*[F.lit(v / 100) for v in levels])).alias("q"))
+    return g.select(*KEY, "band_id", "n", "skew", *[F.col("q")[i].alias(f"p{v:g}") for i, v in enumerate(levels)])
+
+
+def welch(samples: DataFrame, nperseg: int, noverlap: int, fs: float = 1.0, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """k, freq, power of each series of samples: the mean Hann periodogram of its windows of nperseg samples that share noverlap, from fmin to fmax."""
+    from .fourier import dft, hann_taper, multitaper_psd, pack
+
+    psd = multitaper_psd(dft(pack(samples, nperseg, nperseg - noverlap), hann_taper(samples.sparkSession, nperseg)), fs)
+    return psd.where(F.col("freq").between(fmin, fs / 2 if fmax is None else fmax))
+
+
 def band_ratios(stats: DataFrame, value: str = "avg") -> DataFrame:
     """Each higher band over each lower one, pairs made within the group's own array of bands: no self join."""
     g = stats.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("band_id", F.col(value).alias("v")))).alias("b"))
@@ -144,6 +163,13 @@ def fit_quality(spectrum: DataFrame, model: Column) -> DataFrame:
     return x.groupBy(*KEY).agg(F.pow(F.corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
+def fit_errors(spectrum: DataFrame, fits: DataFrame) -> DataFrame:
+    """r2, mae, mse, rmse and mape (in percent of the observed) of each series' fitted line (KEY, offset, exponent) against its log10 power."""
+    x = spectrum.join(fits.select(*KEY, "offset", "exponent"), KEY).withColumn("lp", F.log10("power")).withColumn("m", F.col("offset") - F.col("exponent") * F.log10("freq"))
+    e = F.col("lp") - F.col("m")
+    return x.groupBy(*KEY).agg(F.pow(F.corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.try_divide(F.abs(e), F.abs("lp")))).alias("mape"))
+
+
 def band_power(spectrum: DataFrame, bands: list[tuple[float, float]] = STANDARD_BANDS) -> DataFrame:
     """Sum of power in each half-open band [lo, hi)."""
     of = F.array_compact(F.array(*[F.when((F.col("freq") >= lo) & (F.col("freq") < hi), F.lit(i)) for i, (lo, hi) in enumerate(bands)]))
@@ -154,6 +180,27 @@ def relative_power(power: DataFrame) -> DataFrame:
     return power.withColumn("rel", F.try_divide(F.col("p"), F.sum("p").over(Window.partitionBy(*KEY))))
 
 
+def mean_relative_power(power: DataFrame) -> DataFrame:
+    """Each band's mean share of power over the channels of a subject and state."""
+    return relative_power(power).groupBy("subject", "state", "band_id").agg(F.avg("rel").alias("mean_rel"))
+
+
+def all_asymmetries(power: DataFrame, places: dict[str, tuple[int, float]]) -> DataFrame:
+    """asymmetry of the root of power of every pair of placed channels (number, how far to the front), both ways round.
+
+    Odd numbers are left. Channels of different sides give (left - right) / (left + right), of one side (front - back) /
+    (front + back); of equal places the later one by name counts as in front. Pairs come from the group's own list.
+    """
+    side = F.coalesce(*[F.when(F.col("channel") == c, F.struct(F.lit(n % 2).alias("odd"), F.lit(float(y)).alias("y"))) for c, (n, y) in places.items()])
+    g = power.where(F.col("channel").isin(*places)).groupBy("subject", "state", "band_id").agg(F.array_sort(F.collect_list(F.struct("channel", F.sqrt("p").alias("v"), side.alias("at")))).alias("c"))
+    one = g.select("subject", "state", "band_id", "c", F.posexplode("c").alias("i", "a"))
+    two = one.select("subject", "state", "band_id", "a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
+    a_first = F.when(F.col("a.at.odd") != F.col("b.at.odd"), F.col("a.at.odd") == 1).otherwise(F.col("a.at.y") > F.col("b.at.y"))
+    gap = F.when(a_first, F.col("a.v") - F.col("b.v")).otherwise(F.col("b.v") - F.col("a.v"))
+    both = F.explode(F.array(F.struct(F.col("a.channel").alias("x"), F.col("b.channel").alias("y")), F.struct(F.col("b.channel").alias("x"), F.col("a.channel").alias("y")))).alias("p")
+    return two.withColumn("asymmetry", F.try_divide(gap, F.col("a.v") + F.col("b.v"))).select("subject", "state", "band_id", both, "asymmetry").select("subject", "state", "band_id", F.col("p.x").alias("a"), F.col("p.y").alias("b"), "asymmetry")
+
+
 def power_asymmetry(power: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(left - right) / (left + right) of the root of power, for channel pairs, from one group of a subject, state and band."""
     g = power.groupBy("subject", "state", "band_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.sqrt("p").alias("v")))).alias("c"))

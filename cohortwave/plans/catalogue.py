@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import assembly_queries, cohort_queries, evaluation_queries, graph_queries, learning_queries, result_queries, series_queries, signal_queries, spectral_queries, stream_queries
+from . import assembly_queries, cohort_queries, evaluation_queries, graph_queries, learning_queries, result_queries, series_queries, signal_queries, spectral_queries, stream_queries, wider_queries
 
 FLAGSHIP = "sp06_band_stats"
-PARTS = (cohort_queries, spectral_queries, series_queries, evaluation_queries, graph_queries, result_queries, learning_queries, signal_queries, stream_queries, assembly_queries)
+PARTS = (cohort_queries, spectral_queries, series_queries, evaluation_queries, graph_queries, result_queries, learning_queries, signal_queries, stream_queries, assembly_queries, wider_queries)
 
 
 def queries() -> dict:

@@ -34,10 +34,14 @@ def params_hash(params: dict) -> str:
 
 
 def write_result(df: DataFrame, table: str, params: dict) -> None:
-    """Add df to the store under its parameters, unless a result of these parameters is there."""
+    """Add df to the store under its parameters, unless a result of these parameters is there.
+
+    The result's own partition is overwritten as a whole, so of two writers that both find nothing the later one's rows
+    stay, and none twice.
+    """
     if read_result(df.sparkSession, table, params) is None:
         said = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(json.dumps(v, default=str)).alias("v")) for k, v in sorted(params.items())]))
-        df.withColumns({"params": said, "written": F.current_timestamp(), "params_hash": F.lit(params_hash(params))}).write.mode("append").partitionBy("params_hash").parquet(table)
+        df.withColumns({"params": said, "written": F.current_timestamp(), "params_hash": F.lit(params_hash(params))}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("params_hash").parquet(table)
 
 
 def _stored(spark: SparkSession, table: str) -> DataFrame | None:
