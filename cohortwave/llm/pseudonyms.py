@@ -47,6 +47,8 @@ FIXED = {
     "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})(?![A-Za-z0-9])",
 }
+#: Characters of a window, and how many of its last ones may belong to a match that goes on: the longest that can fail has 54 and what it looks ahead at, each with up to three marks.
+WINDOW, REACH = 1024, 256
 #: The mark of a start whose match failed, and what stands for characters of the text that are used for marks.
 MARK, ESCAPE = "\ufdd0", (("\ufdd1", "\ufdd1\ufdd2"), ("\ufdd0", "\ufdd1\ufdd3"))
 
@@ -77,23 +79,29 @@ def _number(key: str, kind: str, i: Column, x: Column) -> Column:
     return F.conv(F.substring(_hash(key, kind, i, x), 1, 14), 16, 10).cast("long")
 
 
-def radix(index: Column, bounds: tuple[int, int], key: str, kind: str) -> Column:
-    """Permutation of 0 .. a * b - 1: the index as (index div b, index mod b), each moved by a hash of the other in turn."""
+def _rounds(back: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
+
+
+def radix(index: Column, bounds: tuple[int, int], key: str, kind: str, back: bool = False) -> Column:
+    """Permutation of 0 .. a * b - 1: the index as (index div b, index mod b), each moved by a hash of the other in turn; back undoes it."""
+    way = -1 if back else 1
     a, b = bounds
     start = F.struct(F.floor(index / F.lit(b)).cast("long").alias("l"), (index % F.lit(b)).cast("long").alias("r"))
 
     def step(s: Column, i: Column) -> Column:
         odd = i % 2 == 1
         return F.struct(
-            F.when(odd, (s["l"] + _number(key, kind, i, s["r"])) % a).otherwise(s["l"]).alias("l"),
-            F.when(odd, s["r"]).otherwise((s["r"] + _number(key, kind, i, s["l"])) % b).alias("r"),
+            F.when(odd, F.pmod(s["l"] + way * _number(key, kind, i, s["r"]), F.lit(a))).otherwise(s["l"]).alias("l"),
+            F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + way * _number(key, kind, i, s["l"]), F.lit(b))).alias("r"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: s["l"] * b + s["r"])
+    return F.aggregate(_rounds(back), start, step, lambda s: s["l"] * b + s["r"])
 
 
-def characters(value: Column, key: str, kind: str) -> Column:
-    """Permutation of the strings with one class of character at each place."""
+def characters(value: Column, key: str, kind: str, back: bool = False) -> Column:
+    """Permutation of the strings with one class of character at each place; back undoes it."""
+    way = -1 if back else 1
 
     def moved(half: Column, other: Column, i: Column) -> Column:
         stream = _hash(key, kind, i, other)
@@ -103,7 +111,7 @@ def characters(value: Column, key: str, kind: str) -> Column:
             code = F.ascii(c)
             base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).when(c.between(LEADING[2], LEADING[9]), 192).when(c.between(LEADING[0], LEADING[1]), 208)
             size = F.when(c.between("0", "9"), 10).when(c.between(LEADING[2], LEADING[9]), 8).when(c.between(LEADING[0], LEADING[1]), 2).otherwise(26)
-            return F.when(base.isNull(), c).otherwise(F.char(base + (code - base + shift) % size))
+            return F.when(base.isNull(), c).otherwise(F.char(base + F.pmod(code - base + way * shift, size)))
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
@@ -114,7 +122,7 @@ def characters(value: Column, key: str, kind: str) -> Column:
         odd = i % 2 == 1
         return F.struct(F.when(odd, moved(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(odd, s["r"]).otherwise(moved(s["r"], s["l"], i)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["l"], s["r"]))
+    return F.aggregate(_rounds(back), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
 def luhn_sum(digits: Column, first: int) -> Column:
@@ -161,12 +169,12 @@ def _day_first(v: Column) -> Column:
     return v.contains("/") & F.try_to_timestamp(v, F.lit("MM/dd/yyyy")).isNull()
 
 
-def _day_first_image(v: Column, key: str) -> Column:
+def _day_first_image(v: Column, key: str, back: bool = False) -> Column:
     """The image among the dates whose day is above 12: 221 of each year, and the 49 leap days apart."""
     day, month, year = (F.substring(v, a, n).cast("long") for a, n in ((1, 2), (4, 2), (7, 4)))
     before = lambda m: reduce(lambda out, k: out.when(m == k + 1, F.lit(BEFORE_MONTH[k])), range(1, 12), F.when(m == 1, F.lit(BEFORE_MONTH[0])))
-    some = radix((year - 1900) * 221 + before(month) + day - 13, (200, 221), key, "day first")
-    leap = radix(F.floor((year - 1904) / 4).cast("long"), (7, 7), key, "leap day")
+    some = radix((year - 1900) * 221 + before(month) + day - 13, (200, 221), key, "day first", back)
+    leap = radix(F.floor((year - 1904) / 4).cast("long"), (7, 7), key, "leap day", back)
 
     def text(x: Column) -> Column:
         at = x % 221
@@ -177,12 +185,12 @@ def _day_first_image(v: Column, key: str) -> Column:
     return F.when((month == 2) & (day == 29), F.concat(F.lit("29/02/"), (leap * 4 + 1904).cast("string"))).otherwise(usual)
 
 
-def _phone_image(v: Column, key: str) -> Column:
+def _phone_image(v: Column, key: str, back: bool = False) -> Column:
     """The country code stays (three digits where nothing parts it off); of each group of digits the first one stays among 2 to 9 or among 0 and 1, as numbering plans ask."""
     code = F.regexp_extract(v, r"^\+(?:1|[0-9]{1,3}(?=[^0-9])|[0-9]{3})", 0)
     groups = F.regexp_extract_all(F.substring(v, F.length(code) + 1, F.length(v)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     marked = F.array_join(F.transform(groups, lambda g: F.concat(F.translate(F.substring(g, 1, 1), "0123456789", LEADING), F.substring(g, F.lit(2), F.length(g)))), "")
-    return F.concat(code, F.translate(characters(marked, key, "phone"), LEADING, "0123456789"))
+    return F.concat(code, F.translate(characters(marked, key, "phone", back), LEADING, "0123456789"))
 
 
 def digest(v: Column, key: str) -> Column:
@@ -210,11 +218,11 @@ def kind_of(v: Column) -> Column:
     return reduce(lambda out, k: out.when(whole(k) & checks[k], F.lit(k)), KINDS[1:], F.when(whole("email"), F.lit("email")))
 
 
-def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
-    """The image of a valid match of a kind."""
-    day = F.date_add(F.lit(EPOCH).cast("date"), radix(F.datediff(_day(v), F.lit(EPOCH).cast("date")).cast("long"), DATE_RADIX, key, "date").cast("int"))
+def pseudonym(v: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+    """The image of a valid match of a kind; back gives the match of an image, if account numbers had the usual check digits (02 to 98)."""
+    day = F.date_add(F.lit(EPOCH).cast("date"), radix(F.datediff(_day(v), F.lit(EPOCH).cast("date")).cast("long"), DATE_RADIX, key, "date", back).cast("int"))
     date = F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-    date = F.when(_day_first(v), _day_first_image(v, key)).otherwise(date)
+    date = F.when(_day_first(v), _day_first_image(v, key, back)).otherwise(date)
     area, group, serial = F.substring(v, 1, 3).cast("long"), F.substring(v, 5, 2).cast("long"), F.substring(v, 8, 4).cast("long")
     index = (F.when(area > 666, area - 2).otherwise(area - 1)) * SSN_RADIX[1] + (group - 1) * 9999 + serial - 1
 
@@ -225,28 +233,32 @@ def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
         return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(rest / 9999) + 1).cast("string"), 2, "0"), F.lpad((rest % 9999 + 1).cast("string"), 4, "0"))
 
     o = [x.cast("long") for x in _octets(v)]
-    address = radix(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], IP_RADIX, key, "ip")
+    address = radix(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], IP_RADIX, key, "ip", back)
 
     def ip_text(x: Column) -> Column:
         return F.concat_ws(".", *[F.pmod(F.shiftright(x, 24 - 8 * k), F.lit(256)).cast("string") for k in range(4)])
 
     once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  binds a value to a name, so that it is computed once
-    body = F.concat(F.substring(v, 1, 1), characters(F.substring(v, F.lit(2), F.length(v) - 2), key, "card"))
+    body = F.concat(F.substring(v, 1, 1), characters(F.substring(v, F.lit(2), F.length(v) - 2), key, "card", back))
     card = once(body, lambda b: F.concat(b, ((10 - luhn_sum(_digits(b), 2) % 10) % 10).cast("string")))
-    account = characters(F.substring(v, 5, 60), key, "iban")
+    account = characters(F.substring(v, 5, 60), key, "iban", back)
     iban = once(account, lambda b: F.concat(F.substring(v, 1, 2), F.lpad((98 - mod97(F.concat(_bare(b), F.substring(v, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
     local = F.substring_index(v, "@", 1)
-    email = F.concat(characters(local, key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
-    phone = _phone_image(v, key)
+    email = F.concat(characters(local, key, "email", back), F.lit("@"), F.substring_index(v, "@", -1))
+    phone = _phone_image(v, key, back)
     return (
-        F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ssn", once(radix(index, SSN_RADIX, key, "ssn"), ssn_text))
+        F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ssn", once(radix(index, SSN_RADIX, key, "ssn", back), ssn_text))
         .when(kind == "ip", once(address, ip_text)).when(kind == "card", card).when(kind == "phone", phone)
     )
 
 
-def _settled(text: Column) -> Column:
-    """The text with marks, so that all its matches of MARKED are valid. Matches that a failed one may reach into wait for it."""
-    start = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ESCAPE, text)
+def original(v: Column, key: str = KEY) -> Column:
+    """What stood in a text before its pseudonym v, for who has the key; null where v is no valid value."""
+    return pseudonym(v, kind_of(v), key, back=True)
+
+
+def _marked(start: Column) -> Column:
+    """The escaped text with marks, so that all its matches of MARKED are valid. Matches that a failed one may reach into wait for it."""
 
     def step(s: Column, _: Column) -> Column:
         pieces = F.transform(F.regexp_extract_all(s["t"], F.lit(MARKED), F.lit(0)), lambda v: F.struct(v.alias("v"), kind_of(v).isNull().alias("bad")))
@@ -259,10 +271,42 @@ def _settled(text: Column) -> Column:
         marked = F.aggregate(held, F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("bad")), mark, lambda o: F.array_join(o["out"], ""))
         return F.when(s["open"], F.transform(F.array(marked), lambda t: F.struct(t.alias("t"), (t != s["t"]).alias("open")))[0]).otherwise(s)
 
-    steps = F.sequence(F.lit(1), 6 * F.size(F.split(text, "[^A-Za-z0-9]+")) + 1)
+    steps = F.sequence(F.lit(1), 6 * F.size(F.split(start, "[^A-Za-z0-9]+")) + 1)
     return F.aggregate(steps, F.struct(start.alias("t"), F.lit(True).alias("open")), step, lambda s: s["t"])
 
 
+def _settled(text: Column, window: int = WINDOW) -> Column:
+    """The text with marks, window by window, so that a long text takes time in proportion to its length.
+
+    What a window's last REACH characters hold may go on beyond it, so the window is cut before them, at its last space
+    that no match holds: no pattern looks back over a space, so what follows is matched as if it began there. A window
+    without such a space is tried again at twice the size.
+    """
+    start = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ESCAPE, text)
+
+    def step(s: Column, _: Column) -> Column:
+        whole = F.length(s["rest"]) <= s["size"]
+
+        def cut(t: Column) -> Column:
+            # matches as characters that are no spaces, so that places stay
+            hidden = F.array_join(F.zip_with(F.split(t, MARKED, -1), F.regexp_extract_all(t, F.lit(MARKED), F.lit(0)), lambda a, v: F.concat(a, F.repeat(F.lit("x"), F.coalesce(F.length(v), F.lit(0))))), "")
+            sure = F.greatest(F.length(t) - REACH, F.lit(0))
+            back = F.instr(F.reverse(F.substring(hidden, F.lit(1), sure)), " ")
+            at = F.when(whole, F.length(t)).when(back > 0, sure - back + 1).otherwise(0)
+            return F.transform(F.array(at), lambda n: moved(t, n))[0]
+
+        def moved(t: Column, n: Column) -> Column:
+            head = F.substring(t, F.lit(1), n)
+            rest = F.substring(s["rest"], F.length(F.replace(head, F.lit(MARK), F.lit(""))) + 1, F.length(s["rest"]))
+            return F.struct(F.concat(s["done"], head).alias("done"), rest.alias("rest"), F.when(n > 0, window).otherwise(2 * s["size"]).cast("int").alias("size"))
+
+        read = F.transform(F.array(F.substring(s["rest"], F.lit(1), s["size"])), lambda head: _marked(head))
+        return F.when(s["rest"] == "", s).otherwise(F.transform(read, cut)[0])
+
+    steps = F.sequence(F.lit(1), F.size(F.split(start, " ")) + 32)
+    return F.aggregate(steps, F.struct(F.lit("").alias("done"), start.alias("rest"), F.lit(window).cast("int").alias("size")), step, lambda s: F.concat(s["done"], s["rest"]))
+
+
 def _plain(text: Column) -> Column:
     """What stood in the text before it was marked."""
     return reduce(lambda t, x: F.replace(t, F.lit(x[1]), F.lit(x[0])), reversed(ESCAPE), F.replace(text, F.lit(MARK), F.lit("")))
@@ -272,7 +316,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns, the text with pseudonyms, and `pii`: array<struct<kind, value, pseudonym>> in the order of the text.
 
     `value` is a keyed digest of what stood there, not the value. The default key is for tests: give your own. Null texts stay null with an empty array, empty ones empty.
-    Invalid matches stay as they are and are not listed, but for valid values inside them. Repeated rows change alike. A column named pii is replaced; all others come back, whatever their names. Very long texts are read once for each kind of step; an empty table gives no rows.
+    Invalid matches stay as they are and are not listed, but for valid values inside them. Repeated rows change alike. A column named pii is replaced; all others come back, whatever their names. Very long texts are read window by window; an empty table gives no rows.
     """
     text = F.col("text")
     some = F.coalesce(F.regexp(text, F.lit("[0-9]|@")), F.lit(False))
