@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import with_ranks
+from ..functions.scalar import corr, with_ranks
 
 
 def binary_scores(preds: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -76,7 +76,7 @@ def rank_rmse(preds: DataFrame) -> DataFrame:
 
 def regression_scores(preds: DataFrame) -> DataFrame:
     e = F.col("p") - F.col("y")
-    g = preds.groupBy("model").agg(F.abs(F.corr("p", "y")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop("y"))).alias("r2"))
+    g = preds.groupBy("model").agg(F.abs(corr("p", "y")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop("y"))).alias("r2"))
     return g
 
 
@@ -90,7 +90,7 @@ def target_scores(preds: DataFrame) -> DataFrame:
     x = with_ranks(with_ranks(known, by, "p", "rp"), by, "y", "ry")
     e, r = F.col("p") - F.col("y"), F.col("rp") - F.col("ry")
     return x.groupBy(*by).agg(
-        F.abs(F.corr("p", "y")).alias("pearson"), F.abs(F.corr("rp", "ry")).alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
+        F.abs(corr("p", "y")).alias("pearson"), F.abs(corr("rp", "ry")).alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
         (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop("y"))).alias("r2"), (100 * F.avg(F.try_divide(F.abs(e), F.abs("y")))).alias("mape"), F.sqrt(F.avg(r * r)).alias("rank_rmse"),
     )
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import with_ranks
+from ..functions.scalar import corr, with_ranks
 
 GRAPH = ["subject", "state"]
 
@@ -21,7 +21,7 @@ def pairs(samples: DataFrame, at: list[str] = ["t_idx"], value: str = "x") -> Da
 
 
 def pair_pearson(samples: DataFrame) -> DataFrame:
-    return pairs(samples).groupBy(*GRAPH, "src", "dst").agg(F.corr("a", "b").alias("w"), F.count("*").alias("n"))
+    return pairs(samples).groupBy(*GRAPH, "src", "dst").agg(corr("a", "b").alias("w"), F.count("*").alias("n"))
 
 
 def pair_spearman(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import with_ranks
+from ..functions.scalar import corr, with_ranks
 
 
 def drop_duplicate_constant(features: DataFrame, min_unique: int = 2) -> DataFrame:
@@ -104,7 +104,7 @@ def robust_scale(features: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def score_pearson(features: DataFrame, target: DataFrame) -> DataFrame:
-    return features.join(target, "subject").groupBy("key").agg(F.abs(F.corr("value", "y")).alias("score"))
+    return features.join(target, "subject").groupBy("key").agg(F.abs(corr("value", "y")).alias("score"))
 
 
 def score_spearman(features: DataFrame, target: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def score_spearman(features: DataFrame, target: DataFrame) -> DataFrame:
     whole = with_ranks(target.where(F.col("y").isNotNull()).select("subject", F.lit(0).alias("_all"), F.col("y").cast("double").alias("y")), ["_all"], "y", "ry").select("subject", "ry")
     n = target.where(F.col("y").isNotNull()).count()
     full = known.groupBy("key").agg(F.count("*").alias("_n"))
-    out = x.join(whole, "subject").groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score"), F.count("*").alias("_n")).where(F.col("_n") == n).select("key", "score")
+    out = x.join(whole, "subject").groupBy("key").agg(F.abs(corr("rv", "ry")).alias("score"), F.count("*").alias("_n")).where(F.col("_n") == n).select("key", "score")
     part = x.join(full.where(F.col("_n") != n).select("key"), "key", "left_semi")
-    return out.unionByName(with_ranks(part, ["key"], "y", "ry").groupBy("key").agg(F.abs(F.corr("rv", "ry")).alias("score")))
+    return out.unionByName(with_ranks(part, ["key"], "y", "ry").groupBy("key").agg(F.abs(corr("rv", "ry")).alias("score")))
 
 
 def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ SCORES = {"pearson": lambda f, t: score_pearson(f, t), "spearman": lambda f, t:
 def score_multi(features: DataFrame, targets: DataFrame, score: str = "pearson", names: list[str] | None = None) -> DataFrame:
     """Mean and highest score over several targets (subject, name, y). Pearson's takes all targets at once; the others are scored a target at a time, for the names given."""
     if score == "pearson":
-        s = features.join(targets, "subject").groupBy("key", "name").agg(F.abs(F.corr("value", "y")).alias("s"))
+        s = features.join(targets, "subject").groupBy("key", "name").agg(F.abs(corr("value", "y")).alias("s"))
     else:
         if not names:
             raise ValueError("give the targets' names")
@@ -156,7 +156,7 @@ def pair_correlation(features: DataFrame) -> DataFrame:
     g = features.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("v"))
     one = g.select("v", F.posexplode("v").alias("i", "a"))
     two = one.select("a", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v"), F.lit(1)))).alias("b"))
-    return two.groupBy(F.col("a.key").alias("k1"), F.col("b.key").alias("k2")).agg(F.abs(F.corr("a.value", "b.value")).alias("r"))
+    return two.groupBy(F.col("a.key").alias("k1"), F.col("b.key").alias("k2")).agg(F.abs(corr("a.value", "b.value")).alias("r"))
 
 
 def pair_rank_correlation(features: DataFrame) -> DataFrame:

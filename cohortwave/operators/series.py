@@ -171,7 +171,7 @@ def regress_out(samples: DataFrame, ref: str, threshold: float) -> DataFrame:
     """Without the linear part of a reference channel, where the correlation with it is at least threshold."""
     x = samples.withColumn("r", F.max(F.when(F.col("channel") == ref, F.col("x"))).over(Window.partitionBy(*INSTANT)))
     w = Window.partitionBy(*SERIES)
-    x = x.withColumns({"c": F.corr("x", "r").over(w), "s": F.regr_slope("x", "r").over(w)})
+    x = x.withColumns({"c": F.try_divide(F.regr_sxy("r", "x").over(w), F.sqrt(F.regr_sxx("r", "x").over(w) * F.regr_syy("r", "x").over(w))), "s": F.regr_slope("x", "r").over(w)})
     return x.withColumn("y", F.when((F.abs("c") >= threshold) & F.col("r").isNotNull() & (F.col("channel") != ref), F.col("x") - F.col("s") * F.col("r")).otherwise(F.col("x")))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import STANDARD_BANDS, band_of
+from ..functions.scalar import STANDARD_BANDS, band_of, corr
 
 KEY = ["subject", "state", "channel"]
 
@@ -160,14 +160,14 @@ def fit_quality(spectrum: DataFrame, model: Column) -> DataFrame:
     """Squared correlation and errors of modelled against observed log power."""
     x = spectrum.withColumn("lp", F.log10("power")).withColumn("m", model)
     e = F.col("lp") - F.col("m")
-    return x.groupBy(*KEY).agg(F.pow(F.corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return x.groupBy(*KEY).agg(F.pow(corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def fit_errors(spectrum: DataFrame, fits: DataFrame) -> DataFrame:
     """r2, mae, mse, rmse and mape (in percent of the observed) of each series' fitted line (KEY, offset, exponent) against its log10 power."""
     x = spectrum.join(fits.select(*KEY, "offset", "exponent"), KEY).withColumn("lp", F.log10("power")).withColumn("m", F.col("offset") - F.col("exponent") * F.log10("freq"))
     e = F.col("lp") - F.col("m")
-    return x.groupBy(*KEY).agg(F.pow(F.corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.try_divide(F.abs(e), F.abs("lp")))).alias("mape"))
+    return x.groupBy(*KEY).agg(F.pow(corr("lp", "m"), 2).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.try_divide(F.abs(e), F.abs("lp")))).alias("mape"))
 
 
 def band_power(spectrum: DataFrame, bands: list[tuple[float, float]] = STANDARD_BANDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import new_path
-from ..functions.scalar import r6
+from ..functions.scalar import bands, r6
 from ..operators import cohort as C
 from ..operators import complexity as X
 from ..operators import evaluation as E
@@ -120,7 +120,16 @@ def _perm_sql(order: int, delay: int) -> str:
     return sql(f"SELECT {SERIES}, round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2({'*'.join(map(str, range(1, order + 1)))}), 6) AS perm_entropy FROM (SELECT {SERIES}, {pattern} AS p, count(*)::DOUBLE AS n FROM (SELECT {SERIES}, {leads} FROM samples WINDOW w AS (PARTITION BY {SERIES} ORDER BY t_idx)) WHERE v{order - 1} IS NOT NULL GROUP BY ALL) GROUP BY {SERIES}", "samples")
 
 
+def _bands_sql(some) -> str:
+    rows = "bands AS (SELECT unnest(range(%d))::INT AS band_id, unnest(%s::DOUBLE[]) AS lo, unnest(%s::DOUBLE[]) AS hi)" % (len(some), [a for a, _ in some], [b for _, b in some])
+    return with_views("", "spectrum").rstrip() + f", {rows}, bp AS (SELECT {KEY}, band_id, sum(power) AS p FROM spectrum JOIN bands ON freq >= lo AND freq < hi GROUP BY ALL) SELECT subject, band_id, round(avg(p), 6) AS mean_power FROM bp GROUP BY ALL"
+
+
+#: Presets with their divisions, as bands of the spectra.
+PRESETS = {"log_standard": bands("log-standard", 2, True), "custom": bands("custom"), "linear": bands("linear_20", 2), "log": bands("log_100", 3)}
+
 QUERIES = {
+    **{f"sp21_band_sums_{name}": ((lambda s, d, some=some: rounded(P.band_sums(V.spectrum(s, d), some), "mean_power")), _bands_sql(some)) for name, some in PRESETS.items()},
     "co12_assign_category_where": (
         lambda s, d: C.assign_category(V.clinical(s, d), "subject", "symptom", ["1-URGENT", "2-HIGH", "3-MEDIUM"], "none", F.col("present") == 1),
         sql("SELECT subject, coalesce(['1-URGENT', '2-HIGH', '3-MEDIUM'][min(CASE symptom WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END) FILTER (present = 1)], 'none') AS category FROM clinical GROUP BY subject", "clinical"),

@@ -240,3 +240,13 @@ def test_perturbed_splits_hold_each_subject_once(spark):
     got = E.perturbation_splits(p, 5).collect()
     assert {q.split for q in got} == set(range(5)) and {q.model for q in got} == {"good"} and all(q.ival_mcc == q.holdout_mcc == 1.0 for q in got)
     assert sorted(map(tuple, E.perturbation_splits(p.repartition(7), 5).collect())) == sorted(map(tuple, got))
+
+
+def test_constant_keys_have_no_correlation(spark):
+    """Spark's own correlation raises an error there."""
+    f = spark.createDataFrame([(i, k, 1.0 if k == "flat" else float(i)) for i in range(5) for k in ("flat", "x")] + [(0, "one", 2.0)], "subject long, key string, value double")
+    t = spark.createDataFrame([(i, float(i % 2)) for i in range(5)], "subject long, y double")
+    for score in (S.score_pearson, S.score_spearman, S.score_kendall):
+        got = {q.key: q.score for q in score(f, t).collect()}
+        assert got["flat"] is None and got["one"] is None and got["x"] is not None
+    assert {(q.k1, q.k2): q.r for q in S.pair_correlation(f).collect()}["flat", "x"] is None
