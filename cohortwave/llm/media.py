@@ -29,7 +29,8 @@ ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
 SILENT = {"script", "style", "template", "noscript"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!?(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: A tag's rest ends at the next < outside quotes, closed or not: each part of a page is read once, however many tags are left open.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!?(/?)([A-Za-z][A-Za-z0-9-]*+)((?:\"[^\"<>]*+\"|'[^'<>]*+'|\"(?=[^\"]*+\")[^\"]*+\"|'(?=[^']*+')[^']*+'|[^<>\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 
 
