@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -131,6 +132,33 @@ def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
     return t.select("key", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide("within", F.col("N") - F.col("k"))).alias("score"))
 
 
+def _ln_gamma(z):
+    """Logarithm of the gamma function by Stirling's series, eight places up."""
+    w = z + 8
+    series = (w - 0.5) * F.ln(w) - w + 0.5 * math.log(2 * math.pi) + 1 / (12 * w) - 1 / (360 * F.pow(w, F.lit(3.0))) + 1 / (1260 * F.pow(w, F.lit(5.0)))
+    return series - sum((F.ln(z + k) for k in range(1, 8)), F.ln(z))
+
+
+def anova_confidence(features: DataFrame, target: DataFrame, points: int = 512) -> DataFrame:
+    """key, score and confidence: the F statistic of each key and 1 - p, the share of the F distribution below it; null where it is undefined. Rows with a null are left out.
+
+    With x = sin(t)^2 the incomplete beta function is an integral of sin^(2a - 1) cos^(2b - 1), which Simpson's rule takes at
+    `points` steps in the key's own row.
+    """
+    both = features.join(target.select("subject", "y"), "subject").where(F.col("value").isNotNull() & F.col("y").isNotNull())
+    g = both.groupBy("key", "y").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    t = g.groupBy("key").agg(F.sum("n").cast("double").alias("N"), F.count("*").cast("double").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
+    d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
+    t = t.withColumns({"d1": d1, "d2": d2, "f": F.try_divide(F.try_divide(F.greatest(F.col("sq") - F.col("N") * F.col("gm") * F.col("gm"), F.lit(0.0)), d1), F.try_divide("within", d2))})
+    t = t.withColumn("t", F.asin(F.sqrt(F.try_divide(F.col("d1") * F.col("f"), F.col("d1") * F.col("f") + F.col("d2")))))
+    weight = lambda i: F.when((i == 0) | (i == points), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    at = lambda i: F.col("t") * i / points
+    one = lambda i: weight(i) * F.pow(F.sin(at(i)), F.col("d1") - 1) * F.pow(F.cos(at(i)), F.col("d2") - 1)
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(points)), F.lit(0.0), lambda s, i: s + one(i)) * F.col("t") / (3 * points)
+    beta = _ln_gamma(F.col("d1") / 2) + _ln_gamma(F.col("d2") / 2) - _ln_gamma((F.col("d1") + F.col("d2")) / 2)
+    return t.select("key", F.col("f").alias("score"), F.when((F.col("d1") > 0) & (F.col("d2") > 0) & F.col("f").isNotNull(), F.least(2 * area / F.exp(beta), F.lit(1.0))).alias("confidence"))
+
+
 SCORES = {"pearson": lambda f, t: score_pearson(f, t), "spearman": lambda f, t: score_spearman(f, t), "kendall": lambda f, t: score_kendall(f, t), "mutual_info": lambda f, t: score_mutual_info(f, t)}
 
 

@@ -218,6 +218,10 @@ QUERIES = {
         lambda s, d: rounded(S.fill_cells(_odd_cells(s, d), 0.25, 9.0, -9.0), "value"),
         sql("SELECT subject, key, round(CASE subject % 9 WHEN 0 THEN 0.25 WHEN 1 THEN 0.25 WHEN 2 THEN 9.0 WHEN 3 THEN -9.0 ELSE value END, 6) AS value FROM features WHERE key < 'f04'", "features"),
     ),
+    "fs09_anova_confidence": (
+        lambda s, d: rounded(S.anova_confidence(V.features(s, d), V.target(s, d).select("subject", F.col("label").alias("y"))), "score", "confidence"),
+        sql("SELECT key, round(f, 6) AS score, round(least(2 * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * sin(t * i / 2000) ** (d1 - 1) * cos(t * i / 2000) ** (d2 - 1))) * t / 6000 / exp(lgamma(d1 / 2) + lgamma(d2 / 2) - lgamma((d1 + d2) / 2)), 1), 6) AS confidence FROM (SELECT *, asin(sqrt(d1 * f / (d1 * f + d2))) AS t FROM (SELECT key, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2, (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM (SELECT *, sum(n * m) OVER (PARTITION BY key) / sum(n) OVER (PARTITION BY key) AS gm FROM (SELECT key, label, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM features JOIN target USING (subject) GROUP BY ALL)) GROUP BY key))", "features", "target"),
+    ),
     "fs12_scale_scores": (
         lambda s, d: rounded(S.select_threshold(S.scale_scores(S.score_pearson(V.features(s, d), V.target(s, d).select("subject", "y"))), 0.6, 5), "score"),
         sql("SELECT key, round(score, 6) AS score FROM (SELECT key, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS score, row_number() OVER (ORDER BY c DESC, key) AS r FROM (SELECT key, abs(corr(value, y)) AS c FROM features JOIN target USING (subject) GROUP BY key)) WHERE score > 0.6 OR r <= 5", "features", "target"),

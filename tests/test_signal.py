@@ -250,3 +250,20 @@ def test_constant_keys_have_no_correlation(spark):
         got = {q.key: q.score for q in score(f, t).collect()}
         assert got["flat"] is None and got["one"] is None and got["x"] is not None
     assert {(q.k1, q.k2): q.r for q in S.pair_correlation(f).collect()}["flat", "x"] is None
+
+
+def test_confidence_of_the_f_statistic(spark):
+    """Known quantiles: F(1, 10) at 4.964603 is 0.95, F(2, 6) at 5.143253 is 0.95, F(9, 20) at 3.456676 is 0.99."""
+    r = np.random.default_rng(1)
+    for k, n, f95, want in ((2, 12, 4.964603, 0.95), (3, 9, 5.143253, 0.95), (10, 30, 3.456676, 0.99)):
+        y = np.arange(n) % k
+        e = r.normal(size=n)
+        e -= np.array([e[y == c].mean() for c in range(k)])[y]
+        within = (e**2).sum() / (n - k)
+        m = r.normal(size=k)
+        m -= m.mean()
+        m *= math.sqrt(f95 * within * (k - 1) / (n / k * (m**2).sum()))
+        f = spark.createDataFrame([(i, "a", float(m[y[i]] + e[i])) for i in range(n)] + [(0, "one", 1.0)], "subject long, key string, value double")
+        t = spark.createDataFrame([(i, int(y[i])) for i in range(n)], "subject long, y int")
+        got = {q.key: q for q in S.anova_confidence(f, t).collect()}
+        assert abs(got["a"].score - f95) < 1e-6 and abs(got["a"].confidence - want) < 1e-5 and got["one"].confidence is None
