@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,24 @@ def svd_entropy(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     return g.select(*by, (-F.aggregate("s", F.lit(0.0), lambda u, v: u + v / F.col("t") * F.log2(v / F.col("t"))) / math.log2(3)).alias("svd_entropy"))
 
 
+def svd_entropy_of(df: DataFrame, order: int = 3, delay: int = 1, by: list[str] = SERIES) -> DataFrame:
+    """svd_entropy for any order and delay: the lagged products are one aggregate; the eigenvalues of each series' small matrix are found in Arrow batches of many series."""
+    lags = [F.col("x")] + [F.lead("x", delay * k).over(_w(by)) for k in range(1, order)]
+    x = df.withColumns({f"_v{k}": v for k, v in enumerate(lags)}).where(f"_v{order - 1} IS NOT NULL")
+    g = x.groupBy(*by).agg(F.array(*[F.sum(F.col(f"_v{min(i, j)}") * F.col(f"_v{max(i, j)}")) for i in range(order) for j in range(order)]).alias("products"))
+
+    @F.pandas_udf("double")
+    def entropy(products: pd.Series) -> pd.Series:
+        m = np.stack(products.to_numpy()).reshape(-1, order, order) if len(products) else np.zeros((0, order, order))
+        s = np.sqrt(np.clip(np.linalg.eigvalsh(m), 0, None))
+        total = s.sum(1, keepdims=True)
+        p = np.divide(s, total, out=np.zeros_like(s), where=total > 0)
+        parts = -np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0).sum(1) / np.log2(order)
+        return pd.Series(np.where(total[:, 0] > 0, parts, np.nan))
+
+    return g.select(*by, F.nanvl(entropy("products"), F.lit(None).cast("double")).alias("svd_entropy"))
+
+
 def epoch_distribution(df: DataFrame, by: list[str] = SERIES) -> DataFrame:
     """Spread of an epoch feature over a channel's epochs."""
     q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -33,6 +33,17 @@ def resample(samples: DataFrame, every: int) -> DataFrame:
     return samples.groupBy(*SERIES, F.floor(F.col("t_idx") / every).alias("t_idx")).agg(F.avg("x").alias("x"))
 
 
+def upsample(samples: DataFrame, times: int) -> DataFrame:
+    """`times` samples for each one, on the straight line to the next; the last one of a series stays alone. A segment makes its own points, no join."""
+    w = Window.partitionBy(*SERIES).orderBy("t_idx")
+    seg = samples.withColumns({"x1": F.lead("x").over(w), "t1": F.lead("t_idx").over(w)})
+    last = F.col("t1").isNull()
+    n = F.when(last, 1).otherwise((F.col("t1") - F.col("t_idx")) * times)
+    seg = seg.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    value = F.when(last, F.col("x")).otherwise(F.col("x") + (F.col("x1") - F.col("x")) * F.col("i") / F.col("n"))
+    return seg.select(*SERIES, (F.col("t_idx") * times + F.col("i")).alias("t_idx"), value.alias("x"))
+
+
 def downsample_index(samples: DataFrame, num: int, method: str = "log", two_sided: bool = False) -> DataFrame:
     """The samples at num positions of each series, spread over its whole length evenly or by logarithm (from the start, or from the middle to both ends); positions that fall together count once.
 

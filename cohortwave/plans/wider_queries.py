@@ -194,6 +194,18 @@ QUERIES = {
         sql(f"SELECT {SERIES}, round(sum(sqrt(0.25 + d * d)), 6) AS curve_length FROM (SELECT {SERIES}, 3 * (x - lag(x) OVER (PARTITION BY {SERIES} ORDER BY t_idx)) / (max(x) OVER (PARTITION BY {SERIES}) - min(x) OVER (PARTITION BY {SERIES})) AS d FROM samples) GROUP BY {SERIES}", "samples"),
     ),
     "cx04_perm_entropy_order_4": (lambda s, d: rounded(X.ordinal_entropy(V.samples(s, d), 4, 2), "perm_entropy"), _perm_sql(4, 2)),
+    "cx05_svd_entropy_order_2": (
+        lambda s, d: rounded(X.svd_entropy_of(V.samples(s, d), 2, 3), "svd_entropy"),
+        sql(f"SELECT {SERIES}, round(-(u * log2(u) + v * log2(v)), 6) AS svd_entropy FROM (SELECT {SERIES}, sqrt(m + r) / (sqrt(m + r) + sqrt(m - r)) AS u, sqrt(m - r) / (sqrt(m + r) + sqrt(m - r)) AS v FROM (SELECT {SERIES}, (sum(x * x) + sum(y * y)) / 2 AS m, sqrt(((sum(x * x) - sum(y * y)) / 2) ** 2 + sum(x * y) ** 2) AS r FROM (SELECT *, lead(x, 3) OVER (PARTITION BY {SERIES} ORDER BY t_idx) AS y FROM samples) WHERE y IS NOT NULL GROUP BY {SERIES}))", "samples"),
+    ),
+    "ts03_upsample": (
+        lambda s, d: rounded(T.upsample(V.samples(s, d), 4), "x"),
+        sql(f"SELECT {SERIES}, t_idx * 4 + i AS t_idx, round(x + coalesce(x1 - x, 0) * i / 4, 6) AS x FROM (SELECT *, unnest(range(CASE WHEN x1 IS NULL THEN 1 ELSE 4 END)) AS i FROM (SELECT *, lead(x) OVER (PARTITION BY {SERIES} ORDER BY t_idx) AS x1 FROM samples))", "samples"),
+    ),
+    "io06_manifest_by_visit": (
+        lambda s, d: C.recordings_manifest(V.clinical(s, d).select("subject", "symptom", F.when(F.col("present") == 1, F.concat(F.lit("rec_"), F.col("subject"), F.lit("_"), F.col("row_id") % 2)).alias("file")), ["subject", "symptom"], "file"),
+        sql("SELECT subject, symptom, CASE count(DISTINCT f) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS status, CASE WHEN count(DISTINCT f) = 1 THEN max(f) END AS file FROM (SELECT subject, symptom, CASE WHEN present = 1 THEN 'rec_' || subject || '_' || (row_id % 2) END AS f FROM clinical) GROUP BY ALL", "clinical"),
+    ),
     "cx12_higuchi_fd_10": (
         lambda s, d: rounded(X.higuchi_fd(V.samples(s, d), 10), "higuchi_fd"),
         sql(f"SELECT {SERIES}, round(regr_slope(ln(len), ln(1.0::DOUBLE / k)), 6) AS higuchi_fd FROM (SELECT {SERIES}, k, avg(len) AS len FROM (SELECT {SERIES}, k, t_idx % k AS m, sum(d) * (any_value(n) - 1) / (((any_value(n) - t_idx % k - 1) // k) * k * k) AS len FROM (SELECT a.subject, a.channel, a.state, a.t_idx, k, abs(a.x - b.x) AS d, n FROM (SELECT *, count(*) OVER (PARTITION BY {SERIES}) AS n FROM samples) a, range(1, 11) r(k) JOIN samples b ON b.subject = a.subject AND b.channel = a.channel AND b.state = a.state AND b.t_idx = a.t_idx - k) GROUP BY {SERIES}, k, t_idx % k) GROUP BY {SERIES}, k) GROUP BY {SERIES}", "samples"),

@@ -267,3 +267,17 @@ def test_confidence_of_the_f_statistic(spark):
         t = spark.createDataFrame([(i, int(y[i])) for i in range(n)], "subject long, y int")
         got = {q.key: q for q in S.anova_confidence(f, t).collect()}
         assert abs(got["a"].score - f95) < 1e-6 and abs(got["a"].confidence - want) < 1e-5 and got["one"].confidence is None
+
+
+def test_entropy_of_singular_values_of_any_order(spark):
+    from cohortwave.operators import complexity
+
+    x = np.sin(np.arange(150) * 0.3) + 0.2 * np.random.default_rng(2).normal(size=150)
+    rows = [(1, "c", "o", i, float(v)) for i, v in enumerate(x)] + [(2, "c", "o", i, 0.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "subject long, channel string, state string, t_idx long, x double")
+    for order, delay in ((3, 1), (5, 2)):
+        m = np.stack([x[k * delay : len(x) - (order - 1 - k) * delay] for k in range(order)], 1)
+        p = np.linalg.svd(m, compute_uv=False)
+        p /= p.sum()
+        got = {q.subject: q.svd_entropy for q in complexity.svd_entropy_of(df, order, delay).collect()}
+        assert abs(got[1] + (p * np.log2(p)).sum() / math.log2(order)) < 1e-6 and got[2] is None
