@@ -355,9 +355,11 @@ def test_components_of_chains_stars_and_chance_links(spark, find):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_is_its_sql(spark, odd, tmp_path, name):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
-    for folder, files in (("/root/testdata/sf0.01", "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+    spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for folder, files in (("/root/testdata/sf0.01", ""), (str(tmp_path), "/*.parquet")):
         got = queries()[name](spark, folder)
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        for table in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{files}'")
         want = con.sql(oracle_sql()[name]).select(", ".join(got.columns)).fetchall()
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
