@@ -118,10 +118,13 @@ def score_spearman(features: DataFrame, target: DataFrame) -> DataFrame:
     x = with_ranks(known, ["key"], "value", "rv")
     whole = with_ranks(target.where(F.col("y").isNotNull()).select("subject", F.lit(0).alias("_all"), F.col("y").cast("double").alias("y")), ["_all"], "y", "ry").select("subject", "ry")
     n = target.where(F.col("y").isNotNull()).count()
-    full = known.groupBy("key").agg(F.count("*").alias("_n"))
-    out = x.join(whole, "subject").groupBy("key").agg(F.abs(corr("rv", "ry")).alias("score"), F.count("*").alias("_n")).where(F.col("_n") == n).select("key", "score")
-    part = x.join(full.where(F.col("_n") != n).select("key"), "key", "left_semi")
-    return out.unionByName(with_ranks(part, ["key"], "y", "ry").groupBy("key").agg(F.abs(corr("rv", "ry")).alias("score")))
+    lacking = known.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") != n).select("key")
+    rho = F.abs(corr("rv", "ry")).alias("score")
+    if lacking.isEmpty():
+        return x.join(whole, "subject").groupBy("key").agg(rho)
+    out = x.join(lacking, "key", "left_anti").join(whole, "subject").groupBy("key").agg(rho)
+    part = x.join(lacking, "key", "left_semi")
+    return out.unionByName(with_ranks(part, ["key"], "y", "ry").groupBy("key").agg(rho))
 
 
 def score_anova(features: DataFrame, target: DataFrame) -> DataFrame:
