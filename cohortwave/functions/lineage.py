@@ -27,6 +27,13 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is read again and again: read back, it costs no earlier step."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder, so that a lost executor costs no earlier round."""
     shared_folder(df.sparkSession)

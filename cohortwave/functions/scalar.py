@@ -22,13 +22,13 @@ def symlog(x: Column, base: float = 10.0, eps: float = 1e-6) -> Column:
     return F.signum(x) * F.ln(F.abs(x) + F.lit(eps)) / F.ln(F.lit(float(base)))
 
 
-def with_ranks(df: DataFrame, by: list[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
-    """df with the rank of value within by, ties at their mean; null where the value is.
+def with_ranks(df: DataFrame, by: list[str], value: str, out: str, buckets: int = 1024, weight: str | None = None) -> DataFrame:
+    """df with the rank of value within by, ties at their mean; null where the value is. A row counts as `weight` rows, where that column is given.
 
     Equal values are counted first. The distinct ones fall into buckets of equal width, so that no window holds all of
     a key: the rank is the rows of the lower buckets, then those before the value in its own.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     span = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     place = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     counts = counts.join(span, by).withColumn("_bucket", F.floor(place * buckets)).drop("_lo", "_hi")

@@ -84,3 +84,44 @@ def test_meta_models_see_no_label_that_they_predict(spark):
     assert len(said) == 200 and abs(mcc(said.loc[:149].to_numpy(), y[said.loc[:149].index])) < 0.3
     alone = L.stack(preds, folds.drop("fold"), [f"m{k}" for k in range(30)], "forest").toPandas()
     assert sorted(alone.subject) == list(range(150, 200))
+
+
+def _counted(spark, wide):
+    """wide, and how many of its rows have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return wide.mapInArrow(count, wide.schema), seen
+
+
+def test_rounds_and_grid_points_read_their_input_once(spark, planted):
+    """Before, each fit and score read the table and all that came before it anew."""
+    wide, classes, values = planted
+    for run in (
+        lambda w: U.eliminate(w, classes, KEYS, "logistic"), lambda w: U.tune(w, classes, KEYS, "logistic"), lambda w: U.tune(w, values, KEYS, "linear", regression=True),
+        lambda w: L.oof_predictions(L.vectors(w.unpivot(["subject"], KEYS, "key", "value"), KEYS), classes, "logistic", 4).count(),
+    ):
+        rows, seen = _counted(spark, wide)
+        run(rows)
+        assert seen.value == 320
+
+
+def test_rank_errors_with_ties(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    t = pd.DataFrame({"label": r.integers(0, 5, 300) * 1.0, "prediction": r.integers(0, 40, 300) / 4})
+    want = math.sqrt(((t.label.rank() - t.prediction.rank()) ** 2).mean())
+    assert abs(U.RankErrorEvaluator().evaluate(spark.createDataFrame(t)) - want) < 1e-9
+
+
+def test_wide_tables_are_one_shuffle_by_subject(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, "b", 4.0), (3, "z", 9.0)], "subject long, key string, value double")
+    wide = L.wide_table(rows, ["a", "b"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan
+    assert sorted(wide.collect()) == [(1, 1.0, None), (2, None, 4.0), (3, None, None)]
