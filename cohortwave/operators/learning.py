@@ -14,13 +14,20 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
+
 CLASSIFIERS = {"logistic": lambda seed: LogisticRegression(regParam=0.01), "forest": lambda seed: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed), "boosted": lambda seed: GBTClassifier(maxIter=10, maxDepth=3, seed=seed)}
 REGRESSORS = {"linear": lambda seed: LinearRegression(regParam=0.01), "forest": lambda seed: RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed), "boosted": lambda seed: GBTRegressor(maxIter=10, maxDepth=3, seed=seed)}
 
 
+def wide_table(features: DataFrame, keys: list[str], key: str = "key", value: str = "value") -> DataFrame:
+    """A row a subject and a column a key. One aggregate by subject: a pivot would shuffle a row as wide as all keys for each cell."""
+    return features.groupBy("subject").agg(*[F.first(F.when(F.col(key) == k, F.col(value)), ignorenulls=True).alias(k) for k in keys])
+
+
 def vectors(features: DataFrame, keys: list[str]) -> DataFrame:
     """subject, features: a vector a subject, in the order of keys; what a subject lacks is 0."""
-    wide = features.groupBy("subject").pivot("key", keys).agg(F.first("value")).fillna(0.0, keys)
+    wide = wide_table(features, keys).fillna(0.0, keys)
     return VectorAssembler(inputCols=keys, outputCol="features").transform(wide).select("subject", "features")
 
 
@@ -38,7 +45,7 @@ def train_regressor(rows: DataFrame, train: DataFrame, kind: str = "linear", see
 
 def oof_predictions(rows: DataFrame, folds: DataFrame, kind: str, k: int, seed: int = 7) -> DataFrame:
     """subject, p: each subject's probability by the model that was trained without its fold (subject, y, fold)."""
-    out = []
+    rows, out = stored(rows), []
     for f in range(k):
         mine = rows.join(folds.where(F.col("fold") == f).select("subject"), "subject", "left_semi")
         said = train_classifier(rows, folds.where(F.col("fold") != f), kind, seed)
@@ -65,7 +72,7 @@ def fusion(sets: dict[str, tuple[DataFrame, list[str]]], folds: DataFrame, mode:
         named = [t.withColumn("key", F.concat(F.lit(f"{n}_"), "key")) for n, (t, _) in sets.items()]
         return oof_predictions(vectors(reduce(DataFrame.unionByName, named), [f"{n}_{key}" for n, (_, keys) in sets.items() for key in keys]), folds, kind, k)
     base = [oof_predictions(vectors(t, keys), folds, kind, k).withColumn("model", F.lit(n)) for n, (t, keys) in sets.items()]
-    return stack(reduce(DataFrame.unionByName, base), folds, list(sets), kind, k)
+    return stack(stored(reduce(DataFrame.unionByName, base)), folds, list(sets), kind, k)
 
 
 def backward_elimination(rows: DataFrame, train: DataFrame, keys: list[str], keep: int, drop: int = 1) -> list[str]:

@@ -41,7 +41,7 @@ def _knn(s, d):
 
 
 def _wide(s, d):
-    return V.features(s, d).groupBy("subject").pivot("key", KEYS).agg(F.first("value"))
+    return L.wide_table(V.features(s, d), KEYS)
 
 
 def _dealt(s, d, y="y"):
