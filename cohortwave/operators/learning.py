@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -96,7 +97,39 @@ def ordered_clusters(df: DataFrame, column: str, k: int, fit_on: DataFrame | Non
     return df.withColumn("cluster", F.when(F.col(column).isNotNull(), sum((F.when(F.col(column) > m, 1).otherwise(0) for m in middles), F.lit(0))))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, p: float = 2.0, block: int = 1024) -> DataFrame:
+#: Test rows whose distances to a block are held at once.
+ASKED = 256
+
+
+def _nearest(x: np.ndarray, v: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of v, row of x and distance to the p of the k rows of x nearest to each row of v, equal distances in the order of x.
+
+    For p = 2 a product of matrices says, within a bound on its rounding, which rows can be among them; all that can are
+    compared by the plain sum.
+    """
+    k, every = min(k, len(x)), []
+    squares, ours = (x * x).sum(1), (v * v).sum(1)
+    for a in range(0, len(v), ASKED):
+        w = v[a : a + ASKED]
+        if p == 2 and np.isfinite(squares).all() and np.isfinite(ours).all():
+            rough = squares + ours[a : a + ASKED, None] - 2 * (w @ x.T)
+            slack = 1e-14 * (x.shape[1] + 8) * (squares.max() + ours[a : a + ASKED])
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+            i, j = np.nonzero(rough <= bound[:, None])
+        else:
+            i, j = np.divmod(np.arange(len(w) * len(x)), len(x))
+        for part in np.array_split(np.arange(len(w)), 1 if p == 2 and len(i) <= 64 * k * len(w) else len(w)):
+            low, high = np.searchsorted(i, [part[0], part[-1] + 1])
+            ii, jj = i[low:high], j[low:high]
+            d = (np.abs(x[jj] - w[ii]) ** p).sum(1)
+            order = np.lexsort((jj, d, ii))
+            place = np.arange(len(order)) - np.searchsorted(ii[order], ii[order])
+            best = order[place < k]
+            every.append((a + ii[best], jj[best], d[best]))
+    return tuple(map(np.concatenate, zip(*every)))
+
+
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, p: float = 2.0, block: int = 4096) -> DataFrame:
     """id, y: mean target of the k nearest training rows by Minkowski distance; ties go to the lower training id.
 
     Training rows (id, v, y) are dealt into blocks of about `block` rows and so are test rows (id, v); each pair of
@@ -107,18 +140,17 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, p: float = 2.0, b
     a = train.select(deal(train, n_train).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("b"), F.lit(True).alias("known"), "id", "v", F.col("y").cast("double").alias("y"))
     b = test.select(F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("a"), deal(test, n_test).alias("b"), F.lit(False).alias("known"), "id", "v", F.lit(None).cast("double").alias("y"))
 
-    def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        seen, asked = group[group.known].sort_values("id"), group[~group.known]
-        if seen.empty or asked.empty:
-            return pd.DataFrame({"id": [], "d": [], "near": [], "y": []})
-        x, out = np.stack(seen.v.to_numpy()), []
-        for i, v in zip(asked.id, asked.v):
-            d = (np.abs(x - np.asarray(v)) ** p).sum(1)
-            best = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"id": i, "d": d[best], "near": seen.id.to_numpy()[best], "y": seen.y.to_numpy()[best]}))
-        return pd.concat(out)
-
-    found = a.unionByName(b).groupBy("a", "b").applyInPandas(nearest, "id long, d double, near long, y double")
+    def nearest(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        seen, asked = group.filter(group["known"]).sort_by("id"), group.filter(pc.invert(group["known"]))
+        kinds = pa.schema([("id", pa.int64()), ("d", pa.float64()), ("near", pa.int64()), ("y", pa.float64())])
+        if not seen.num_rows or not asked.num_rows:
+            return kinds.empty_table()
+        x, v = (np.asarray(pc.list_flatten(t["v"]).to_numpy(), float).reshape(t.num_rows, -1) for t in (seen, asked))
+        i, j, d = _nearest(x, v, k, p)
+        return pa.table([asked["id"].take(pa.array(i)), pa.array(d), seen["id"].take(pa.array(j)), seen["y"].take(pa.array(j))], schema=kinds)
+
+    found = a.unionByName(b).groupBy("a", "b").applyInArrow(nearest, "id long, d double, near long, y double")
     # each block gave k at most, so a test row's list is k times the blocks
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near", "y"))), 1, k).alias("s"))
     return best.select("id", (F.aggregate("s.y", F.lit(0.0), lambda t, y: t + y) / F.size("s")).alias("y"))
