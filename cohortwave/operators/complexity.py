@@ -135,35 +135,64 @@ def _epoch_arrays(epoched: DataFrame, r: float) -> DataFrame:
     return g.select(*SERIES, "epoch", F.col("p.x").alias("x"), "tol")
 
 
-def _alike(m: int, i, j):
-    """Whether the m samples from i on are within the tolerance of those from j on (0-based)."""
-    far = [F.abs(F.get("x", i + k) - F.get("x", j + k)) <= F.col("tol") for k in range(m)]
-    out = far[0]
-    for f in far[1:]:
-        out = out & f
-    return F.when(out, 1.0).otherwise(0.0)
+#: Comparisons of samples that a task makes at once.
+AT_ONCE = 1 << 22
 
 
-def _count(top, one):
-    return F.aggregate(F.sequence(F.lit(0), top), F.lit(0.0), lambda s, j: s + one(j))
+def _of_epochs(m: int, score):
+    """A column function of epochs (samples, tolerance, places of nulls): score(two, more) of those of one length, in parts of bounded size.
+
+    two and more say of an epoch whether its templates i and j of m and of m + 1 samples are within the tolerance at all
+    places. As in SQL, a null is within no tolerance, and all else is within a tolerance of NaN.
+    """
+
+    @F.pandas_udf("double")
+    def run(xs: pd.Series, tol: pd.Series, holes: pd.Series) -> pd.Series:
+        out, sizes = np.full(len(xs), np.nan), xs.map(len).to_numpy(int)
+        values, limits, gaps = xs.to_numpy(), tol.to_numpy(float), holes.to_numpy()
+        for n in np.unique(sizes).tolist():
+            step, mine = max(1, AT_ONCE // (n * n)), np.flatnonzero(sizes == n)
+            for some in (mine[a : a + step] for a in range(0, len(mine), step)):
+                x, t = np.stack([np.asarray(v, float) for v in values[some]]), limits[some, None, None]
+                with np.errstate(invalid="ignore"):
+                    near = (np.abs(x[:, :, None] - x[:, None, :]) <= t) | np.isnan(t)
+                for e in range(len(some)):
+                    if len(gap := np.asarray(gaps[some[e]], int)):
+                        near[e, gap, :] = near[e, :, gap] = False
+                both = [near]
+                for k in range(1, m + 1):
+                    both.append(both[-1][:, :-1, :-1] & near[:, k:, k:])
+                out[some] = score(both[m - 1], both[m])
+        return pd.Series(out)
+
+    return run
+
+
+def _scored(epoched: DataFrame, m: int, r: float, name: str, score) -> DataFrame:
+    holes = F.filter(F.transform("x", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())
+    e = _epoch_arrays(epoched, r).where(F.size("x") > m + 1)
+    return e.select(*SERIES, "epoch", _of_epochs(m, score)("x", F.coalesce("tol", F.lit(0.0)), holes).alias(name))
 
 
 def app_entropy(epoched: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
-    """Approximate entropy of each epoch: templates meet within the epoch's own array, matches with themselves included."""
+    """Approximate entropy of each epoch: templates meet within the epoch's own array, matches with themselves included; null where a sample is."""
 
-    def phi(m):
-        top = F.size("x") - m
-        return _count(top, lambda i: F.ln(_count(top, lambda j: _alike(m, i, j)) / (top + 1))) / (top + 1)
+    def phi(near: np.ndarray) -> np.ndarray:
+        found = near.sum(2) / near.shape[1]
+        return np.where(found > 0, np.log(np.where(found > 0, found, 1)), np.nan).mean(1)
 
-    return _epoch_arrays(epoched, r).where(F.size("x") > m + 1).select(*SERIES, "epoch", (phi(m) - phi(m + 1)).alias("app_entropy"))
+    return _scored(epoched, m, r, "app_entropy", lambda two, more: phi(two) - phi(more))
 
 
 def sample_entropy(epoched: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
     """-ln(A / B) of each epoch, without matches of a template with itself; null where there are none."""
-    top = F.size("x") - m - 1
-    matches = lambda m: _count(top, lambda i: _count(top, lambda j: F.when(i < j, _alike(m, i, j)).otherwise(0.0)))
-    e = _epoch_arrays(epoched, r).where(F.size("x") > m + 1).select(*SERIES, "epoch", matches(m + 1).alias("a"), matches(m).alias("b"))
-    return e.select(*SERIES, "epoch", F.when(F.col("a") > 0, -F.ln(F.try_divide("a", "b"))).alias("sample_entropy"))
+
+    def score(two: np.ndarray, more: np.ndarray) -> np.ndarray:
+        pairs = np.triu(np.ones(more.shape[1:], bool), 1)
+        a, b = (more & pairs).sum((1, 2)), (two[:, :-1, :-1] & pairs).sum((1, 2))
+        return np.where(a > 0, -np.log(np.maximum(a, 1) / np.maximum(b, 1)), np.nan)
+
+    return _scored(epoched, m, r, "sample_entropy", score)
 
 
 def flatten_names(features: DataFrame, parts: list[str], value: str, names: list[str] | None = None) -> DataFrame:
