@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -19,6 +20,8 @@ from .spectral import KEY
 
 #: Values of tapers that may be broadcast: 8 MB.
 MOST_VALUES = 1 << 20
+#: Epochs that are transformed at once.
+PART = 1024
 COEFFICIENTS = StructType([StructField("re", ArrayType(DoubleType())), StructField("im", ArrayType(DoubleType()))])
 PAIR = ["subject", "state", "a", "b"]
 
@@ -36,15 +39,21 @@ def hann_taper(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1).select(F.col("id").cast("int").alias("j"), h.alias("h"), F.lit(1.0).alias("w"))
 
 
-@F.pandas_udf(COEFFICIENTS)
-def _transform(xs: pd.Series) -> pd.DataFrame:
-    """Coefficients 0 to n / 2 of each array, all of one length together."""
-    out = pd.DataFrame({"re": [None] * len(xs), "im": [None] * len(xs)}, index=xs.index, dtype=object)
-    for n, group in xs.groupby(xs.map(len)):
-        c = np.fft.rfft(np.stack(group.to_numpy()), axis=1) if n else np.zeros((len(group), 0), complex)
-        for column, part in (("re", c.real), ("im", c.imag)):
-            out.loc[group.index, column] = pd.Series(list(part), index=group.index, dtype=object)
-    return out
+@F.arrow_udf(COEFFICIENTS)
+def _transform(xs: pa.Array) -> pa.Array:
+    """Coefficients 0 to n / 2 of each array, all of one length together, on the batch's own buffers: no object a row."""
+    sizes, values = pc.list_value_length(xs).to_numpy(zero_copy_only=False), xs.flatten().to_numpy(zero_copy_only=False)
+    starts, many = np.cumsum(sizes) - sizes, np.where(sizes > 0, sizes // 2 + 1, 0)
+    cuts = np.append(0, np.cumsum(many))
+    re, im = np.empty(cuts[-1]), np.empty(cuts[-1])
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        for part in (rows[a : a + PART] for a in range(0, len(rows), PART)):
+            c = np.fft.rfft(values[starts[part][:, None] + np.arange(n)], axis=1)
+            to = cuts[part][:, None] + np.arange(n // 2 + 1)
+            re[to], im[to] = c.real, c.imag
+    offsets = pa.array(cuts, pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (re, im)], ["re", "im"])
 
 
 def dft(epochs: DataFrame, tapers: DataFrame | None = None, centre: bool = True) -> DataFrame:
