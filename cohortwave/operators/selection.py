@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.lineage import stored
 from ..functions.scalar import corr, with_ranks
 
 
@@ -68,30 +72,53 @@ def split_by_token(features: DataFrame, tokens: list[str]) -> DataFrame:
 def score_kendall(features: DataFrame, target: DataFrame) -> DataFrame:
     """Absolute tau-b of each key with a target of any values; rows with a null on either side are left out.
 
-    Ranks are written in base 4. Two rows whose ranks of x first differ in digit u and whose ranks of y first differ in
-    digit v meet in exactly one group of (u, leading digits of x, v, leading digits of y), where those two digits say
-    whether they are concordant. So concordant less discordant pairs follow from 16 counts a group: a row is counted
-    once for each pair of places, no pair is made, and no task holds a key.
+    Ranks of both sides fall into buckets. A pair of rows is counted in its bucket of x where it shares that, else in
+    its bucket of y where it shares that, else by the counts of pairs of buckets. So a row travels twice, no pair is
+    made, and a task holds some three times `span` rows, or a 64th of a key's rows as counts of buckets.
     """
     return tau(features.join(target.select("subject", "y"), "subject"), target.count())
 
 
-def tau(rows: DataFrame, most: int) -> DataFrame:
-    """score_kendall of rows that hold both sides (key, value, y); a key has `most` of them at most."""
+def _surplus(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
+    """Concordant less discordant pairs of rows (a, b) that occur n times, by the first bit in which their ranks of b differ."""
+    _, x = np.unique(a, return_inverse=True)
+    _, y = np.unique(b, return_inverse=True)
+    n, total = n.astype(float), 0.0
+    for bit in range(int(y.max()).bit_length()):
+        order = np.lexsort((x, y >> (bit + 1)))
+        block, at, one = (y >> (bit + 1))[order], x[order], ((y >> bit) & 1)[order] == 1
+        low = np.append(0.0, np.cumsum(np.where(one, 0.0, n[order])))  # rows of the lower half before each place
+        new = np.append(True, block[1:] != block[:-1])
+        tie = np.append(True, new[1:] | (at[1:] != at[:-1]))
+        starts, ties = np.flatnonzero(new), np.flatnonzero(tie)
+        which, same = np.cumsum(new) - 1, np.cumsum(tie) - 1
+        first, last = low[starts], low[np.append(starts[1:], len(x))]
+        before, upto = low[ties], low[np.append(ties[1:], len(x))]
+        total += float((n[order] * ((before[same] - first[which]) - (last[which] - upto[same])))[one].sum())
+    return total
+
+
+def tau(rows: DataFrame, most: int, span: int | None = None) -> DataFrame:
+    """score_kendall of rows that hold both sides (key, value, y); a key has `most` of them at most. A bucket has `span` ranks; the result is the same for any."""
     both = rows.where(F.col("value").isNotNull() & F.col("y").isNotNull() & ~F.isnan("value"))
     x = with_ranks(with_ranks(both, ["key"], "value", "rx"), ["key"], "y", "ry").select("key", (2 * F.col("rx")).cast("long").alias("x"), (2 * F.col("ry")).cast("long").alias("y"))
-    x = x.groupBy("key", "x", "y").agg(F.count("*").alias("n"))
-    places = ((2 * most + 1).bit_length() + 1) // 2
-    # equal ranks of y have equal digits everywhere, so few values of y make few groups
-    digits = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda u: F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda v: F.struct(u.alias("u"), v.alias("v"))))))
-    d = x.withColumn("d", digits)
-    cut = lambda c, k: F.expr(f"shiftright({c}, 2 * ({k}))")
-    d = d.select("key", "n", "d.u", "d.v", cut("x", "d.u + 1").alias("px"), cut("y", "d.v + 1").alias("py"), cut("x", "d.u").bitwiseAND(F.lit(3)).alias("a"), cut("y", "d.v").bitwiseAND(F.lit(3)).alias("b"))
-    cells = {(a, b): F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("n")).otherwise(0)).cast("double") for a in range(4) for b in range(4)}
-    g = d.groupBy("key", "u", "px", "v", "py").agg(*[c.alias(f"n{a}{b}") for (a, b), c in cells.items()])
-    n = {ab: F.col("n%d%d" % ab) for ab in cells}
-    surplus = sum((n[a, b] * (sum(n[c, e] for c in range(a + 1, 4) for e in range(b + 1, 4)) - sum(n[c, e] for c in range(a + 1, 4) for e in range(b))) for a in range(3) for b in range(4)), F.lit(0.0))
-    s = g.groupBy("key").agg(F.sum(surplus).alias("s"))
+    x = stored(x.groupBy("key", "x", "y").agg(F.count("*").alias("n")))
+    span = 2 * (span or max(4096, 8 * math.isqrt(most)))
+    x = x.withColumns({"bx": F.floor(F.col("x") / span), "by": F.floor(F.col("y") / span)})
+    counted = lambda place, a, b: x.groupBy("key", place.alias("place"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.sum("n").alias("n"))
+    # a bucket of one value may hold a whole key, and has no pair of different ranks
+    many = x.groupBy("key", "bx").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("key", "bx")
+    inside = x.join(many, ["key", "bx"], "left_semi").select("key", F.col("bx").alias("place"), F.col("x").alias("a"), F.col("y").alias("b"), "n", F.lit(0).alias("kind"))
+    parts = inside.unionByName(counted(F.col("by"), "bx", "y").withColumn("kind", F.lit(1))).unionByName(counted(F.lit(0).cast("long"), "bx", "by").withColumn("kind", F.lit(2)))
+
+    def surplus(group: pa.Table) -> pa.Table:
+        s = _surplus(*(np.asarray(group[c].to_numpy()) for c in ("a", "b", "n")))
+        return pa.table([group["key"].slice(0, 1).combine_chunks(), pa.array([s])], names=["key", "s"])
+
+    kinds = StructType([x.schema["key"], StructField("s", DoubleType())])
+    # keys without any pair of different ranks come with 0
+    found = parts.groupBy("key", "kind", "place").applyInArrow(surplus, kinds)
+    s = found.groupBy("key").agg(F.sum("s").alias("s"))
     tied = lambda c: x.groupBy("key", c).agg(F.sum("n").cast("double").alias("t")).groupBy("key").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"), F.sum("t").alias(f"n{c}"))
     t = s.join(tied("x"), "key").join(tied("y"), "key")
     pairs = F.col("nx") * (F.col("nx") - 1) / 2

@@ -9,6 +9,7 @@ from cohortwave.operators import complexity as X
 from cohortwave.operators import fourier as T
 from cohortwave.operators import learning as L
 from cohortwave.operators import scaling as C
+from cohortwave.operators import selection as S
 
 
 def _epochs(spark, rows):
@@ -89,3 +90,19 @@ def test_neighbours_far_from_the_origin_are_not_lost_to_rounding():
         exact = ((x - x[n]) ** 2).sum(1)
         assert j[i == n].tolist() == np.argsort(exact, kind="stable")[:5].tolist()
     assert L._nearest(x[:3], x[:2], 5, 2.0)[0].tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_tau_is_the_same_for_any_buckets(spark):
+    r = np.random.default_rng(11)
+    x, y = [r.normal(size=90), r.integers(0, 4, 90) * 1.0, np.ones(90), r.integers(0, 30, 90) * 1.0], [r.integers(0, 2, 90) * 1.0, r.normal(size=90)]
+    for target in y:
+        rows = spark.createDataFrame([(f"k{j}", float(v), float(target[i])) for j, col in enumerate(x) for i, v in enumerate(col)], "key string, value double, y double")
+        for span in (3, 10, None):
+            got = S.tau(rows, 90, span)
+            # before, a row was made for each pair of digits of ranks
+            assert "Generate" not in _plan(got)
+            got = {q.key: q.score for q in got.collect()}
+            for j, col in enumerate(x):
+                up, side = np.sign(col[:, None] - col), np.sign(target[:, None] - target)
+                below = math.sqrt(float((up != 0).sum()) * float((side != 0).sum()))
+                assert got[f"k{j}"] is None if not below else abs(got[f"k{j}"] - abs((up * side).sum()) / below) < 1e-12
