@@ -30,6 +30,8 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MEMO = 200_000
 #: Units of more characters are relaxed one by one, and text that a worker takes up at once, in bytes.
 LONG, TAKE = 64, 1 << 20
+#: The same in the pipeline, whose workers share the machine with what earlier stages left in memory: a quarter, for some more time.
+STAGE_TAKE = 1 << 18
 CLOSED, FREE = -1, -2
 
 
@@ -125,10 +127,17 @@ class Pieces:
         ranked = np.lib.stride_tricks.sliding_window_view(padded, width)[order].view(f"S{2 * width}").ravel()
         low = np.searchsorted(ranked, self.keys, "left")
         many = np.searchsorted(ranked, self.above, "right") - low
-        piece = np.repeat(np.arange(len(many)), many)
-        at = order[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-        both = np.sort(at << 24 | piece)
-        return both >> 24, both & 0xFFFFFF
+        del ranked, padded
+        # in place, since occurrences are several times the text
+        both = np.repeat(low - (np.cumsum(many) - many), many)
+        both += np.arange(len(both))
+        both = order[both]
+        both <<= 24
+        both |= np.repeat(np.arange(len(many)), many)
+        both.sort()
+        starts = both >> 24
+        both &= 0xFFFFFF
+        return starts, both
 
     def relax(self, pos: np.ndarray, first: np.ndarray, starts: np.ndarray, pieces: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
         """Relax the edges that start at positions pos, of which none follows from another."""
@@ -252,19 +261,19 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def tokens(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), take: int = TAKE) -> DataFrame:
     """keep, n_tokens, token_ids, decoded_sha256 and round_trip of every row.
 
     round_trip says whether decoding the ids gives the text back; it is false only where the text holds the space mark
     itself. Null and empty texts have no tokens. Repeated rows give repeated rows; other columns are ignored. The model
-    is half a megabyte and travels with the task.
+    is half a megabyte and travels with the task. A worker takes up `take` bytes of text at once; the result does not depend on it.
     """
     model = model_bytes(path)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         coder = coder_of(model)
-        for part in slices(batches, TAKE):
+        for part in slices(batches, take):
             texts = part.column(part.num_columns - 1).to_pylist()
             ids = coder.encode(texts)
             sizes = np.array([len(x) // 4 for x in ids])
@@ -292,4 +301,4 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, with what identifies them. Columns named as the new ones are replaced; nulls, empty texts and repeated rows as in `tokens`."""
     keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "decoded_sha256", "round_trip"))
-    return tokens(docs, keep=keep)
+    return tokens(docs, keep=keep, take=STAGE_TAKE)
