@@ -112,3 +112,78 @@ def test_the_sample_is_that_of_the_least_hashes(spark):
 
         want = [r.text for r in docs.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(50).collect()]
         assert seen[0][0] + seen[0][1] == want
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More labelled and ordinary values than any bound of a sample, each in two documents."""
+    r = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(r.choice(list(letters), n))
+    hexes = {draw("0123456789abcdef", 32) for _ in range(4000)}
+    words = {draw(LOW, int(r.integers(12, 18))) for _ in range(13000)} | {draw(LOW, 6) + "." + draw(LOW, 6) for _ in range(2000)} | {draw(LOW, 3) + "_" + draw(LOW, 3) + "-" * (i + 8) for i in range(5)}
+    words = {w for w in words if not re.search("[0-9a-f]{16}", w)}
+    every = sorted(hexes | words)
+    docs = spark.createDataFrame([(i, " ".join(every[i % 40 :: 40])) for i in range(80)], "doc_id long, text string")
+    return hexes, words, docs
+
+
+def test_all_values_of_the_table_count(many):
+    """Shapes, lengths and what each state sees, against walking every value."""
+    hexes, words, docs = many
+    made = secrets.fit(docs)
+    for side, kind, strings in ((made.secret, "hex", hexes), (made.plain, "word", words)):
+        mine = {name: f for (k, name), f in side.items() if k == kind}
+        groups = {}
+        for x in strings:
+            groups.setdefault(secrets.shape(x), []).append(x)
+        least = max(secrets.LEAST_STRINGS, len(strings) * secrets.FORMAT_SHARE)
+        want = {}
+        for name, some in groups.items():
+            want.setdefault(name if len(some) >= least else "rest", []).extend(some)
+        assert set(mine) == set(want) and sum(f.n for f in mine.values()) == len(strings)
+        for name, f in mine.items():
+            seen, lengths = {}, {}
+            for x in want[name]:
+                at, lengths[len(x)] = 0, lengths.get(len(x), 0) + 1
+                for c in x.translate(secrets.TABLE):
+                    seen[at, c] = seen.get((at, c), 0) + 1
+                    at = f.automaton.moves[at].get(c, at)
+            assert f.lengths == lengths
+            assert {(q, c): n for q, row in enumerate(f.automaton.counts) for c, n in row.items()} == seen
+    # nineteen in twenty of a credential's strings are as likely as is usual
+    f = made.secret["hex", "32"]
+    own = [f.likelihood(x.translate(secrets.TABLE)) for x in hexes]
+    assert sum(x >= f.usual for x in own) >= 0.95 * len(own) >= sum(x > f.usual + 0.011 for x in own)
+    assert sum(made.score(x) > made.margin for x in words) <= 0.002 * len(words)
+
+
+def test_states_are_prefixes_that_enough_strings_share(spark):
+    """The prefixes that Spark hands on are all whose parent is a state, with counts of both halves, beyond a block of depths too."""
+    strings = ["d" * 20 + "x" * (k % 3) for k in range(90)] + ["dl" + "x" * k for k in range(12, 20)]
+    rows = spark.createDataFrame([("hex\t1", s, strings.count(s), 1) for s in sorted(set(strings))], "key string, s string, n0 long, n1 long")
+    with secrets.Tables(spark) as tables:
+        got = secrets.prefixes(tables, rows)["hex\t1"]
+    number = {s: (strings.count(s), 1) for s in set(strings)}
+    count = lambda p, i: sum(n[i] for s, n in number.items() if s.startswith(p))
+    states = {s[:k] for s in number for k in range(secrets.DEPTH) if count(s[:k], 0) >= 20 or count(s[:k], 0) + count(s[:k], 1) >= 20}
+    want = {s[: k + 1]: (count(s[: k + 1], 0), count(s[: k + 1], 1), *number.get(s[: k + 1], (0, 0))) for s in number for k in range(len(s)) if s[:k] in states or k == 0}
+    assert {p: n for p, n in got.items() if p in want} == want and max(map(len, got)) > 16
+    # beyond those only strings that a block began with, which are no states
+    assert all(n[0] + n[1] < 20 for p, n in got.items() if p not in want)
+
+
+def test_the_margin_lets_no_more_pass_than_asked(spark):
+    class Half:
+        def __init__(self, by):
+            self.by = by
+
+        def above(self, s, own):
+            return float(len(s) * self.by)
+
+    rows = spark.createDataFrame([("word\ta", "x" * n, 3, 2) for n in range(1, 100)], "key string, s string, n0 long, n1 long")
+    scores = sorted([2.0 * n for n in range(1, 100) for _ in range(3)] + [1.0 * n for n in range(1, 100) for _ in range(2)], reverse=True)
+    for most in (0, 7, 100, 400, 10_000):
+        margin = secrets.margin_of(rows, [Half(1), Half(2)], most)
+        assert sum(x > margin for x in scores) <= most
+        want = max(secrets.MARGIN, scores[most] if most < len(scores) else 0)
+        assert want <= margin <= want * 2 ** (1 / 1024)
