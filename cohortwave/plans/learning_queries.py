@@ -50,7 +50,7 @@ def _dealt(s, d, y="y"):
 
 
 def _eliminated(s, d):
-    left, means = U.eliminate(_wide(s, d), _folds(s, d), KEYS[:16], "logistic")
+    left, means = U.eliminate(_wide(s, d), _folds(s, d), KEYS, "logistic")
     rows = [("kept", k, None) for k in left] + [("score", str(n), float(v)) for n, v in means]
     return s.createDataFrame(rows, "what string, name string, score double")
 

@@ -7,6 +7,7 @@ import pytest
 
 from cohortwave.operators import learning as L
 from cohortwave.operators import tuning as U
+from cohortwave.plans import catalogue
 
 KEYS = ["a", "b", "c", "d"]
 
@@ -125,3 +126,14 @@ def test_wide_tables_are_one_shuffle_by_subject(spark):
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan
     assert sorted(wide.collect()) == [(1, 1.0, None), (2, None, 4.0), (3, None, None)]
+
+
+def test_elimination_query_begins_with_all_places_of_the_vectors(spark, tmp_path):
+    """Place 40 alone decides; before, the query looked at the first 16 of 64."""
+    x = np.random.default_rng(12).normal(size=(240, 64))
+    rows = [(i, v.tolist(), 7 if v[40] > 0 else 2) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["fs17_backward_elimination"](spark, str(tmp_path)).collect()
+    scores = {int(r.name): r.score for r in got if r.what == "score"}
+    assert max(scores) == 64 and min(scores) == 1 and max(scores.values()) > 0.9
+    assert "f40" in {r.name for r in got if r.what == "kept"}
